@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.columns import as_col
 
@@ -90,7 +91,7 @@ def blocked_operation_of(code: str | None) -> str | None:
     return next((found for found in map(_finding, nodes) if found), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blocked_operation(code: pd.Series) -> pd.Series:
     return code.map(blocked_operation_of, na_action="ignore").astype(object)
 

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXACT_LIMIT = 50  # pairs up to which the signed-rank distribution is enumerated
 
@@ -47,7 +48,7 @@ def sign_test_p(b: int, c: int):
     return min(1.0, 2.0 * math.exp(top) * float(np.exp(steps).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_p(
     w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series
 ) -> pd.Series:
@@ -55,6 +56,6 @@ def wilcoxon_p(
     return pd.Series([signed_rank_p(a, b, int(m), t, int(z)) for a, b, m, t, z in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([sign_test_p(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import vocabulary as V
@@ -92,18 +92,25 @@ def classify_results(
     )
 
 
-def scripted_responses(attempts: DataFrame, scripts: DataFrame) -> DataFrame:
+def scripted_responses(
+    attempts: DataFrame, scripts: DataFrame, *, on_missing: str = "error"
+) -> DataFrame:
     """Response of each (problem, attempt); attempts past the end repeat the last one.
 
-    ``scripts`` holds ``problem_id, responses``; a problem without responses fails the job.
+    ``scripts`` is long: ``problem_id, attempt, response`` with attempts 1, 2, ... A problem
+    without any response fails the job, or stays NULL with ``on_missing="null"``. The
+    final join is on problem and index, so a problem with many attempts is spread out.
     """
-    n = F.size("responses")
-    index = F.least(F.col("attempt"), n)
-    missing = F.col("responses").isNull() | (n == 0)
-    answer: Column = F.when(
-        missing,
-        F.raise_error(F.concat(F.lit("no scripted responses for problem "), "problem_id")).cast("string"),
-    ).otherwise(F.get("responses", (index - 1).cast("int")))
-    return attempts.join(scripts, "problem_id", "left").select(
-        *[F.col(c) for c in attempts.columns], answer.alias("response")
+    known = scripts.groupBy("problem_id").agg(F.max("attempt").alias("_last"))
+    wanted = attempts.join(known, "problem_id", "left").withColumn(
+        "_index", F.least(F.col("attempt"), F.col("_last"))
+    )
+    if on_missing == "error":
+        missing = F.raise_error(F.concat(F.lit("no scripted responses for problem "), "problem_id"))
+        wanted = wanted.withColumn(
+            "_index", F.when(F.col("_last").isNull(), missing.cast("int")).otherwise(F.col("_index"))
+        )
+    answers = scripts.select("problem_id", F.col("attempt").alias("_index"), "response")
+    return wanted.join(answers, ["problem_id", "_index"], "left").select(
+        *attempts.columns, "response"
     )

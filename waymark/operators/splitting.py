@@ -31,7 +31,7 @@ def split_tests(
         F.transform(
             index,
             lambda i: F.struct(
-                F.md5(F.concat_ws(":", F.col("_seed").cast("string"), i.cast("string"))), i
+                F.md5(F.concat_ws(":", F.col("_seed").cast("string"), i.cast("string"))), i.alias("i")
             ),
         )
     )

@@ -39,7 +39,9 @@ CALL_ALIASES = ("candidate", "fn", "func")
 MAX_TESTS = 80
 # ----------------------------------------------------------------------------
 
-TEST_DDL = "array<struct<input:string,expected:string,test_id:string>>"
+TESTS = T.ArrayType(
+    T.StructType([T.StructField(c, T.StringType()) for c in ("input", "expected", "test_id")])
+)
 
 
 def read_problems(spark: SparkSession, path) -> DataFrame:
@@ -93,7 +95,7 @@ def assert_tests(source: str | None, entry_point: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(TEST_DDL)
+@F.pandas_udf(TESTS)
 def _parse_source(source: pd.Series, entry_point: pd.Series) -> pd.Series:
     return pd.Series([assert_tests(s, e) for s, e in zip(source, entry_point)], dtype=object)
 
@@ -115,7 +117,7 @@ def parse_tests(
     elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):
         have = set(dt.elementType.names)
         if not {"input", "expected"} <= have:
-            return F.array().cast(TEST_DDL)
+            return F.array().cast(TESTS)
         kinds = {f.name: f.dataType for f in dt.elementType.fields}
 
         def text(x: Column, name: str) -> Column:
@@ -140,7 +142,7 @@ def parse_tests(
     return F.slice(parsed, 1, max_tests) if max_tests else parsed
 
 
-@F.pandas_udf(TEST_DDL)
+@F.pandas_udf(TESTS)
 def _parse_list(texts: pd.Series, entry_point: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -182,7 +184,7 @@ def normalize_problems(
     parsed = (
         parse_tests(named, cmap["tests"], "_entry", max_tests)
         if "tests" in cmap
-        else F.array().cast(TEST_DDL)
+        else F.array().cast(TESTS)
     )
     kept = named.withColumn("_tests", parsed).filter(F.size("_tests") >= 2)
     if max_problems is not None:
