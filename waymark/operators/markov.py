@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -37,6 +39,8 @@ META = ("next_state", "episode_id", "problem_id", "model_id", "final_outcome")
 MAX_ITER = 2000
 # ----------------------------------------------------------------------------
 
+PARALLEL_FITS = 8  # fits submitted to the cluster at a time
+ROWS_PER_PARTITION = 50_000  # small inputs are fitted in few tasks per iteration
 RANKED_FOLDS = 100_000  # up to this many episodes folds are balanced by rank, above by hash
 
 
@@ -111,6 +115,17 @@ def class_sizes(rows: DataFrame, target: str = "next_state") -> dict[str, int]:
     return {r[0]: r[1] for r in sorted(counted, key=lambda r: str(r[0]))}
 
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """Merge partitions of small inputs; large ones have fewer partitions than the bound."""
+    return rows.coalesce(max(1, n // ROWS_PER_PARTITION))
+
+
+def _in_parallel(job, items: list) -> list:
+    """Run one driver call per item; the calls only submit Spark jobs."""
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        return list(pool.map(inheritable_thread_target(job), items))
+
+
 def _fit(rows: DataFrame, feature_set: str, classes: list[str], target: str) -> TransitionModel:
     """Fit on rows; ``classes`` fixes the label order also where rows lack a class."""
     sizes = class_sizes(rows, target)
@@ -121,7 +136,7 @@ def _fit(rows: DataFrame, feature_set: str, classes: list[str], target: str) ->
         return F.create_map(*[F.lit(x) for item in values.items() for x in item])
 
     label = table({c: float(i) for i, c in enumerate(classes)})
-    train = rows.withColumn("_label", F.element_at(label, F.col(target))).withColumn(
+    train = _sized(rows, n).withColumn("_label", F.element_at(label, F.col(target))).withColumn(
         "_weight", F.element_at(table(weight), F.col(target))
     )
     pipeline = _stages(rows, feature_set, n, classes).fit(train)
@@ -199,15 +214,17 @@ def compare_baseline_models(transitions: DataFrame) -> DataFrame:
     held = transitions.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = class_sizes(held)
-        rows = []
-        for name, feature_set in MODELS if len(sizes) >= 2 else ():
-            accuracy, error = float("nan"), None
+        n = sum(sizes.values())
+
+        def fit(model: tuple[str, str]) -> tuple:
+            name, feature_set = model
             try:
-                model = _fit(held, feature_set, list(sizes), "next_state")
-                accuracy = _score(model, held, "accuracy")
+                fitted = _fit(held, feature_set, list(sizes), "next_state")
+                return name, feature_set, _score(fitted, held, "accuracy"), n, len(sizes), None
             except Exception as problem:  # a model that cannot be fitted is reported, not fatal
-                error = str(problem)
-            rows.append((name, feature_set, accuracy, sum(sizes.values()), len(sizes), error))
+                return name, feature_set, float("nan"), n, len(sizes), str(problem)
+
+        rows = _in_parallel(fit, list(MODELS)) if len(sizes) >= 2 else []
     finally:
         held.unpersist()
     return spark.createDataFrame(rows, schema).withColumn(
@@ -259,6 +276,8 @@ def fold_scores(
     Folds group by episode. A class missing from a training fold keeps its place in the
     label order, so losses stay comparable.
     """
+    if scoring not in ("accuracy", "neg_log_loss"):
+        raise ValueError(f"unknown scoring: {scoring!r}")
     spark = transitions.sparkSession
     held = transitions.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -269,18 +288,19 @@ def fold_scores(
             splits = min(n_splits, max(2, episodes))
             total = sum(sizes.values())
             folded = with_folds(held, splits, episodes).persist(StorageLevel.MEMORY_AND_DISK)
-            for name, feature_set in models:
-                for fold in range(splits):
-                    score, error = None, None
-                    try:
-                        train = folded.filter(F.col("_fold") != fold)
-                        model = _fit(train, feature_set, list(sizes), "next_state")
-                        score = _score(model, folded.filter(F.col("_fold") == fold), scoring)
-                    except Exception as problem:
-                        if scoring not in ("accuracy", "neg_log_loss"):
-                            raise
-                        error = str(problem)
-                    rows.append((name, feature_set, fold, score, splits, episodes, total, error))
+
+            def run(task: tuple[str, str, int]) -> tuple:
+                name, feature_set, fold = task
+                score, error = None, None
+                try:
+                    train = folded.filter(F.col("_fold") != fold)
+                    model = _fit(train, feature_set, list(sizes), "next_state")
+                    score = _score(model, folded.filter(F.col("_fold") == fold), scoring)
+                except Exception as problem:
+                    error = str(problem)
+                return name, feature_set, fold, score, splits, episodes, total, error
+
+            rows = _in_parallel(run, [(n, s, f) for n, s in models for f in range(splits)])
             folded.unpersist()
     finally:
         held.unpersist()

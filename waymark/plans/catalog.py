@@ -289,14 +289,14 @@ def paired_bootstrap(spark, sf_dir):
 
 @query
 def mcnemar(spark, sf_dir):
-    counts = significance.discordant_counts(_pairs(spark, sf_dir))
+    counts = significance.discordant_counts(significance.pair_counts(_pairs(spark, sf_dir)))
     p = significance.mcnemar_p("only_a", "only_b")
     return counts.select("metric", "only_a", "only_b", F.round(p, 6).alias("p_value"))
 
 
 @query
 def wilcoxon(spark, sf_dir):
-    counts = significance.difference_counts(_pairs(spark, sf_dir))
+    counts = significance.difference_counts(significance.pair_counts(_pairs(spark, sf_dir)))
     return significance.signed_ranks(counts)
 
 
