@@ -16,7 +16,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -120,10 +120,10 @@ def _sized(rows: DataFrame, n: int) -> DataFrame:
     return rows.coalesce(max(1, n // ROWS_PER_PARTITION))
 
 
-def _in_parallel(job, items: list) -> list:
+def _in_parallel(spark: SparkSession, job, items: list) -> list:
     """Run one driver call per item; the calls only submit Spark jobs."""
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(job), items))
+        return list(pool.map(inheritable_thread_target(spark)(job), items))
 
 
 def _fit(rows: DataFrame, feature_set: str, classes: list[str], target: str) -> TransitionModel:
@@ -224,7 +224,7 @@ def compare_baseline_models(transitions: DataFrame) -> DataFrame:
             except Exception as problem:  # a model that cannot be fitted is reported, not fatal
                 return name, feature_set, float("nan"), n, len(sizes), str(problem)
 
-        rows = _in_parallel(fit, list(MODELS)) if len(sizes) >= 2 else []
+        rows = _in_parallel(spark, fit, list(MODELS)) if len(sizes) >= 2 else []
     finally:
         held.unpersist()
     return spark.createDataFrame(rows, schema).withColumn(
@@ -300,7 +300,7 @@ def fold_scores(
                     error = str(problem)
                 return name, feature_set, fold, score, splits, episodes, total, error
 
-            rows = _in_parallel(run, [(n, s, f) for n, s in models for f in range(splits)])
+            rows = _in_parallel(spark, run, [(n, s, f) for n, s in models for f in range(splits)])
             folded.unpersist()
     finally:
         held.unpersist()

@@ -28,18 +28,10 @@ def read_episodes(spark: SparkSession, path) -> DataFrame:
     return read_jsonl(spark, path, EPISODE_DDL).select("*", seq.alias("episode_seq"))
 
 
-def malformed_lines(spark: SparkSession, path, schema: str = EPISODE_DDL) -> DataFrame:
-    """Audit of a log: file and text of each line that is not valid JSON."""
-    broken = "_broken"
-    return (
-        spark.read.schema(f"{schema}, {broken} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", broken)
-        .json(path)
-        .select(F.col("_metadata.file_path").alias("file"), "*")
-        .filter(F.col(broken).isNotNull())
-        .select("file", F.col(broken).alias("line"))
-    )
+def malformed_lines(spark: SparkSession, path) -> DataFrame:
+    """Audit of a log: file and text of each non-blank line that is not valid JSON."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNull())
 
 
 def sorted_fields(column: Column, dt: T.DataType) -> Column:
