@@ -23,3 +23,11 @@ def element_fields(df: DataFrame, array: str = "trajectory") -> list[T.StructFie
 def round4(c) -> Column:
     """Half-even rounding to four decimals, as reports show it."""
     return F.bround(as_col(c), 4)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda is otherwise folded into it and evaluated per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

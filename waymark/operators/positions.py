@@ -87,15 +87,18 @@ def with_previous(
     *,
     hot_rows: int = HOT_ROWS,
     block: int = BLOCK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``{new name: source column}`` values of the preceding row of the key.
 
     Hot keys: positions are cut into blocks, and the last row of a block also
-    travels to the next one, so each task sorts one block plus one row.
+    travels to the next one, so each task sorts one block plus one row. ``partitions``
+    fixes the task count for costly work on the pairs, which byte sizes would underrate.
     """
     key, order = names(key), names(order)
     if hot_keys(df, key, hot_rows).isEmpty():
         w = Window.partitionBy(*key).orderBy(*order)
+        df = df.repartition(partitions, *key) if partitions else df
         return df.select("*", *[F.lag(c).over(w).alias(n) for n, c in columns.items()])
     at = F.col("_pos")
     home = F.floor(at / block)
@@ -103,6 +106,7 @@ def with_previous(
     blocks = with_positions(df, key, order, name="_pos", hot_rows=hot_rows).withColumn(
         "_block", F.explode(copies)
     )
+    blocks = blocks.repartition(partitions, *key, "_block") if partitions else blocks
     w = Window.partitionBy(*key, "_block").orderBy("_pos")
     return (
         blocks.select("*", *[F.lag(c).over(w).alias(n) for n, c in columns.items()])

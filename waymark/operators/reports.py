@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark import vocabulary as V
-from waymark.functions.columns import element_fields, names, round4
+from waymark.functions.columns import element_fields, let, names, round4
 from waymark.functions.labels import EDIT_BUCKET_NAMES, checked_state, edit_bucket
 from waymark.operators.ranking import median_of, ranked_values
 from waymark.operators.trajectory import (
@@ -219,16 +219,23 @@ def transition_percent(episodes: DataFrame) -> DataFrame:
 
 def recovery_by_state(episodes: DataFrame) -> DataFrame:
     """Per error state: how often a visit is followed by a pass, at once or later."""
-    s = states()
-    last_pass = F.when(
-        F.array_contains(s, V.PASS), F.size(s) - F.array_position(F.reverse(s), V.PASS)
-    ).otherwise(F.lit(-1))
-    visits = F.transform(
-        s,
-        lambda x, i: F.struct(
-            x.alias("state"), F.get(s, i + 1).alias("_next"), (i < last_pass).alias("_later")
-        ),
-    )
+
+    def with_last_pass(s: Column) -> Column:
+        found = F.array_position(F.reverse(s), V.PASS)
+        last = F.when(found > 0, F.size(s) - found).otherwise(F.lit(-1))
+        return F.struct(s.alias("s"), last.alias("last_pass"))
+
+    def visits_of(row: Column) -> Column:
+        return F.transform(
+            row["s"],
+            lambda x, i: F.struct(
+                x.alias("state"),
+                F.get(row["s"], i + 1).alias("_next"),
+                (i < row["last_pass"]).alias("_later"),
+            ),
+        )
+
+    visits = let(let(states(), with_last_pass), visits_of)
     rows = episodes.select(_passed_hidden().alias("_hidden"), F.inline(visits)).filter(
         ~F.col("state").isin(*V.NON_ERROR)
     )
@@ -254,17 +261,20 @@ def recovery_by_state(episodes: DataFrame) -> DataFrame:
 
 def run_lengths(episodes: DataFrame, *keep: str) -> DataFrame:
     """One row per run of equal states with its length."""
-    held = episodes.select(*keep, states().alias("_s")).withColumn(
-        "_starts", run_starts(F.col("_s"))
-    )
-    runs = F.transform(
-        "_starts",
-        lambda p, j: F.struct(
-            F.get("_s", p).alias("state"),
-            (F.coalesce(F.get("_starts", j + 1), F.size("_s")) - p).alias("run_length"),
-        ),
-    )
-    return held.select(*keep, F.inline(runs))
+
+    def with_starts(s: Column) -> Column:
+        return F.struct(s.alias("s"), run_starts(s).alias("starts"))
+
+    def runs_of(row: Column) -> Column:
+        return F.transform(
+            row["starts"],
+            lambda p, j: F.struct(
+                F.get(row["s"], p).alias("state"),
+                (F.coalesce(F.get(row["starts"], j + 1), F.size(row["s"])) - p).alias("run_length"),
+            ),
+        )
+
+    return episodes.select(*keep, F.inline(let(let(states(), with_starts), runs_of)))
 
 
 def dwell_time_summary(episodes: DataFrame) -> DataFrame:
@@ -284,25 +294,28 @@ def regression_summary(episodes: DataFrame, *, validate: bool = False) -> DataFr
 
     A projection of the nested record: no shuffle, episodes with one attempt stay.
     """
-    s, r = states(), F.col("trajectory.feedback_pass_rate")
-    if validate:
-        s = F.transform(s, checked_state)
-    steps = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    worse = F.filter(steps, lambda i: F.get(r, i) < F.get(r, i - 1))
-    broke = F.filter(
-        steps,
-        lambda i: F.get(s, i - 1).isin(*V.RUNNABLE_FAILURE) & F.get(s, i).isin(*V.NON_RUNNABLE),
-    )
+    s = F.transform(states(), checked_state) if validate else states()
+
+    def counts(row: Column) -> Column:
+        s, r = row["s"], row["r"]
+        steps = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        worse = F.filter(steps, lambda i: F.get(r, i) < F.get(r, i - 1))
+        broke = F.filter(
+            steps,
+            lambda i: F.get(s, i - 1).isin(*V.RUNNABLE_FAILURE) & F.get(s, i).isin(*V.NON_RUNNABLE),
+        )
+        return F.struct(
+            F.size(steps).alias("transitions"),
+            F.size(worse).alias("test_pass_regressions"),
+            F.size(broke).alias("runnability_regressions"),
+        )
+
+    both = F.struct(s.alias("s"), F.col("trajectory.feedback_pass_rate").alias("r"))
     counted = episodes.select(
-        "episode_id",
-        "problem_id",
-        "model_id",
-        F.size(steps).alias("transitions"),
-        F.size(worse).alias("test_pass_regressions"),
-        F.size(broke).alias("runnability_regressions"),
-    )
+        "episode_id", "problem_id", "model_id", let(both, counts).alias("_c")
+    ).select("episode_id", "problem_id", "model_id", "_c.*")
 
     def rate(c: str) -> Column:
         n = F.col("transitions")
@@ -323,11 +336,14 @@ def edit_distance_summary(attempts: DataFrame) -> DataFrame:
     name = "edit_distance_from_previous"
     if name not in attempts.columns:
         attempts = attempts.withColumn(name, F.lit(None).cast("double"))
+    # NULL distances fall out by their count: a filter on the distance itself would be
+    # pushed down and compute it twice.
     tally = (
-        attempts.filter(F.col(name).isNotNull() & F.col("state").isNotNull())
+        attempts.filter(F.col("state").isNotNull())
         .select("state", F.col(name).alias("d"))
         .groupBy("state", "d")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("d").alias("n"))
+        .filter(F.col("n") > 0)
     )
     d, n = F.col("d"), F.col("n")
     bucket = edit_bucket(d)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from waymark import vocabulary as V
 from waymark.functions import labels
-from waymark.functions.columns import element_fields, names
+from waymark.functions.columns import element_fields, let, names
 from waymark.functions.text import edit_distance
 
 
@@ -151,16 +151,15 @@ def enrich_trajectories(episodes: DataFrame, *, policy: str | None = None) -> Da
     ``feedback_type`` when a policy is named. Existing values are replaced.
     """
     have = [f.name for f in element_fields(episodes)]
-    base = episodes.withColumn("_s", states()).withColumn("_starts", run_starts(F.col("_s")))
 
-    def item(x: Column, i: Column) -> Column:
-        history = F.slice(F.col("_s"), F.lit(1), i + 1)
-        before = F.get(F.col("trajectory"), i - 1)
+    def item(row: Column, x: Column, i: Column) -> Column:
+        history = F.slice(row["s"], F.lit(1), i + 1)
+        before = F.get(row["t"], i - 1)
         new = {
             "previous_state": F.when(i > 0, before["state"]),
             "dwell_time_current_state": i
             + 1
-            - F.array_max(F.filter(F.col("_starts"), lambda p: p <= i)),
+            - F.array_max(F.filter(row["starts"], lambda p: p <= i)),
             "ordered_history": history,
             "cumulative_state_counts": F.map_from_entries(
                 F.transform(
@@ -186,7 +185,19 @@ def enrich_trajectories(episodes: DataFrame, *, policy: str | None = None) -> Da
         kept = [x[c].alias(c) for c in have if c not in new]
         return F.struct(*kept, *[v.alias(k) for k, v in new.items()])
 
-    return base.withColumn("trajectory", F.transform("trajectory", item)).drop("_s", "_starts")
+    def with_states(t: Column) -> Column:
+        return F.struct(t.alias("t"), t["state"].alias("s"))
+
+    def with_starts(row: Column) -> Column:
+        return F.struct(row["t"].alias("t"), row["s"].alias("s"), run_starts(row["s"]).alias("starts"))
+
+    def enriched(row: Column) -> Column:
+        return F.transform(row["t"], lambda x, i: item(row, x, i))
+
+    return episodes.withColumn(
+        "trajectory",
+        let(let(let(F.col("trajectory"), with_states), with_starts), enriched),
+    )
 
 
 def adjacent_pairs(episodes: DataFrame, *keep: str) -> DataFrame:
@@ -217,8 +228,8 @@ def build_transition_dataset(episodes: DataFrame, history_length: int = 3) -> Da
     def field(x: Column, name: str, default: Column) -> Column:
         return F.coalesce(x[name], default) if name in have else default
 
-    def item(i: Column) -> Column:
-        x, before = F.get(F.col("trajectory"), i), F.get(F.col("trajectory"), i - 1)
+    def item(t: Column, i: Column) -> Column:
+        x, before = F.get(t, i), F.get(t, i - 1)
         budget = (
             x["max_attempts"]
             if "max_attempts" in have
@@ -230,7 +241,7 @@ def build_transition_dataset(episodes: DataFrame, history_length: int = 3) -> Da
         )
         return F.struct(
             x["state"].alias("current_state"),
-            F.get(F.col("trajectory"), i + 1)["state"].alias("next_state"),
+            F.get(t, i + 1)["state"].alias("next_state"),
             x["attempt"].alias("attempt"),
             labels.normalized_attempt(x["attempt"], budget).alias("attempt_normalized"),
             field(x, "dwell_time_current_state", F.lit(1)).alias("dwell_time_current_state"),
@@ -243,11 +254,13 @@ def build_transition_dataset(episodes: DataFrame, history_length: int = 3) -> Da
             ).alias("_counts"),
         )
 
-    # Every field above is part of the array items, so one generator makes the rows.
-    last = F.size("trajectory") - 2
-    steps = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    def items(t: Column) -> Column:
+        last = F.size(t) - 2
+        steps = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda i: item(t, i))
+
     top = ["episode_id", "problem_id", "model_id"]
-    rows = episodes.select(*top, "final_outcome", F.inline(F.transform(steps, item)))
+    rows = episodes.select(*top, "final_outcome", F.inline(let(F.col("trajectory"), items)))
     window = history_window(F.col("_history"), history_length)
     numbers = {"attempt", "attempt_normalized", "dwell_time_current_state",
                "feedback_pass_rate", "delta_feedback_pass_rate"}

@@ -26,8 +26,10 @@ def _turn_state() -> Column:
 
 def answer_edits(conversations: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Assistant turns with the edit distance to the one before in the conversation."""
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_previous(
-        _answers(conversations), "conv_id", "turn", {"previous": "text"}, hot_rows=hot_rows
+        _answers(conversations), "conv_id", "turn", {"previous": "text"},
+        hot_rows=hot_rows, partitions=tasks,
     )
     return rows.select(
         "conv_id",
