@@ -19,6 +19,9 @@ def connect(sf_dir: str):
     return con
 
 
+DIGITS = 9
+
+
 def _cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -27,7 +30,7 @@ def _cell(v):
     if hasattr(v, "as_tuple"):
         v = float(v)
     if isinstance(v, (int, float)):
-        return f"{float(v):.9g}"
+        return f"{float(v):.{DIGITS}g}"
     return str(v)
 
 

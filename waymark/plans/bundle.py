@@ -17,7 +17,8 @@ from waymark.sources.report_files import write_reports
 def report_bundle(episodes: DataFrame, *, history_length: int = 3, models: bool = True) -> dict:
     """All tables of a run by name. Everything is lazy but the two model tables.
 
-    ``episodes`` is read once per table that is used; hand in a stored table.
+    ``episodes`` is read once per table that is used; hand in a stored table, e.g. the
+    result of :func:`waymark.session.stage`.
     """
     attempts = flatten_attempts(episodes)
     transitions = build_transition_dataset(episodes, history_length)

@@ -16,7 +16,7 @@ from waymark.functions import audit, feedback, labels, text
 from waymark.operators import classify, markov, prompts, reports, splitting, significance
 from waymark.operators import trajectory as T
 from waymark.plans.bundle import report_bundle
-from waymark.session import ship_package, table
+from waymark.session import ship_package, stage, table
 from waymark.sources import conversation_log, problems
 from waymark.sources.event_log import event_episodes
 from waymark.sources.jsonl import to_json_line
@@ -341,20 +341,20 @@ def markov_test(spark, sf_dir):
 
 @query
 def next_state_probabilities(spark, sf_dir):
-    rows = _transitions(spark, sf_dir)
+    rows = stage(_transitions(spark, sf_dir))
     return markov.predict_next_state_probabilities(markov.fit_transition_model(rows), rows)
 
 
 @query
 def direct_recovery(spark, sf_dir):
-    rows = _transitions(spark, sf_dir)
+    rows = stage(_transitions(spark, sf_dir))
     return markov.predict_next_state_probabilities(markov.fit_direct_recovery_model(rows), rows)
 
 
 @query
 def report_bundle_sizes(spark, sf_dir):
     """Row count of every lazy table of the bundle."""
-    tables = report_bundle(enriched(spark, sf_dir), models=False)
+    tables = report_bundle(stage(enriched(spark, sf_dir)), models=False)
     out = None
     for name, df in tables.items():
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
@@ -554,7 +554,9 @@ def normalize_problems(spark, sf_dir):
 
 @query
 def parse_tests(spark, sf_dir):
-    raw = benchmark_table(spark, sf_dir)
+    # Parsing is bound by CPU, so rows are spread evenly whatever the files look like.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = benchmark_table(spark, sf_dir).drop("prompt").repartition(tasks, "task_id")
     parsed = raw.select("task_id", problems.parse_tests(raw, "test", max_tests=None).alias("t"))
     return parsed.select("task_id", F.posexplode("t").alias("test_pos", "t")).select(
         "task_id", "test_pos", "t.input", "t.expected"

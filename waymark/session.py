@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,26 @@ def ship_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach, as the cluster names it; a local one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The same rows from a table written to the shared folder.
+
+    For inputs that many plans read: they are computed once, read column by column, and
+    survive the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
