@@ -20,7 +20,9 @@ def ranked_values(
     ties are one row. Running sums go over bin totals first and then inside each bin.
     """
     by = names(by)
-    binned = counts.withColumn("_bin", F.floor(F.col(value) * bins))
+    # Never NULL: a filter the join would infer on the bin keeps the two reads of ``counts``
+    # from being the same plan, and they would both be computed.
+    binned = counts.withColumn("_bin", F.coalesce(F.floor(F.col(value) * bins), F.lit(0)))
     over_bins = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         binned.groupBy(*by, "_bin")
