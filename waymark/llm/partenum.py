@@ -14,8 +14,10 @@ the connected components. Equal sets are one set from the start.
    not empty must be shared. Sets for which the count does not hold are met by all their shingles.
 3. Links among sets that share their most frequent sampled signature are found first, in blocks. Only
    components of those links are then paired by signatures, so a large group of near copies is one
-   party there and not all its pairs. A candidate pair is compared by 16-bit shingles, which can
-   only overstate the overlap, and what passes by the full ones.
+   party there and not all its pairs. Partners share a number of signatures that a set's own parts
+   tell; so where a signature is frequent, each set may leave out that number less one of its most
+   frequent, which takes passages that many documents share out of the pairing. Candidate pairs
+   are compared by all their shingles, in blocks of the larger component.
 
 Defined cases: A-Z is read as a-z; a text with fewer words than a shingle is one shingle; texts
 without words and NULL are sets of size 0, linked with nothing; rows of one doc_id are one document;
@@ -25,6 +27,7 @@ repeated rows each give a row; other columns do not matter. Names of shingles ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import checkpointed, text_of
 from waymark.llm.components import components
-from waymark.llm.substrings import _ASKED, _HEAD, _OWN, _ROW, _Rows, _ask, _judge, _names, _places  # noqa: F401
+from waymark.llm.substrings import _ASKED, _HEAD, _ROW, _Rows, _answers, _ask, _judge, _names
 from waymark.llm.wordhash import Words, mix, slices, windows, words
 
 SHINGLE = 5
-BUCKET_SHINGLES, BLOCK = 400_000, 1000
+BUCKET_SHINGLES, BLOCK, OFTEN = 400_000, 1000, 4
 SUBPARTS, PARTS_PER_SIZE, PARTS_MORE = 3, 0.15, 8
 BROADCAST_ROWS = 500_000  # of 24 bytes
 _U = np.uint64
@@ -100,7 +103,7 @@ def _profile(bits: int):
                 )
                 out.add(int(mix(np.array([batch], np.uint64))[0] % (1 << bits)), batch, _HEAD, _to_bytes(head))
                 asked = hashes[mine]
-                _ask(out, batch, _names(asked, bits), np.arange(len(asked)), bits)
+                _ask(out, batch, _names(asked, bits), np.arange(len(asked)), bits, named=False)
                 yield from out.table().to_batches()
 
     return run
@@ -109,12 +112,11 @@ def _profile(bits: int):
 def _live(table: pa.Table) -> pa.Table:
     """A row per document of a batch: its set, and whether 3/4 of it occurs elsewhere."""
     head, places = None, [np.zeros(0, np.int64)]
-    for _, _, kind, data in zip(*(c.to_pylist() for c in table.columns)):
+    for bucket, _, kind, data in zip(*(c.to_pylist() for c in table.columns)):
         if kind == _HEAD:
             head = pa.ipc.open_stream(data).read_all()
         else:
-            n = len(data) // 12
-            places.append(_places(np.frombuffer(data, np.uint8)[: 4 * n], n))
+            places.append(_answers(bucket, kind, data)[0])
     size, leader, stop = (np.asarray(head.column(c)) for c in ("n_shingles", "leader", "stop"))
     found = np.bincount(np.searchsorted(stop, np.concatenate(places), side="right"), minlength=len(size))
     live = (4 * found >= 3 * size) & (size > 0)
@@ -128,7 +130,7 @@ def document_sets(docs: DataFrame, bucket_shingles: int = BUCKET_SHINGLES) -> Da
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / 6 / bucket_shingles))), 8, 24))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = given.mapInArrow(_profile(bits), _ROW).groupBy("bucket").applyInArrow(_judge(bits), _ROW)
+    rows = given.mapInArrow(_profile(bits), _ROW).groupBy("bucket").applyInArrow(_judge(bits, named=False), _ROW)
     return rows.groupBy("batch").applyInArrow(_live, f"doc_id {kind}, n_shingles long, key1 long, key2 long, live boolean")
 
 
@@ -157,15 +159,19 @@ def band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(size, 1))).astype(_I)
 
 
-def signatures(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set index and signature, and for each set whether its count is too low to rely on them."""
+class Signatures(NamedTuple):
+    row: np.ndarray  # of each signature: a set in one band
+    value: np.ndarray
+    sets: np.ndarray  # of each row: the set
+    least: np.ndarray  # of each row: how many signatures a partner shares at least
+    risky: np.ndarray  # of each set: whether that may be none
+
+
+def signatures(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> Signatures:
     own = band(size)
-    sets, bands = [np.arange(len(size))], [own]
     up = np.flatnonzero(4 * size >= 3 * (1 << (own + 1)))
-    sets.append(up)
-    bands.append(own[up] + 1)
-    sets, bands = np.concatenate(sets), np.concatenate(bands)
-    # a row of subparts for each set and band
+    sets, bands = np.concatenate([np.arange(len(size)), up]), np.concatenate([own, own[up] + 1])
+    # a line of subparts for each set and band
     m = (np.ceil(PARTS_PER_SIZE * (1 << (bands + 1))) + PARTS_MORE).astype(_I)
     base = np.cumsum(m) - m
     ends = np.searchsorted(owner, np.arange(len(size) + 1))
@@ -181,17 +187,22 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple
     filled = np.bincount(cell, minlength=len(total)).reshape(-1, SUBPARTS) > 0
     total = total.reshape(-1, SUBPARTS)
     number = filled.sum(axis=1)
-    count = np.add.reduceat((number > 0).astype(_I) + (number > 1), base) if len(base) else np.zeros(0, _I)
-    risky = count[: len(size)] <= 2 * size // 7
+    summed = lambda x: np.add.reduceat(x.astype(_I), base) if len(base) else np.zeros(0, _I)
+    some, two = summed(number > 0), summed(number > 1)
+    risky = (some + two)[: len(size)] <= 2 * size // 7
+    # the first difference in a part costs two signatures, the second the last one
+    apart = (n + np.minimum(4 * n // 3, (1 << (bands + 1)) - 1)) // 7
+    lost = 2 * np.minimum(apart, some) + np.minimum(np.maximum(apart - some, 0), two)
+    least = np.maximum(1, 3 * two + 2 * (some - two) - lost)
     place = np.repeat(bands, m) * (1 << 32) + np.arange(int(m.sum())) - np.repeat(base, m)
-    whose = np.repeat(sets, m)
+    whose = np.repeat(np.arange(len(sets)), m)
     found, of = [], []
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        some = filled[:, i] | filled[:, j]
-        label = mix((place[some] * SUBPARTS + i + j).astype(np.uint64), 43)
-        found.append(mix(mix(total[some, i] + label) + total[some, j]))
-        of.append(whose[some])
-    return np.concatenate(of), np.concatenate(found), risky
+        used = filled[:, i] | filled[:, j]
+        label = mix((place[used] * SUBPARTS + i + j).astype(np.uint64), 43)
+        found.append(mix(mix(total[used, i] + label) + total[used, j]))
+        of.append(whose[used])
+    return Signatures(np.concatenate(of), np.concatenate(found), sets, least, risky)
 
 
 SAMPLES = 16
@@ -200,10 +211,10 @@ SAMPLES = 16
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sixteenth of the signatures, and NULL for a set that they do not settle."""
     for batch in batches:
-        of, found, risky = signatures(*_unpack(batch.column("shingles").to_pylist()))
-        some = found % _U(SAMPLES) < _U(2)
-        of, found = of[some], found[some]
-        risk = np.flatnonzero(risky)
+        s = signatures(*_unpack(batch.column("shingles").to_pylist()))
+        some = s.value % _U(SAMPLES) < _U(2)
+        of, found = s.sets[s.row[some]], s.value[some]
+        risk = np.flatnonzero(s.risky)
         reps = batch.column("rep").take(pa.array(np.concatenate([of, risk])))
         sig = pa.concat_arrays([pa.array(found.view(_I)), pa.nulls(len(risk), pa.int64())])
         yield pa.RecordBatch.from_arrays([reps, sig], ["rep", "sig"])
@@ -249,97 +260,151 @@ def _links_in(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+_PAIRS, _OFTEN = 4, 5
+
+
+def _deal(out: _Rows, batch: int, value: np.ndarray, comp: np.ndarray, row: np.ndarray, bits: int) -> None:
+    """A row per bucket with its signatures, their components and the rows they are of."""
+    bucket = (value >> _U(64 - bits)).astype(_I)
+    order = np.argsort(bucket, kind="stable")
+    value, comp, row, bucket = value[order], comp[order], row[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
+        out.add(int(bucket[x]), batch, _ASKED, np.stack([value[x:y].view(_I), comp[x:y], row[x:y]]).tobytes())
+
+
 def _by_signature(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() + 1) << 24
         for batch in batches:
-            of, found, _ = signatures(*_unpack(batch.column("shingles").to_pylist()))
-            comp = np.asarray(batch.column("comp"))[of]
-            pairs = np.unique(np.stack([found, comp.view(np.uint64)]), axis=1)
-            bucket = (pairs[0] >> _U(64 - bits)).astype(_I)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            blobs = [pairs[:, x:y].tobytes() for x, y in zip(cuts, np.append(cuts[1:], len(bucket)))]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            if not len(batch):
+                continue
+            number += 1
+            out = _Rows()
+            s = signatures(*_unpack(batch.column("shingles").to_pylist()))
+            comp = np.asarray(batch.column("comp"))[s.sets]
+            out.add(number % (1 << bits), number, _HEAD, np.stack([comp, s.least]).tobytes())
+            _deal(out, number, s.value, comp[s.row], s.row, bits)
+            yield from out.table().to_batches()
 
     return run
 
 
-def _pairs_of(table: pa.Table) -> pa.Table:
-    """Distinct pairs of components that share a signature of this bucket."""
-    all_ = np.concatenate([np.frombuffer(b, np.uint64).reshape(2, -1) for b in table.column("data").to_pylist()], axis=1)
-    all_ = np.unique(all_, axis=1)
-    cuts = np.flatnonzero(np.append(True, all_[0][1:] != all_[0][:-1]))
-    number = np.diff(np.append(cuts, all_.shape[1]))
-    comp = all_[1].view(_I)
-    out, held = [], 0
-    for at, n in zip(cuts[number > 1].tolist(), number[number > 1].tolist()):
-        i, j = np.triu_indices(n, 1)
-        out.append(np.stack([comp[at + i], comp[at + j]]))
-        held += len(i)
-        if held > 1 << 20:
-            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-            held = 0
-    got = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), _I)
-    low, high = np.minimum(got[0], got[1]), np.maximum(got[0], got[1])
-    return pa.Table.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-
-
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as sorted 16-bit numbers."""
+def _meet(often: int | None):
+    """Pairs of components that share a signature of a bucket. Signatures of more than ``often``
+    components go back to their rows, with that number, so that each can leave out its most frequent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, blobs, sizes, batches, where = _Rows(), [], [], [], 0
+        for bucket, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
+            where = bucket
+            if kind == _HEAD:
+                if often:
+                    out.add(bucket, batch, _HEAD, data)
+                continue
+            blobs.append(np.frombuffer(data, _I).reshape(3, -1))
+            sizes.append(blobs[-1].shape[1])
+            batches.append(batch)
+        if not blobs:
+            return out.table()
+        value, comp, row = np.concatenate(blobs, axis=1)
+        batch = np.repeat(np.array(batches, _I), sizes)
+        both = np.unique(np.stack([value, comp]), axis=1)
+        keys, first, count = np.unique(both[0], return_index=True, return_counts=True)
+        if often:
+            total = count[np.searchsorted(keys, value)]
+            back = np.flatnonzero(total > often)
+            back = back[np.argsort(batch[back], kind="stable")]
+            cuts = np.flatnonzero(np.diff(batch[back], prepend=-1))
+            for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(back)).tolist()):
+                at = back[x:y]
+                out.add(where, int(batch[at[0]]), _OFTEN, np.stack([value[at], row[at], total[at]]).tobytes())
+        few = (count > 1) & (count <= (often or np.inf))
+        got, held = [], 0
+        for at, n in zip(first[few].tolist(), count[few].tolist()):
+            i, j = np.triu_indices(n, 1)
+            got.append(np.stack([both[1][at + i], both[1][at + j]]))
+            held += len(i)
+            if held > 1 << 20:
+                got, held = [np.unique(np.concatenate(got, axis=1), axis=1)], 0
+        if got:
+            pairs = np.unique(np.sort(np.concatenate(got, axis=1), axis=0), axis=1)
+            out.add(where, 0, _PAIRS, pairs.tobytes())
+        return out.table()
+
+    return run
+
+
+def _rarer(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The frequent signatures of a batch without each row's ``least`` - 1 most frequent ones.
+
+        Partners share ``least`` signatures; the rarest of those is in what both keep."""
+        head, found, batch = None, [np.zeros((3, 0), _I)], 0
+        for _, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
+            if kind == _HEAD:
+                head = np.frombuffer(data, _I).reshape(2, -1)
+            else:
+                found.append(np.frombuffer(data, _I).reshape(3, -1))
+        value, row, total = np.concatenate(found, axis=1)
+        order = np.lexsort((value, -total, row))
+        value, row = value[order], row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank >= head[1][row] - 1
+        out = _Rows()
+        _deal(out, batch, value[keep].view(np.uint64), head[0][row[keep]], row[keep], bits)
+        return out.table()
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [np.sort(np.frombuffer(b, np.uint64).astype(np.uint16)).tobytes() for b in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("rep"), pa.array(blobs, pa.binary())], ["comp", "rep", "short"])
+        for data in batch.column("data").to_pylist():
+            a, b = np.frombuffer(data, _I).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _ranked(values: np.ndarray) -> np.ndarray:
-    """16-bit values of one set made distinct: the k-th of equal ones is another number."""
-    first = np.searchsorted(values, values)
-    return values.astype(_I) * 65536 + (np.arange(len(values)) - first)
+def component_pairs(told: DataFrame, bits: int, often: int = OFTEN) -> DataFrame:
+    """Pairs a < b of components with a signature in common, for (rep, shingles, comp)."""
+    rows = told.mapInArrow(_by_signature(bits), _ROW).groupBy("bucket").applyInArrow(_meet(often), _ROW)
+    rows = checkpointed(rows)
+    again = rows.filter(F.col("kind") != _PAIRS).groupBy("batch").applyInArrow(_rarer(bits), _ROW)
+    again = again.groupBy("bucket").applyInArrow(_meet(None), _ROW)
+    packed = rows.filter(F.col("kind") == _PAIRS).unionByName(again).select("data")
+    return packed.mapInArrow(_unpacked, "a long, b long").distinct()
 
 
-def _maybe(table: pa.Table) -> pa.Table:
-    """Queries against the sets of their targets: the pairs whose overlap may be enough."""
-    cols = table.to_pydict()
+def _compare(table: pa.Table) -> pa.Table:
+    """Queries against the sets of their targets: one link for a query and a part of a component."""
+    asks, comps, spots, reps, blobs = (table.column(c).to_pylist() for c in ("asks", "comp", "part", "rep", "shingles"))
     targets: dict[tuple, list[int]] = {}
-    for k, (asks, comp, part) in enumerate(zip(cols["asks"], cols["comp"], cols["part"])):
-        if not asks:
-            targets.setdefault((comp, part), []).append(k)
+    for k, key in enumerate(zip(comps, spots)):
+        if not asks[k]:
+            targets.setdefault(key, []).append(k)
     queries: dict[tuple, list[int]] = {}
-    for k, (asks, comp, part) in enumerate(zip(cols["asks"], cols["comp"], cols["part"])):
-        if asks and (comp, part) in targets:
-            queries.setdefault((comp, part), []).append(k)
-    values: dict[int, np.ndarray] = {}
-    set_of = lambda k: values[k] if k in values else values.setdefault(k, _ranked(np.frombuffer(cols["short"][k], np.uint16)))
+    for k, key in enumerate(zip(comps, spots)):
+        if asks[k] and key in targets:
+            queries.setdefault(key, []).append(k)
     a, b = [], []
     for key, asked in queries.items():
         members = targets[key]
-        parts = [set_of(k) for k in members]
-        size = np.array([len(p) for p in parts])
-        every = np.concatenate(parts)
+        every, owner, size = _unpack([blobs[k] for k in members])
         order = np.argsort(every, kind="stable")
-        every, owner = every[order], np.repeat(np.arange(len(parts)), size)[order]
+        every, owner = every[order], owner[order]
         for k in asked:
-            own = set_of(k)
+            own = np.frombuffer(blobs[k], np.uint64)
             lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
             number = hi - lo
             at = np.repeat(lo - (np.cumsum(number) - number), number) + np.arange(number.sum())
-            both = np.bincount(owner[at], minlength=len(parts))
-            for j in np.flatnonzero(4 * both >= 3 * (size + len(own) - both)).tolist():
-                if cols["rep"][members[j]] != cols["rep"][k]:
-                    a.append(cols["rep"][k])
-                    b.append(cols["rep"][members[j]])
+            both = np.bincount(owner[at], minlength=len(members))
+            near = np.flatnonzero(4 * both >= 3 * (size + len(own) - both))
+            if len(near):  # the members of a part are connected, so one link says it all
+                a.append(reps[k])
+                b.append(reps[members[near[0]]])
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(4 * both >= 3 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: links that connect what all links connect, for sets (rep long, shingles)."""
     spark = sets.sparkSession
@@ -359,8 +424,7 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     comps = checkpointed(components(found))
     told = checkpointed(sets.join(comps, sets["rep"] == comps["node"], "left").select("rep", "shingles", F.coalesce("label", "rep").alias("comp")))
     bits = int(np.clip(np.ceil(np.log2(max(1, number / 500))), 6, 20))
-    packed = told.mapInArrow(_by_signature(bits), "bucket int, data binary")
-    pairs = packed.groupBy("bucket").applyInArrow(_pairs_of, "a long, b long").distinct()
+    pairs = component_pairs(told, bits)
     risky = sampled.filter(F.col("sig").isNull()).select("rep").distinct()
     if not risky.isEmpty():
         pairs = pairs.unionByName(_by_all_shingles(told, risky)).distinct()
@@ -372,17 +436,14 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
         F.ceil(F.when(less, F.col("nb")).otherwise(F.col("na")) / block).alias("parts"),
     )
     asked = checkpointed(asked)
-    short = told.mapInArrow(_short, "comp long, rep long, short binary")
     queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).join(
-        short.withColumnRenamed("comp", "from"), "from"
-    ).select(F.lit(True).alias("asks"), "comp", "part", "rep", "short")
-    goals = asked.select("comp", "parts").distinct().join(short, "comp").select(
-        F.lit(False).alias("asks"), "comp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "short"
+        told.withColumnRenamed("comp", "from"), "from"
+    ).select(F.lit(True).alias("asks"), "comp", "part", "rep", "shingles")
+    goals = asked.select("comp", "parts").distinct().join(told, "comp").select(
+        F.lit(False).alias("asks"), "comp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "shingles"
     )
     key = F.pmod(F.xxhash64("comp", "part"), F.lit(groups))
-    maybe = queries.unionByName(goals).withColumn("key", key).groupBy("key").applyInArrow(_maybe, "a long, b long").distinct()
-    whole_a, whole_b = (told.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    sure = maybe.join(whole_a, "a").join(whole_b, "b").mapInArrow(_exact, "a long, b long")
+    sure = queries.unionByName(goals).withColumn("key", key).groupBy("key").applyInArrow(_compare, "a long, b long")
     return found.unionByName(sure)
 
 

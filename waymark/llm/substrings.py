@@ -33,15 +33,17 @@ from pyspark.sql import types as T
 from waymark.llm.common import text_of
 from waymark.llm.wordhash import mix, slices, windows, words
 
-WINDOW = 35
+WINDOW, FIRST = 35, 18
 BUCKET_WINDOWS = 400_000  # about as many windows are counted together
 _U = np.uint64
-_HEAD, _OWN, _ASKED, _KNOWN = range(4)  # documents of a batch, its own repeats, questions, repeats as entries
+#: Rows of the exchange: documents of a batch, its own repeats (places with names, or places alone),
+#: questions, repeats as entries; and answers. Those of a bucket lack the bits that are its number.
+_HEAD, _OWN, _ASKED, _KNOWN, _BARE, _ANSWER = 0, 1, 2, 3, 6, 7
 FOUND = ("n_words", "n_removed", "kept")
 _ROW = "bucket int, batch long, kind int, data binary"
 
 
-def levels_to(window: int, first: int = 9) -> list[int]:
+def levels_to(window: int, first: int = FIRST) -> list[int]:
     """Doubling lengths that end at ``window``: half of it, half of that, until ``first`` is reached."""
     out = [window]
     while out[0] > first:
@@ -81,7 +83,7 @@ class _Rows:
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "batch", "kind", "data"])
 
 
-def _ask(out: _Rows, batch: int, names: np.ndarray, places: np.ndarray, bits: int) -> None:
+def _ask(out: _Rows, batch: int, names: np.ndarray, places: np.ndarray, bits: int, named: bool = True) -> None:
     """Rows that ask which windows are repeated; those repeated inside the batch are answered at once."""
     if not len(names):
         return
@@ -94,7 +96,10 @@ def _ask(out: _Rows, batch: int, names: np.ndarray, places: np.ndarray, bits: in
     own = np.sort(order[np.repeat(many, np.diff(np.append(first, len(order))))])
     if len(own):
         here = batch % (1 << bits)
-        out.add(here, batch, _OWN, _steps(places[own]) + names[own].astype("<u8").tobytes())
+        if named:
+            out.add(here, batch, _OWN, _steps(places[own]) + names[own].astype("<u8").tobytes())
+        else:
+            out.add(here, batch, _BARE, _steps(places[own]))
     for kind, chosen in ((_ASKED, order[first[~many]]), (_KNOWN, order[first[many]])):
         chosen = np.sort(chosen)
         bucket = (names[chosen] >> _U(32)).astype(np.int64)
@@ -112,7 +117,7 @@ def _names(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> _U(64 - bits - 32)
 
 
-def _first_level(size: int, bits: int):
+def _first_level(size: int, bits: int, named: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = (TaskContext.get().partitionId() + 1) << 24
         for given in batches:
@@ -128,18 +133,18 @@ def _first_level(size: int, bits: int):
                 mixed = int(mix(np.array([batch], np.uint64))[0] % (1 << bits))
                 out.add(mixed, batch, _HEAD, keys.astype("<i8").tobytes())
                 hashes, at = windows(w, size)
-                _ask(out, batch, _names(hashes, bits), at, bits)
+                _ask(out, batch, _names(hashes, bits), at, bits, named)
                 yield from out.table().to_batches()
 
     return run
 
 
-def _judge(bits: int):
+def _judge(bits: int, named: bool = True):
     def run(table: pa.Table) -> pa.Table:
         """Per batch: what it sent along, and the places of its questions that came more than once."""
         out, low, places, rows = _Rows(), [], [], []
         for bucket, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
-            if kind in (_HEAD, _OWN):
+            if kind in (_HEAD, _OWN, _BARE):
                 out.add(bucket, batch, kind, data)
                 continue
             raw = np.frombuffer(data, np.uint8)
@@ -159,31 +164,44 @@ def _judge(bits: int):
             for bucket, batch, n, kind, steps in rows:
                 hit = twice[at : at + n]
                 if kind == _ASKED and hit.any():
-                    names = number[at : at + n][hit].astype("<u8") | _U(bucket << 32)
-                    out.add(bucket, batch, _OWN, _steps(_places(steps, n)[hit]) + names.tobytes())
+                    found = _steps(_places(steps, n)[hit])
+                    if named:
+                        out.add(bucket, batch, _ANSWER, found + number[at : at + n][hit].tobytes())
+                    else:
+                        out.add(bucket, batch, _BARE, found)
                 at += n
         return out.table()
 
     return run
 
 
+def _answers(bucket: int, kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names in a row of repeats; no names where none were sent."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw) // {_OWN: 12, _ANSWER: 8, _BARE: 4}[kind]
+    if kind == _BARE:
+        return _places(raw, n), np.zeros(n, np.uint64)
+    if kind == _OWN:
+        return _places(raw[: 4 * n], n), np.frombuffer(data, "<u8", offset=4 * n)
+    return _places(raw[: 4 * n], n), raw[4 * n :].view("<u4").astype(np.uint64) | _U(bucket << 32)
+
+
 def _gather(table: pa.Table) -> tuple[int, np.ndarray, bytes, np.ndarray, np.ndarray]:
     """A batch's documents and its repeated windows in order of place."""
     head, places, names, batch, raw_head = np.zeros((4, 0), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0, b""
-    for _, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
-        raw = np.frombuffer(data, np.uint8)
+    for bucket, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
         if kind == _HEAD:
             head, raw_head = np.frombuffer(data, "<i8").reshape(4, -1), data
         else:
-            n = len(raw) // 12
-            places.append(_places(raw[: 4 * n], n))
-            names.append(np.frombuffer(data, "<u8", offset=4 * n))
+            found = _answers(bucket, kind, data)
+            places.append(found[0])
+            names.append(found[1])
     place, name = np.concatenate(places), np.concatenate(names)
     order = np.argsort(place)
     return batch, head, raw_head, place[order], name[order]
 
 
-def _next_level(size: int, wanted: int, bits: int):
+def _next_level(size: int, wanted: int, bits: int, named: bool):
     def run(table: pa.Table) -> pa.Table:
         batch, head, raw, place, name = _gather(table)
         out = _Rows()
@@ -196,7 +214,7 @@ def _next_level(size: int, wanted: int, bits: int):
             mixed = int(mix(np.array([batch], np.uint64))[0] % (1 << bits))
             if fits.any():
                 out.add(mixed, batch, _HEAD, raw)
-                _ask(out, batch, _names(hashes, bits), place[fits], bits)
+                _ask(out, batch, _names(hashes, bits), place[fits], bits, named)
         return out.table()
 
     return run
@@ -229,18 +247,19 @@ def _spans(size: int):
     return run
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, first: int = 9, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, first: int = FIRST, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """key1, key2, starts, lengths: runs of words to remove, for rows (key1, key2, text)."""
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / 6 / bucket_windows))), 8, 24))
     levels = levels_to(window, first)
-    rows = keyed.mapInArrow(_first_level(levels[0], bits), _ROW)
+    rows = keyed.mapInArrow(_first_level(levels[0], bits, len(levels) > 1), _ROW)
     for here, following in zip(levels, [*levels[1:], None]):
-        judged = rows.groupBy("bucket").applyInArrow(_judge(bits), _ROW)
+        # names are needed to make longer windows; the last level's places are enough
+        judged = rows.groupBy("bucket").applyInArrow(_judge(bits, following is not None), _ROW)
         by_batch = judged.groupBy("batch")
         if following is None:
             return by_batch.applyInArrow(_spans(here), "key1 long, key2 long, starts array<int>, lengths array<int>")
-        rows = by_batch.applyInArrow(_next_level(here, following, bits), _ROW)
+        rows = by_batch.applyInArrow(_next_level(here, following, bits, following != levels[-1]), _ROW)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +281,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, first: int = 9, bucket_windows: int = BUCKET_WINDOWS,
+    docs: DataFrame, window: int = WINDOW, first: int = FIRST, bucket_windows: int = BUCKET_WINDOWS,
     columns: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """The ``columns`` of every row with n_words, n_removed, kept: the words left, joined by one blank."""
