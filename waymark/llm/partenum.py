@@ -12,9 +12,9 @@ the connected components. Equal sets are one set from the start.
    subpart, so a part is lost to two differences, or to one if it has a single filled subpart; with
    more parts (counting those with two filled subparts twice) than 2b / 7, a signature that is
    not empty must be shared. Sets for which the count does not hold are met by all their shingles.
-3. Links among sets that share their most frequent sampled signature are found first, in blocks. Only
-   components of those links are then paired by signatures, so a large group of near copies is one
-   party there and not all its pairs. Partners share a number of signatures that a set's own parts
+3. Links among sets that share their most frequent sampled signature are found first, in blocks, from
+   ``ROUNDS`` samples. Only components of those links are then paired by signatures, so a large group
+   of near copies is one party there and not all its pairs, and sets of one block are not paired. Partners share a number of signatures that a set's own parts
    tell; so where a signature is frequent, each set may leave out that number less one of its most
    frequent, which takes passages that many documents share out of the pairing. Candidate pairs
    are compared by all their shingles, in blocks of the larger component.
@@ -205,14 +205,14 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> Signa
     return Signatures(np.concatenate(of), np.concatenate(found), sets, least, risky)
 
 
-SAMPLES = 16
+SAMPLES, ROUNDS = 16, 4
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sixteenth of the signatures, and NULL for a set that they do not settle."""
+    """A quarter of the signatures, and NULL for a set that they do not settle."""
     for batch in batches:
         s = signatures(*_unpack(batch.column("shingles").to_pylist()))
-        some = s.value % _U(SAMPLES) < _U(2)
+        some = s.value % _U(SAMPLES) < _U(ROUNDS)
         of, found = s.sets[s.row[some]], s.value[some]
         risk = np.flatnonzero(s.risky)
         reps = batch.column("rep").take(pa.array(np.concatenate([of, risk])))
@@ -263,14 +263,14 @@ def _links_in(table: pa.Table) -> pa.Table:
 _PAIRS, _OFTEN = 4, 5
 
 
-def _deal(out: _Rows, batch: int, value: np.ndarray, comp: np.ndarray, row: np.ndarray, bits: int) -> None:
-    """A row per bucket with its signatures, their components and the rows they are of."""
+def _deal(out: _Rows, batch: int, value: np.ndarray, about: np.ndarray, row: np.ndarray, bits: int) -> None:
+    """A row per bucket with its signatures, the rows they are of, and those rows' component and blocks."""
     bucket = (value >> _U(64 - bits)).astype(_I)
     order = np.argsort(bucket, kind="stable")
-    value, comp, row, bucket = value[order], comp[order], row[order], bucket[order]
+    value, about, row, bucket = value[order], about[:, order], row[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
-        out.add(int(bucket[x]), batch, _ASKED, np.stack([value[x:y].view(_I), comp[x:y], row[x:y]]).tobytes())
+        out.add(int(bucket[x]), batch, _ASKED, np.concatenate([[value[x:y].view(_I), row[x:y]], about[:, x:y]]).tobytes())
 
 
 def _by_signature(bits: int):
@@ -282,9 +282,9 @@ def _by_signature(bits: int):
             number += 1
             out = _Rows()
             s = signatures(*_unpack(batch.column("shingles").to_pylist()))
-            comp = np.asarray(batch.column("comp"))[s.sets]
-            out.add(number % (1 << bits), number, _HEAD, np.stack([comp, s.least]).tobytes())
-            _deal(out, number, s.value, comp[s.row], s.row, bits)
+            about = np.stack([np.asarray(batch.column(c))[s.sets] for c in ("comp", "spots1", "spots2")])
+            out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least]]).tobytes())
+            _deal(out, number, s.value, about[:, s.row], s.row, bits)
             yield from out.table().to_batches()
 
     return run
@@ -302,14 +302,16 @@ def _meet(often: int | None):
                 if often:
                     out.add(bucket, batch, _HEAD, data)
                 continue
-            blobs.append(np.frombuffer(data, _I).reshape(3, -1))
+            blobs.append(np.frombuffer(data, _I).reshape(5, -1))
             sizes.append(blobs[-1].shape[1])
             batches.append(batch)
         if not blobs:
             return out.table()
-        value, comp, row = np.concatenate(blobs, axis=1)
+        value, row, comp, *spots = np.concatenate(blobs, axis=1)
         batch = np.repeat(np.array(batches, _I), sizes)
-        both = np.unique(np.stack([value, comp]), axis=1)
+        both, at = np.unique(np.stack([value, comp]), axis=1, return_index=True)
+        # blocks of a component of one set, all of whose pairs are known: no link is left there
+        blocks = np.stack([h for x in spots for h in (x[at] >> 32, x[at] & 0xFFFFFFFF)])
         keys, first, count = np.unique(both[0], return_index=True, return_counts=True)
         if often:
             total = count[np.searchsorted(keys, value)]
@@ -323,8 +325,10 @@ def _meet(often: int | None):
         got, held = [], 0
         for at, n in zip(first[few].tolist(), count[few].tolist()):
             i, j = np.triu_indices(n, 1)
-            got.append(np.stack([both[1][at + i], both[1][at + j]]))
-            held += len(i)
+            x, y = blocks[:, at + i], blocks[:, at + j]
+            new = ~((x == y) & (x > 0)).any(axis=0)
+            got.append(np.stack([both[1][at + i[new]], both[1][at + j[new]]]))
+            held += int(new.sum())
             if held > 1 << 20:
                 got, held = [np.unique(np.concatenate(got, axis=1), axis=1)], 0
         if got:
@@ -343,16 +347,16 @@ def _rarer(bits: int):
         head, found, batch = None, [np.zeros((3, 0), _I)], 0
         for _, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
             if kind == _HEAD:
-                head = np.frombuffer(data, _I).reshape(2, -1)
+                head = np.frombuffer(data, _I).reshape(4, -1)
             else:
                 found.append(np.frombuffer(data, _I).reshape(3, -1))
         value, row, total = np.concatenate(found, axis=1)
         order = np.lexsort((value, -total, row))
         value, row = value[order], row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank >= head[1][row] - 1
+        keep = rank >= head[3][row] - 1
         out = _Rows()
-        _deal(out, batch, value[keep].view(np.uint64), head[0][row[keep]], row[keep], bits)
+        _deal(out, batch, value[keep].view(np.uint64), head[:3, row[keep]], row[keep], bits)
         return out.table()
 
     return run
@@ -366,7 +370,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def component_pairs(told: DataFrame, bits: int, often: int = OFTEN) -> DataFrame:
-    """Pairs a < b of components with a signature in common, for (rep, shingles, comp)."""
+    """Pairs a < b of components with a signature in common, for (rep, shingles, comp, spots1, spots2)."""
     rows = told.mapInArrow(_by_signature(bits), _ROW).groupBy("bucket").applyInArrow(_meet(often), _ROW)
     rows = checkpointed(rows)
     again = rows.filter(F.col("kind") != _PAIRS).groupBy("batch").applyInArrow(_rarer(bits), _ROW)
@@ -411,19 +415,27 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     number = sets.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), number // block)
     sampled = checkpointed(sets.mapInArrow(_sampled, "rep long, sig long"))
-    found = None
-    for turn in range(2):
-        some = sampled.filter(F.col("sig").isNotNull() & (F.pmod("sig", F.lit(2)) == turn))
+    found, blocks = None, sets.select("rep")
+    for turn in range(ROUNDS):
+        some = sampled.filter(F.col("sig").isNotNull() & (F.pmod("sig", F.lit(ROUNDS)) == turn))
         often = some.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         top = some.join(often, "sig").groupBy("rep").agg(F.max(F.struct("n", "sig")).alias("top"))
         spot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("top.n") / block))
-        key = F.pmod(F.xxhash64("top.sig", spot), F.lit(groups))
-        near = top.select("rep", key.alias("key")).join(sets, "rep").groupBy("key").applyInArrow(_links_in, "a long, b long")
+        key = 1 + F.pmod(F.xxhash64("top.sig", spot), F.lit(groups))
+        placed = checkpointed(top.select("rep", key.alias("key")))
+        near = placed.join(sets, "rep").groupBy("key").applyInArrow(_links_in, "a long, b long")
         found = near if found is None else found.unionByName(near)
+        blocks = blocks.join(placed.withColumnRenamed("key", f"key{turn}"), "rep", "left")
     found = checkpointed(found.distinct())
     comps = checkpointed(components(found))
-    told = checkpointed(sets.join(comps, sets["rep"] == comps["node"], "left").select("rep", "shingles", F.coalesce("label", "rep").alias("comp")))
-    bits = int(np.clip(np.ceil(np.log2(max(1, number / 500))), 6, 20))
+    grown = comps.select(F.col("node").alias("rep"), "label")
+    alone = lambda c: F.when(F.col("label").isNull(), F.coalesce(c, F.lit(0))).otherwise(0)
+    packed = [F.shiftleft(alone(F.col(f"key{i}")), 32).bitwiseOR(alone(F.col(f"key{i + 1}"))) for i in (0, 2)]
+    placed = blocks.join(grown, "rep", "left").select(
+        "rep", F.coalesce("label", "rep").alias("comp"), packed[0].alias("spots1"), packed[1].alias("spots2")
+    )
+    told = checkpointed(sets.join(placed, "rep"))
+    bits = int(np.clip(np.ceil(np.log2(max(1, number / 200))), 6, 20))
     pairs = component_pairs(told, bits)
     risky = sampled.filter(F.col("sig").isNull()).select("rep").distinct()
     if not risky.isEmpty():
