@@ -46,10 +46,10 @@ class Model(NamedTuple):
     intercept: float
 
 
-def swap_table(swaps: Sequence[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = sorted((hash_of(a), hash_of(b)) for x, y in swaps for a, b in ((x, y), (y, x)))
-    both = np.array(pairs, np.uint64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def swap_table(swaps: Sequence[tuple[str, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each word that names a group: its features and its counterpart's."""
+    of = lambda x: np.unique(features(words(pa.array([x]), fold=True, letters=True))[0])
+    return {hash_of(a): (of(a), of(b)) for x, y in swaps for a, b in ((x, y), (y, x))}
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,8 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def word_sets(labelled: DataFrame, swaps: Sequence[tuple[str, str]] = SWAPS) -> DataFrame:
     """label, found: distinct words as numbers, swapped: the same with groups exchanged (NULL if none is named)."""
-    source, target = swap_table(swaps)
+    table = swap_table(swaps)
+    source = np.array(sorted(table), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +79,10 @@ def word_sets(labelled: DataFrame, swaps: Sequence[tuple[str, str]] = SWAPS) ->
                 parts = np.split(found, np.searchsorted(doc, np.arange(1, len(part))))
                 swapped: list = [None] * len(parts)
                 for i, own in enumerate(parts if len(source) else []):
-                    at = np.minimum(np.searchsorted(source, own), len(source) - 1)
-                    named = source[at] == own
-                    if named.any():
-                        swapped[i] = np.unique(np.where(named, target[at], own)).view(np.int64)
+                    named = np.intersect1d(own, source).tolist()
+                    if named:
+                        gone, come = (np.concatenate([table[k][x] for k in named]) for x in (0, 1))
+                        swapped[i] = np.union1d(np.setdiff1d(own, gone), come).view(np.int64)
                 found = [x.view(np.int64) for x in parts]
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -119,14 +120,13 @@ def fit(rows: list, pairing: float = PAIRING, sparse: float = SPARSE, least: int
     at, side, brow = at[known], side[known], brow[known]
     n, d = len(y), len(keys)
     w, bias = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    # a word's step is as large as its column allows: columns are scaled by their frequency
-    count = np.bincount(index, minlength=d)
-    per_row = np.bincount(row, weights=1 / np.sqrt(np.maximum(count[index], 1)), minlength=n).max(initial=1.0)
-    scale = np.sqrt(np.maximum(count, 1))
-    curve = 0.25 * per_row * np.sqrt(n) / n
-    swing = np.bincount(brow, weights=np.abs(side) / scale[at], minlength=max(1, len(pairs))).max(initial=0.0)
-    curve += 2 * pairing * swing * np.sqrt(max(1, len(pairs))) / max(1, len(pairs))
-    rate = 1 / (scale * max(curve, 1e-9))
+    # a word's step is as large as the words of its texts allow: a bound on the curve that is a sum over words
+    width = np.bincount(row, minlength=n)
+    curve = 0.25 / n * np.bincount(index, weights=width[row].astype(float), minlength=d)
+    if len(pairs):
+        width = np.bincount(brow, minlength=len(pairs))
+        curve += 2 * pairing / len(pairs) * np.bincount(at, weights=width[brow].astype(float), minlength=d)
+    rate = 1 / np.maximum(curve, 1e-12)
     look, last, t = w.copy(), w.copy(), 1.0
     for _ in range(steps):
         z = np.bincount(row, weights=look[index], minlength=n) + bias
@@ -137,7 +137,9 @@ def fit(rows: list, pairing: float = PAIRING, sparse: float = SPARSE, least: int
             gradient += 2 * pairing * np.bincount(at, weights=side * change[brow], minlength=d) / len(pairs)
         w = look - rate * gradient
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * sparse)
-        bias -= 2.0 * float((p - y).mean())
+        bias -= 0.5 * float((p - y).mean() / max((p * (1 - p)).mean(), 1e-3))
+        if float((look - w) @ (w - last)) > 0:  # it overshoots: begin anew
+            t = 1.0
         faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, last, t = w + (t - 1) / faster * (w - last), w, faster
     some = w != 0
