@@ -177,7 +177,8 @@ def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), o
                     hit = keys[at] == found
                     pairs = np.unique(doc[hit] * len(keys) + at[hit])
                     z = z + np.bincount(pairs // len(keys), weights=weights[pairs % len(keys)], minlength=len(part))
-                scores = pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+                with np.errstate(over="ignore"):
+                    scores = pa.array(1 / (1 + np.exp(-z)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], [*columns, out])
 
     schema = T.StructType([*given.schema.fields[:-1], T.StructField(out, T.DoubleType())])
