@@ -545,7 +545,7 @@ def benchmark_table(spark, sf_dir) -> DataFrame:
 
 @query
 def normalize_problems(spark, sf_dir):
-    found = problems.normalize_problems(benchmark_table(spark, sf_dir), "d", max_tests=6)
+    found = problems.normalize_problems(benchmark_table(spark, sf_dir), "d")
     return found.select(
         "problem_id", "prompt", "entry_point", F.size("tests").alias("n_tests"),
         F.col("metadata.dataset").alias("dataset"),

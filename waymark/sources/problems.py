@@ -36,7 +36,7 @@ DATASET_COLUMNS = {
     "mbpp": _MBPP,
 }
 CALL_ALIASES = ("candidate", "fn", "func")
-MAX_TESTS = 80
+MAX_TESTS = None  # no test is dropped unless a caller asks for a limit
 # ----------------------------------------------------------------------------
 
 TESTS = T.ArrayType(
@@ -77,9 +77,9 @@ def assert_tests(source: str | None, entry_point: str | None) -> list[dict]:
     """``assert f(args) == value`` statements as JSON tests; anything else is passed over."""
     try:
         tree = ast.parse(source or "")
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
-    accepted = {entry_point, *CALL_ALIASES}
+    accepted = {entry_point, *CALL_ALIASES} - {None}
     found = []
     for node in ast.walk(tree):
         match node:
