@@ -339,3 +339,19 @@ def test_signatures_of_sets_within_the_limit_meet():
 def test_digest_of_kept_words(docs):
     row = substrings.remove_repeats(docs.filter("doc_id = 4")).withColumn("sha", F.sha2("kept", 256)).first()
     assert row["sha"] == hashlib.sha256(b"two words").hexdigest()
+
+
+def test_language_tokens_scored_together():
+    rng = np.random.default_rng(5)
+    levels = [{"und": rng.normal(size=2)}, *({} for _ in range(5))]
+    for word in ("haus", "house", "un"):
+        for n in range(1, 6):
+            levels[n].update({g: rng.normal(size=2) for g in language.grams(word, n)})
+    model = language.Model(["a", "b"], levels, np.zeros(2))
+    tokens = ["und", "Haus,house", "hausen", "123", "q", "", "unx-und"]
+    got = language.token_scores(model)(tokens)
+    for token, row in zip(tokens, got):
+        own = language.letters(token)
+        want = np.sum([language.word_scores(model, x) for x in own], axis=0) if own else np.zeros(2)
+        assert np.allclose(row[:2], want) and row[2] == len(own)
+    assert language.token_scores(model)([]).shape == (0, 3)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -115,6 +115,45 @@ def word_scores(model: Model, word: str) -> np.ndarray:
     return np.zeros(len(model.languages), np.float32)
 
 
+def token_scores(model: Model) -> Callable[[list[str]], np.ndarray]:
+    """A function from tokens to a row each: the sum of ``word_scores`` over the token's words, and their number.
+
+    The n-grams of all words are looked up first and summed together.
+    """
+    size = len(model.languages)
+    lookups, rows = [], []
+    for level in model.levels:
+        lookups.append({g: len(rows) + i for i, g in enumerate(level)}.get)
+        rows.extend(level.values())
+    table = np.array(rows, float).reshape(len(rows), size)
+
+    def run(tokens: list[str]) -> np.ndarray:
+        flat: list[int] = []
+        found_in: list[int] = []  # n-grams found for a word
+        token_of: list[int] = []
+        for k, token in enumerate(tokens):
+            for word in letters(token):
+                at = lookups[0](word)
+                found = [at] if at is not None else []
+                n = LONGEST
+                while not found and n:
+                    found = [x for x in map(lookups[n], grams(word, n)) if x is not None]
+                    n -= 1
+                flat += found
+                found_in.append(len(found))
+                token_of.append(k)
+        sizes, owner = np.array(found_in, np.int64), np.array(token_of, np.int64)
+        means = np.zeros((len(sizes), size))
+        some = sizes > 0
+        if some.any() and size:
+            first = np.cumsum(sizes) - sizes
+            means[some] = np.add.reduceat(table[flat], first[some], axis=0) / sizes[some, None]
+        columns = [np.bincount(owner, weights=means[:, c], minlength=len(tokens)) for c in range(size)]
+        return np.column_stack([*columns, np.bincount(owner, minlength=len(tokens))])
+
+    return run
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score: the language's share of the likelihood. No shuffle."""
     given = docs.select("doc_id", "text")
@@ -125,10 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         size = len(model.languages)
         known: dict[int, int] = {}
         table = np.zeros((0, size + 1))
-
-        def scores_of(token: str) -> np.ndarray:
-            own = letters(token)
-            return np.append(np.sum([word_scores(model, x) for x in own], axis=0) if own else np.zeros(size), len(own))
+        scores_of = token_scores(model)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -140,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 new = [i for i, k in enumerate(keys) if k not in known]
                 tokens = [w.data[w.start[j] : w.end[j]].tobytes().decode() for j in at[new]]
                 if new:
-                    table = np.concatenate([table, np.array([scores_of(t) for t in tokens])])
+                    table = np.concatenate([table, scores_of(tokens)])
                     known.update(zip((keys[i] for i in new), range(len(known), len(known) + len(new))))
                 rows = np.fromiter((known[k] for k in keys), np.int64, len(keys))
                 sums = np.zeros((len(part), size + 1))
