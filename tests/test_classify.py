@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.feedback import feedback_text
+from waymark.functions.values import values_equal
 from waymark.operators.classify import classify_results, scripted_responses
 from waymark.operators.prompts import repair_prompts
 from waymark.operators.splitting import split_tests
@@ -125,3 +126,29 @@ def test_feedback_policies(spark, policy):
             assert f"Error category: {r['state']}" in r["f"]
         if "RAW" in policy:
             assert r["f"].endswith("boom")
+
+
+@pytest.mark.parametrize("a, e, same", [
+    ("[1e3]", "[1000]", True), ("[1e20]", "[100000000000000000000]", True), ("[true]", "[1]", True),
+    ("9007199254740993", "9007199254740992.0", False), ('{"a": 1, "b": 2}', '{"b":2.0,"a":true}', True),
+    ("[1, 2]", "[1,2]", True), ("[1,2]", "[2,1]", False), ('"x"', '"\\u0078"', True), ("True", "True", True),
+    ("[" * 5000 + "]" * 5000, "[" * 5000 + " ]" + "]" * 4999, False), (None, "null", True), (None, "0", False),
+])
+def test_values_equal(spark, a, e, same):
+    df = spark.createDataFrame([(a, e)], "a string, e string")
+    assert df.select(values_equal("a", "e")).first()[0] is same
+
+
+def test_candidate_with_most_of_the_tests(spark):
+    """One candidate over many ranges of tests gives what plain counting gives, and no row meets by candidate alone."""
+    n = F.col("id")
+    rows = spark.range(30_000).select(
+        F.when(n < 29_000, 0).otherwise(n % 50).alias("candidate_id"), n.alias("test_pos"),
+        F.when(n % 7 == 0, "2").otherwise("1").alias("actual"), F.lit("1").alias("expected"),
+        F.when(n == 20_001, "KeyError").alias("exception_name"),
+    )
+    got = {r["candidate_id"]: r for r in classify_results(rows).collect()}
+    hot = got[0]
+    assert hot["total"] == 29_000 + sum(i % 50 == 0 for i in range(29_000, 30_000)) and hot["exception_type"] == "KeyError"
+    assert hot["passed"] == sum(i % 7 != 0 for i in range(20_001))
+    assert got[3]["passed"] == sum(i % 50 == 3 and i % 7 != 0 for i in range(29_000, 30_000)) and got[3]["exception_type"] is None

@@ -48,14 +48,24 @@ def test_markov_test(scores):
 
 
 def test_no_episode_in_two_folds(transitions):
-    n = transitions.select("episode_id").distinct().count()
-    folded = M.with_folds(transitions, 5, n)
+    folded = M.with_folds(transitions, 5)
     per = folded.groupBy("episode_id").agg(F.countDistinct("_fold").alias("n"))
     assert per.filter("n <> 1").isEmpty() and folded.count() == transitions.count()
     sizes = [r[1] for r in folded.groupBy("_fold").agg(F.countDistinct("episode_id")).collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
-    hashed = M.with_folds(transitions, 5, M.RANKED_FOLDS + 1)
-    assert hashed.groupBy("episode_id").agg(F.countDistinct("_fold").alias("n")).filter("n <> 1").isEmpty()
+
+
+def test_folds_follow_size_and_hash(transitions):
+    rows = transitions.groupBy("episode_id").agg(F.count("*").alias("n"), F.xxhash64("episode_id").alias("h")).collect()
+    ranked = sorted(rows, key=lambda r: (-r["n"], r["h"], r["episode_id"]))
+    want = {r["episode_id"]: i % 5 for i, r in enumerate(ranked)}
+    assert dict(M.with_folds(transitions, 5).select("episode_id", "_fold").distinct().collect()) == want
+
+
+def test_lost_folds_are_reported(spark):
+    rows = [(m, s, k, None if (s, k) == ("full", 0) else 0.5 + 0.1 * (s == "full") + 0.01 * k) for m, s in M.MODELS for k in range(4)]
+    r = M.markov_assumption_test(scores=spark.createDataFrame(rows, "model string, feature_set string, fold int, score double")).first()
+    assert r["n_folds"] == 3 and r["error"] == "1 folds have no score"
 
 
 def test_degenerate_inputs(transitions):

@@ -62,3 +62,11 @@ def test_ranks_and_median(spark):
     got = {r["v"]: r["before"] for r in ranked.collect()}
     assert got == {-1.0: 0, 0.0: 1, 2.25: 3, 3.5: 6, 7.0: 7}
     assert ranked.agg(ranking.median_of("v")).first()[0] == 2.25
+
+
+def test_many_hot_keys_without_broadcast(skewed, monkeypatch):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = skewed.select("k", "id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    monkeypatch.setattr(Pos, "_BROADCAST_KEYS", 0)
+    got = Pos.with_positions(skewed, "k", ["t", "id"], hot_rows=10).select("k", "id", "pos")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()

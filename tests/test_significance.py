@@ -4,6 +4,7 @@ import itertools
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.functions import pvalues
 from waymark.operators import significance as S
@@ -124,3 +125,17 @@ def test_signed_ranks_by_hand(spark):
     counts = spark.createDataFrame([("m", d, 1) for d in diffs], "metric string, diff double, n long")
     r = S.signed_ranks(counts).first()
     assert (r["w_plus"], r["w_minus"], r["n_nonzero"], r["tie_term"]) == (8.5, 1.5, 4, 6.0)
+
+
+def test_draws_over_many_differences(spark):
+    pairs = spark.range(6000).select(
+        F.lit("m").alias("metric"), F.col("id").cast("string").alias("problem_id"),
+        (F.col("id") / 6000).alias("value_a"), F.lit(0.0).alias("value_b"), (F.col("id") / 6000).alias("diff"),
+    )
+    got = S.bootstrap_draws(pairs, 5).collect()
+    assert len(got) == 5 and all(abs(r["mean"] - 0.5) < 0.03 for r in got)
+
+
+def test_method_of_the_signed_rank_test():
+    assert pvalues.signed_rank_p(10.0, 45.0, 10, 0.0, 0) == pvalues.signed_rank_p(10.0, 45.0, 10, 0.0, 0, "exact")
+    assert pvalues.signed_rank_p(10.0, 45.0, 10, 0.0, 0, "normal") != pvalues.signed_rank_p(10.0, 45.0, 10, 0.0, 0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_LIMIT = 50  # pairs up to which the signed-rank distribution is enumerated
+EXACT_LIMIT = 50  # pairs up to which "auto" enumerates the signed-rank distribution
 
 
 def _signed_rank_exact(w: float, n: int) -> float:
@@ -21,12 +21,17 @@ def _signed_rank_exact(w: float, n: int) -> float:
     return min(1.0, 2.0 * float(ways[: int(w) + 1].sum()) / 2.0**n)
 
 
-def signed_rank_p(w_plus: float, w_minus: float, n: int, tie_term: float, zeros: int):
-    """Wilcoxon signed-rank p; exact for small clean samples, else normal with tie correction."""
+def signed_rank_p(w_plus: float, w_minus: float, n: int, tie_term: float, zeros: int, method: str = "auto"):
+    """Wilcoxon signed-rank p.
+
+    ``method``: ``exact`` enumerates the distribution (for differences without ties and zeros),
+    ``normal`` takes the normal form with tie correction, ``auto`` is the usual rule: exact
+    up to ``EXACT_LIMIT`` differences without ties and zeros, else normal.
+    """
     if not n:
         return None
     w = min(w_plus, w_minus)
-    if n <= EXACT_LIMIT and tie_term == 0 and zeros == 0:
+    if method == "exact" or (method == "auto" and n <= EXACT_LIMIT and tie_term == 0 and zeros == 0):
         return _signed_rank_exact(w, n)
     mean = n * (n + 1) / 4.0
     variance = (n * (n + 1) * (2.0 * n + 1) - tie_term / 2.0) / 24.0
@@ -49,11 +54,18 @@ def sign_test_p(b: int, c: int):
 
 
 @F.pandas_udf(T.DoubleType())
-def wilcoxon_p(
-    w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series
+def _wilcoxon_p(
+    w_plus: pd.Series, w_minus: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series, method: pd.Series
 ) -> pd.Series:
-    rows = zip(w_plus, w_minus, n, tie_term, zeros)
-    return pd.Series([signed_rank_p(a, b, int(m), t, int(z)) for a, b, m, t, z in rows], dtype="float64")
+    rows = zip(w_plus, w_minus, n, tie_term, zeros, method)
+    return pd.Series([signed_rank_p(a, b, int(m), t, int(z), how) for a, b, m, t, z, how in rows], dtype="float64")
+
+
+def wilcoxon_p(w_plus, w_minus, n, tie_term, zeros, method: str = "auto"):
+    """:func:`signed_rank_p` over columns."""
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method: {method!r}")
+    return _wilcoxon_p(w_plus, w_minus, n, tie_term, zeros, F.lit(method))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.columns import as_col
 
@@ -33,12 +37,18 @@ def json_safe(text) -> Column:
     return F.coalesce(F.try_parse_json(text), quoted)
 
 
-def _number(text: Column) -> Column:
-    return (
-        F.when(F.trim(text) == "true", 1.0).when(F.trim(text) == "false", 0.0).otherwise(
-            F.lit(None).cast("double")
-        )
-    )
+def _same(a: str | None, e: str | None) -> bool:
+    if a is None:
+        return False
+    try:
+        return json.loads(a) == json.loads(e)
+    except (ValueError, RecursionError):  # longer or deeper than the parser goes
+        return a == e
+
+
+@F.pandas_udf(T.BooleanType())
+def _leafwise(a: pd.Series, e: pd.Series) -> pd.Series:
+    return pd.Series([_same(x, y) for x, y in zip(a, e)], dtype=bool)
 
 
 def format_matches(actual, expected) -> Column:
@@ -47,18 +57,18 @@ def format_matches(actual, expected) -> Column:
 
 
 def values_equal(actual, expected) -> Column:
-    """Equality of JSON values: numbers by value, the rest by canonical JSON.
+    """Equality of JSON values: numbers and booleans by exact value at every leaf.
 
-    Known gap: inside lists and objects ``true`` and ``1`` stay different.
+    Equal texts, strings and values of unlike kinds are settled as expressions; only lists, objects
+    and numbers whose texts differ go to Python, a batch at a time. What is too long or deep for
+    its parser is equal only as text.
     """
-    a, e = as_col(actual), as_col(expected)
-    both = (value_kind(a) == "number") & (value_kind(e) == "number")
-    whole = F.trim(a).rlike(r"^-?\d+$") & F.trim(e).rlike(r"^-?\d+$")
-
-    def number(c: Column) -> Column:
-        return F.coalesce(_number(c), F.trim(c).try_cast("double"))
+    a, e = (F.coalesce(F.trim(as_col(c)), F.lit("null")) for c in (actual, expected))
+    kind = value_kind(a)
+    open_case = (a != e) & (kind == value_kind(e)) & kind.isin("list", "dict", "number")
 
     def canonical(c: Column) -> Column:
-        return F.coalesce(F.to_json(F.try_parse_json(c)), c, F.lit("null"))
+        return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
-    return F.when(both & ~whole, number(a) == number(e)).otherwise(canonical(a) == canonical(e))
+    leaves = _leafwise(F.when(open_case, a), F.when(open_case, e))
+    return F.when(open_case, leaves).otherwise((a == e) | ((kind == "str") & (canonical(a) == canonical(e))))

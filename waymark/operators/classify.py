@@ -11,6 +11,9 @@ from waymark.functions.labels import exception_state, pass_count_state, pass_rat
 from waymark.functions.values import format_matches, value_kind, values_equal
 
 
+TESTS_PER_PART = 4_096  # neighbouring tests of a candidate that one group holds
+
+
 def classify_results(
     results: DataFrame,
     key="candidate_id",
@@ -23,8 +26,8 @@ def classify_results(
     only passes before it count. ``results`` has ``actual`` and ``expected`` as JSON text,
     ``exception_name`` and optionally ``input``. ``candidates`` adds those without tests.
 
-    Both aggregations combine map-side, and the join in between is a plain equi-join, so
-    a candidate with very many tests is never gathered in one task.
+    Rows meet only by candidate and range of ``order`` (a whole number); what goes on by candidate
+    alone is one row per range, so one with very many tests is spread over tasks.
     """
     key = names(key)
     given = F.col("input") if "input" in results.columns else F.lit(None).cast("string")
@@ -36,6 +39,7 @@ def classify_results(
         "actual",
         "expected",
         "exception_name",
+        F.coalesce(F.floor(F.col(order) / TESTS_PER_PART), F.lit(0)).alias("_part"),
         F.when(raised, exception_state("exception_name"))
         .when(~format_matches("actual", "expected"), "OUTPUT_FORMAT_ERROR")
         .alias("_abort"),
@@ -46,15 +50,14 @@ def classify_results(
         F.when(~raised, F.col("expected")).alias("expected_output"),
         F.when(~raised, F.col("actual")).alias("actual_output"),
     )
-    ended = (
-        rows.filter(F.col("_abort").isNotNull())
-        .groupBy(*key)
-        .agg(
-            F.min(order).alias("_end"),
-            F.min_by(F.struct("_abort", "exception_name", example.alias("_case")), order).alias("_e"),
-        )
+    aborted = F.when(F.col("_abort").isNotNull(), F.col(order))
+    parts = rows.groupBy(*key, "_part").agg(
+        F.min(aborted).alias("_end"),
+        F.min_by(F.struct("_abort", "exception_name", example.alias("_case")), aborted).alias("_e"),
     )
-    judged = rows.join(ended.select(*key, "_end"), key, "left").withColumn(
+    ended = parts.groupBy(*key).agg(F.min_by("_e", "_end").alias("_e"), F.min("_end").alias("_end"))
+    ends = parts.select(*key, "_part").join(ended.select(*key, "_end"), key)
+    judged = rows.join(ends, [*key, "_part"], "left").withColumn(
         "_counts", F.col("_end").isNull() | (F.col(order) < F.col("_end"))
     )
     missed = F.when(F.col("_counts") & ~F.col("_ok"), F.col(order))
@@ -64,7 +67,7 @@ def classify_results(
         F.min(missed).alias("_missed"),
         F.min_by(example, missed).alias("_miss"),
     )
-    full = tally.join(ended, key, "left")
+    full = tally.join(ended.drop("_end"), key, "left")
     if candidates is not None:
         full = candidates.select(*key).join(full, key, "left")
     passed, total = F.coalesce("passed", F.lit(0)), F.coalesce("total", F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,6 @@ MAX_ITER = 2000
 
 PARALLEL_FITS = 8  # fits submitted to the cluster at a time
 ROWS_PER_PARTITION = 50_000  # small inputs are fitted in few tasks per iteration
-RANKED_FOLDS = 100_000  # up to this many episodes folds are balanced by rank, above by hash
 
 
 @dataclass(frozen=True)
@@ -221,7 +221,7 @@ def compare_baseline_models(transitions: DataFrame) -> DataFrame:
             try:
                 fitted = _fit(held, feature_set, list(sizes), "next_state")
                 return name, feature_set, _score(fitted, held, "accuracy"), n, len(sizes), None
-            except Exception as problem:  # a model that cannot be fitted is reported, not fatal
+            except IllegalArgumentException as problem:  # a model that cannot be fitted is reported, not fatal
                 return name, feature_set, float("nan"), n, len(sizes), str(problem)
 
         rows = _in_parallel(spark, fit, list(MODELS)) if len(sizes) >= 2 else []
@@ -244,22 +244,28 @@ def _score(model: TransitionModel, rows: DataFrame, scoring: str) -> float:
     return model.transform(rows).agg(F.avg(value)).first()[0]
 
 
-def with_folds(transitions: DataFrame, n_splits: int, n_episodes: int) -> DataFrame:
+def with_folds(transitions: DataFrame, n_splits: int) -> DataFrame:
     """Add ``_fold``; all rows of an episode share it.
 
-    Few episodes: dealt out in order of size, so folds differ by one episode at most.
-    Many: by hash, which is balanced then and needs no shuffle.
+    Episodes are dealt out in the order of size and hash, so folds differ by one episode at most. The
+    rank is the number of episodes in larger sizes, in earlier hash ranges of the size, and
+    before it in its own range; only one row per size and range is summed in one place.
     """
-    if n_episodes > RANKED_FOLDS:
-        return transitions.withColumn("_fold", F.pmod(F.xxhash64("episode_id"), F.lit(n_splits)).cast("int"))
-    order = Window.orderBy(F.desc("_n"), "episode_id")
-    folds = (
-        transitions.groupBy("episode_id")
-        .agg(F.count("*").alias("_n"))
-        .select("episode_id", ((F.row_number().over(order) - 1) % n_splits).alias("_fold"))
+    episodes = transitions.groupBy("episode_id").agg(F.count("*").alias("_n")).withColumn("_hash", F.xxhash64("episode_id"))
+    episodes = episodes.withColumn("_bin", F.shiftright("_hash", 48))
+    before = (Window.unboundedPreceding, -1)
+    ranges = episodes.groupBy("_n", "_bin").agg(F.count("*").alias("_c"))
+    sizes = ranges.groupBy("_n").agg(F.sum("_c").alias("_c"))
+    larger = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_n")).rowsBetween(*before))
+    earlier = F.sum("_c").over(Window.partitionBy("_n").orderBy("_bin").rowsBetween(*before))
+    starts = ranges.select("_n", "_bin", F.coalesce(earlier, F.lit(0)).alias("_earlier")).join(
+        sizes.select("_n", F.coalesce(larger, F.lit(0)).alias("_larger")), "_n"
     )
-    # At most RANKED_FOLDS rows, checked above.
-    return transitions.join(F.broadcast(folds), "episode_id")
+    inside = F.row_number().over(Window.partitionBy("_n", "_bin").orderBy("_hash", "episode_id")) - 1
+    folds = episodes.withColumn("_inside", inside).join(starts, ["_n", "_bin"]).select(
+        "episode_id", ((F.col("_larger") + F.col("_earlier") + F.col("_inside")) % n_splits).cast("int").alias("_fold")
+    )
+    return transitions.join(folds, "episode_id")
 
 
 FOLD_DDL = (
@@ -287,7 +293,7 @@ def fold_scores(
         if len(sizes) >= 2 and episodes >= 2:
             splits = min(n_splits, max(2, episodes))
             total = sum(sizes.values())
-            folded = with_folds(held, splits, episodes).persist(StorageLevel.MEMORY_AND_DISK)
+            folded = with_folds(held, splits).persist(StorageLevel.MEMORY_AND_DISK)
 
             def run(task: tuple[str, str, int]) -> tuple:
                 name, feature_set, fold = task
@@ -296,7 +302,7 @@ def fold_scores(
                     train = folded.filter(F.col("_fold") != fold)
                     model = _fit(train, feature_set, list(sizes), "next_state")
                     score = _score(model, folded.filter(F.col("_fold") == fold), scoring)
-                except Exception as problem:
+                except IllegalArgumentException as problem:
                     error = str(problem)
                 return name, feature_set, fold, score, splits, episodes, total, error
 
@@ -348,20 +354,22 @@ def markov_assumption_test(
         pair = [m for m in MODELS if m[1] in ("first_order", "full")]
         scores = fold_scores(transitions, n_splits=n_splits, scoring=scoring, models=pair)
 
-    def of(feature_set: str, name: str) -> DataFrame:
-        chosen = scores.filter((F.col("feature_set") == feature_set) & F.col("score").isNotNull())
-        return chosen.select("fold", F.col("score").alias(name))
+    def of(feature_set: str) -> F.Column:
+        return F.max(F.when(F.col("feature_set") == feature_set, F.col("score")))
 
-    folds = of("first_order", "first").join(of("full", "full"), "fold")
+    tried = scores.groupBy("fold").agg(of("first_order").alias("first"), of("full").alias("full"))
+    whole = F.col("first").isNotNull() & F.col("full").isNotNull()
+    folds = tried.filter(whole)
     # Differences carry rounding noise; equal ones must tie.
     diff = F.round(F.col("full") - F.col("first"), 12)
     paired = folds.select(F.lit("folds").alias("metric"), "first", "full", diff.alias("diff"))
     ranks = signed_ranks(paired.groupBy("metric", "diff").agg(F.count("*").alias("n")))
-    means = paired.agg(
-        F.avg("first").alias("f"),
-        F.avg("full").alias("h"),
+    means = tried.agg(
+        F.avg(F.when(whole, F.col("first"))).alias("f"),
+        F.avg(F.when(whole, F.col("full"))).alias("h"),
         F.avg(F.col("full") - F.col("first")).alias("d"),
-        F.count("*").cast("int").alias("n"),
+        F.count_if(whole).cast("int").alias("n"),
+        F.count_if(~whole).alias("lost"),
     ).withColumn("metric", F.lit("folds"))
     zero = F.lit(0.0)
     p = wilcoxon_p(
@@ -380,5 +388,7 @@ def markov_assumption_test(
         F.when(ok, round4("p")).alias("wilcoxon_p_value"),
         F.col("n").alias("n_folds"),
         F.coalesce(ok & (F.col("p") < 0.05) & (F.col("d") > 0), F.lit(False)).alias("history_helps"),
-        F.when(~ok, "too few paired folds for a test").alias("error"),
+        F.when(~ok, "too few paired folds for a test")
+        .when(F.col("lost") > 0, F.format_string("%d folds have no score", F.col("lost")))
+        .alias("error"),
     )

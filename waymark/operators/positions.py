@@ -17,6 +17,7 @@ from waymark.functions.columns import names
 HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 CUTS = 512  # aimed number of ranges per hot key
 _STRIDE = 32  # two-level search: every 32nd cut first
+SALTS = 64  # parts a key is dealt over where the cut lists are joined by shuffle
 _BROADCAST_KEYS = 500  # hot keys whose cut lists are small enough to broadcast
 BLOCK = 100_000  # positions per block when neighbours are looked up
 
@@ -47,8 +48,12 @@ def with_positions(
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
     def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-        # Few hot keys: broadcast. Many: a shuffled join, split by AQE where skewed.
-        return left.join(F.broadcast(right) if n_hot <= _BROADCAST_KEYS else right, on, how)
+        # Few hot keys: broadcast. Many: a shuffled join in which each key is dealt over salts.
+        if n_hot <= _BROADCAST_KEYS:
+            return left.join(F.broadcast(right), on, how)
+        salted = left.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
     point = F.struct(*[F.col(c) for c in order])
     every = F.greatest(F.lit(1), F.floor(F.col("_rows") / CUTS).cast("long"))
@@ -60,20 +65,20 @@ def with_positions(
     )
     ranged = join_small(df, cuts, key, "left").withColumn(
         "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(_range_of(F.col("_cuts"), point))
-    ).drop("_cuts")
+    ).drop("_cuts").repartition(*key, "_range")
     earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        join_small(ranged.select(*key, "_range"), hot.select(*key), key, "left_semi")
-        .groupBy(*key, "_range")
+        ranged.groupBy(*key, "_range")
         .agg(F.count("*").alias("_n"))
+        .join(hot.select(*key), key, "left_semi")
         .select(*key, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     w = Window.partitionBy(*key, "_range").orderBy(*order)
     numbered = ranged.withColumn("_rn", F.row_number().over(w) - 1)
     return (
-        join_small(numbered, offsets, [*key, "_range"], "left")
+        numbered.join(F.broadcast(offsets) if n_hot <= _BROADCAST_KEYS else offsets, [*key, "_range"], "left")
         .withColumn(name, (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long"))
         .drop("_range", "_rn", "_before")
     )
