@@ -336,6 +336,24 @@ def test_signatures_of_sets_within_the_limit_meet():
             assert shared or any(g.risky[0] for g in got)
 
 
+def test_sketches_never_part_partners():
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 6, 7, 40, 300, 2000):
+        for _ in range(30):
+            a = rng.integers(1, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[int(rng.integers(0, n // 7 + 1)) :], rng.integers(1, 2**63, int(rng.integers(0, n // 7 + 1)), dtype=np.uint64)])
+            size = np.array([len(a), len(b)])
+            told = partenum.sketches(np.concatenate([a, b]), np.repeat([0, 1], size), 2)
+            far = partenum.unlike(told[:, :1], told[:, 1:], size[:1], size[1:])[0]
+            both = len(np.intersect1d(a, b))
+            assert not (far and 4 * both >= 3 * (size.sum() - both))
+    # 40 elements each with none in common are told apart, unless a size is not told
+    c = rng.integers(1, 2**63, 80, dtype=np.uint64)
+    told, size = partenum.sketches(c, np.repeat([0, 1], 40), 2), np.array([40])
+    assert partenum.unlike(told[:, :1], told[:, 1:], size, size)[0]
+    assert not partenum.unlike(told[:, :1], told[:, 1:], size, 0 * size)[0]
+
+
 def test_digest_of_kept_words(docs):
     row = substrings.remove_repeats(docs.filter("doc_id = 4")).withColumn("sha", F.sha2("kept", 256)).first()
     assert row["sha"] == hashlib.sha256(b"two words").hexdigest()

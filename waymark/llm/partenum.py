@@ -14,10 +14,13 @@ the connected components. Equal sets are one set from the start.
    not empty must be shared. Sets for which the count does not hold are met by all their shingles.
 3. Links among sets that share their most frequent sampled signature are found first, in blocks, from
    ``ROUNDS`` samples. Only components of those links are then paired by signatures, so a large group
-   of near copies is one party there and not all its pairs, and sets of one block are not paired. Partners share a number of signatures that a set's own parts
-   tell; so where a signature is frequent, each set may leave out that number less one of its most
-   frequent, which takes passages that many documents share out of the pairing. Candidate pairs
-   are compared by all their shingles, in blocks of the larger component.
+   of near copies is one party there and not all its pairs, and sets of one block are not paired.
+   Partners share a number of signatures that a set's own parts tell; so where a signature is
+   frequent, each set may leave out that number less one of its most frequent, which takes passages
+   that many documents share out of the pairing. Of two single sets, sizes and parity sketches rule
+   out most of those that merely share a passage: sketches never differ in more bits than sets in
+   elements, so no link is lost. Candidate pairs are compared by all their shingles, in blocks of the
+   larger component.
 
 Defined cases: A-Z is read as a-z; a text with fewer words than a shingle is one shingle; texts
 without words and NULL are sets of size 0, linked with nothing; rows of one doc_id are one document;
@@ -261,6 +264,24 @@ def _links_in(table: pa.Table) -> pa.Table:
 
 
 _PAIRS, _OFTEN = 4, 5
+SKETCH = 128  # bits
+_ABOUT = 4 + SKETCH // 64  # lines told of a set: component, two of blocks, size, sketch
+
+
+def sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Parity of the elements that fall on each of ``SKETCH`` bits, as a line of int64 per word and set.
+
+    Two sets differ in at least as many elements as their sketches in bits."""
+    bit = (mix(hashes, 44) % _U(SKETCH)).astype(_I)
+    odd = np.bincount(owner * SKETCH + bit, minlength=n * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_I).reshape(n, -1).T
+
+
+def unlike(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether sketches or sizes show that two sets are no partners; False where a size is 0 (not told)."""
+    differ = np.bitwise_count((sketch_a ^ sketch_b).view(_U)).sum(axis=0, dtype=_I)  # of signed numbers it counts those of the absolute value
+    far = (7 * differ > size_a + size_b) | (4 * np.minimum(size_a, size_b) < 3 * np.maximum(size_a, size_b))
+    return far & (size_a > 0) & (size_b > 0)
 
 
 def _deal(out: _Rows, batch: int, value: np.ndarray, about: np.ndarray, row: np.ndarray, bits: int) -> None:
@@ -281,8 +302,11 @@ def _by_signature(bits: int):
                 continue
             number += 1
             out = _Rows()
-            s = signatures(*_unpack(batch.column("shingles").to_pylist()))
-            about = np.stack([np.asarray(batch.column(c))[s.sets] for c in ("comp", "spots1", "spots2")])
+            hashes, owner, size = _unpack(batch.column("shingles").to_pylist())
+            s = signatures(hashes, owner, size)
+            told = [np.asarray(batch.column(c)) for c in ("comp", "spots1", "spots2")]
+            alone = np.where(np.asarray(batch.column("alone")), size, 0)
+            about = np.stack([*told, alone, *sketches(hashes, owner, len(size))])[:, s.sets]
             out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least]]).tobytes())
             _deal(out, number, s.value, about[:, s.row], s.row, bits)
             yield from out.table().to_batches()
@@ -302,16 +326,18 @@ def _meet(often: int | None):
                 if often:
                     out.add(bucket, batch, _HEAD, data)
                 continue
-            blobs.append(np.frombuffer(data, _I).reshape(5, -1))
+            blobs.append(np.frombuffer(data, _I).reshape(2 + _ABOUT, -1))
             sizes.append(blobs[-1].shape[1])
             batches.append(batch)
         if not blobs:
             return out.table()
-        value, row, comp, *spots = np.concatenate(blobs, axis=1)
+        value, row, comp, *spots = (rows := np.concatenate(blobs, axis=1))[:5]
+        size, sketch = rows[5], rows[6:]
         batch = np.repeat(np.array(batches, _I), sizes)
         both, at = np.unique(np.stack([value, comp]), axis=1, return_index=True)
         # blocks of a component of one set, all of whose pairs are known: no link is left there
         blocks = np.stack([h for x in spots for h in (x[at] >> 32, x[at] & 0xFFFFFFFF)])
+        size, sketch = size[at], sketch[:, at]
         keys, first, count = np.unique(both[0], return_index=True, return_counts=True)
         if often:
             total = count[np.searchsorted(keys, value)]
@@ -326,8 +352,9 @@ def _meet(often: int | None):
         for at, n in zip(first[few].tolist(), count[few].tolist()):
             i, j = np.triu_indices(n, 1)
             x, y = blocks[:, at + i], blocks[:, at + j]
-            new = ~((x == y) & (x > 0)).any(axis=0)
-            got.append(np.stack([both[1][at + i[new]], both[1][at + j[new]]]))
+            i, j = i + at, j + at
+            new = ~((x == y) & (x > 0)).any(axis=0) & ~unlike(sketch[:, i], sketch[:, j], size[i], size[j])
+            got.append(np.stack([both[1][i[new]], both[1][j[new]]]))
             held += int(new.sum())
             if held > 1 << 20:
                 got, held = [np.unique(np.concatenate(got, axis=1), axis=1)], 0
@@ -347,16 +374,16 @@ def _rarer(bits: int):
         head, found, batch = None, [np.zeros((3, 0), _I)], 0
         for _, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
             if kind == _HEAD:
-                head = np.frombuffer(data, _I).reshape(4, -1)
+                head = np.frombuffer(data, _I).reshape(_ABOUT + 1, -1)
             else:
                 found.append(np.frombuffer(data, _I).reshape(3, -1))
         value, row, total = np.concatenate(found, axis=1)
         order = np.lexsort((value, -total, row))
         value, row = value[order], row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank >= head[3][row] - 1
+        keep = rank >= head[_ABOUT][row] - 1
         out = _Rows()
-        _deal(out, batch, value[keep].view(np.uint64), head[:3, row[keep]], row[keep], bits)
+        _deal(out, batch, value[keep].view(np.uint64), head[:_ABOUT, row[keep]], row[keep], bits)
         return out.table()
 
     return run
@@ -432,7 +459,7 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     alone = lambda c: F.when(F.col("label").isNull(), F.coalesce(c, F.lit(0))).otherwise(0)
     packed = [F.shiftleft(alone(F.col(f"key{i}")), 32).bitwiseOR(alone(F.col(f"key{i + 1}"))) for i in (0, 2)]
     placed = blocks.join(grown, "rep", "left").select(
-        "rep", F.coalesce("label", "rep").alias("comp"), packed[0].alias("spots1"), packed[1].alias("spots2")
+        "rep", F.coalesce("label", "rep").alias("comp"), F.col("label").isNull().alias("alone"), packed[0].alias("spots1"), packed[1].alias("spots2")
     )
     told = checkpointed(sets.join(placed, "rep"))
     bits = int(np.clip(np.ceil(np.log2(max(1, number / 200))), 6, 20))
