@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +355,33 @@ def test_sketches_never_part_partners():
     assert not partenum.unlike(told[:, :1], told[:, 1:], size, 0 * size)[0]
 
 
+def test_crowded_passages_meet_by_rare_shingles(spark):
+    ship_package(spark)
+    rng = np.random.default_rng(7)
+    passage, chunks = [f"p{i}" for i in range(360)], [[f"c{k}x{i}" for i in range(80)] for k in range(120)]
+    texts = []
+    for _ in range(240):  # 60 % of each is the passage, the rest are runs that few others have
+        texts.append(" ".join(sum((chunks[k] for k in rng.choice(120, 3, replace=False)), passage)))
+    for k in range(0, 30, 3):  # partners without the same set
+        own = texts[k].split()
+        own[365:368] = [f"new{k}", "or", "so"]
+        texts.append(" ".join(own))
+    hashes, of = zip(*((h, d) for d, h in zip(*partenum.shingles(partenum.words(pa.array(texts))))))
+    ends = np.searchsorted(of, np.arange(len(texts) + 1))
+    sets = [(i, np.array(hashes[a:b], np.uint64).tobytes(), i, True, 0, 0) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+    told = spark.createDataFrame(sets, "rep long, shingles binary, comp long, alone boolean, spots1 long, spots2 long").repartition(4)
+    label = [x for _, x in _groups(texts)]
+    own = [set(hashes[a:b]) for a, b in zip(ends, ends[1:])]
+    want = {(i, j) for j in range(len(own)) for i in range(j) if 4 * len(own[i] & own[j]) >= 3 * len(own[i] | own[j])}
+    assert len(want) >= 10
+    for tile in (1000, 3):
+        got = {tuple(r) for r in partenum.component_pairs(told, 6, crowd=50, tile=tile).collect()}
+        assert want <= got and len(got) < len(texts) * 30  # all pairs are more than 31,000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in partenum.near_groups(docs, block=7).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
 def test_digest_of_kept_words(docs):
     row = substrings.remove_repeats(docs.filter("doc_id = 4")).withColumn("sha", F.sha2("kept", 256)).first()
     assert row["sha"] == hashlib.sha256(b"two words").hexdigest()

@@ -19,8 +19,11 @@ the connected components. Equal sets are one set from the start.
    frequent, each set may leave out that number less one of its most frequent, which takes passages
    that many documents share out of the pairing. Of two single sets, sizes and parity sketches rule
    out most of those that merely share a passage: sketches never differ in more bits than sets in
-   elements, so no link is lost. Candidate pairs are compared by all their shingles, in blocks of the
-   larger component.
+   elements, so no link is lost. Sets that keep a signature of more than ``CROWD`` components do not meet
+   by it but by their rarest shingles: each gives a quarter of its own and one more, rarest first, of
+   which partners share one, and the first they share leaves room for the overlap they need. A shingle
+   that many give is paired in tiles of two blocks, which are separate rows. Candidate pairs are
+   compared by all their shingles, in blocks of the larger component and lots of the askers.
 
 Defined cases: A-Z is read as a-z; a text with fewer words than a shingle is one shingle; texts
 without words and NULL are sets of size 0, linked with nothing; rows of one doc_id are one document;
@@ -263,7 +266,8 @@ def _links_in(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-_PAIRS, _OFTEN = 4, 5
+_PAIRS, _OFTEN, _CROWD = 4, 5, 8
+CROWD, TILE, AT_ONCE = 500, 1000, 1 << 20
 SKETCH = 128  # bits
 _ABOUT = 4 + SKETCH // 64  # lines told of a set: component, two of blocks, size, sketch
 
@@ -307,7 +311,8 @@ def _by_signature(bits: int):
             told = [np.asarray(batch.column(c)) for c in ("comp", "spots1", "spots2")]
             alone = np.where(np.asarray(batch.column("alone")), size, 0)
             about = np.stack([*told, alone, *sketches(hashes, owner, len(size))])[:, s.sets]
-            out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least]]).tobytes())
+            reps = np.asarray(batch.column("rep"))[s.sets]
+            out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least], [reps]]).tobytes())
             _deal(out, number, s.value, about[:, s.row], s.row, bits)
             yield from out.table().to_batches()
 
@@ -322,9 +327,8 @@ def _meet(often: int | None):
         out, blobs, sizes, batches, where = _Rows(), [], [], [], 0
         for bucket, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
             where = bucket
-            if kind == _HEAD:
-                if often:
-                    out.add(bucket, batch, _HEAD, data)
+            if kind in (_HEAD, _CROWD):
+                out.add(bucket, batch, kind, data)
                 continue
             blobs.append(np.frombuffer(data, _I).reshape(2 + _ABOUT, -1))
             sizes.append(blobs[-1].shape[1])
@@ -366,23 +370,28 @@ def _meet(often: int | None):
     return run
 
 
-def _rarer(bits: int):
+def _rarer(bits: int, crowd: int):
     def run(table: pa.Table) -> pa.Table:
         """The frequent signatures of a batch without each row's ``least`` - 1 most frequent ones.
 
-        Partners share ``least`` signatures; the rarest of those is in what both keep."""
+        Partners share ``least`` signatures; the rarest of those is in what both keep. Where more than
+        ``crowd`` components have it, both sets are named instead."""
         head, found, batch = None, [np.zeros((3, 0), _I)], 0
         for _, batch, kind, data in zip(*(c.to_pylist() for c in table.columns)):
             if kind == _HEAD:
-                head = np.frombuffer(data, _I).reshape(_ABOUT + 1, -1)
+                head = np.frombuffer(data, _I).reshape(_ABOUT + 2, -1)
             else:
                 found.append(np.frombuffer(data, _I).reshape(3, -1))
         value, row, total = np.concatenate(found, axis=1)
         order = np.lexsort((value, -total, row))
-        value, row = value[order], row[order]
+        value, row, total = value[order], row[order], total[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank >= head[_ABOUT][row] - 1
-        out = _Rows()
+        out, many = _Rows(), total > crowd
+        named = np.unique(head[_ABOUT + 1][row[keep & many]])
+        if len(named):
+            out.add(batch % (1 << bits), batch, _CROWD, named.tobytes())
+        keep &= ~many
         _deal(out, batch, value[keep].view(np.uint64), head[:_ABOUT, row[keep]], row[keep], bits)
         return out.table()
 
@@ -396,25 +405,116 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def component_pairs(told: DataFrame, bits: int, often: int = OFTEN) -> DataFrame:
-    """Pairs a < b of components with a signature in common, for (rep, shingles, comp, spots1, spots2)."""
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, _I))], ["rep"])
+
+
+def component_pairs(told: DataFrame, bits: int, often: int = OFTEN, crowd: int = CROWD, tile: int = TILE) -> DataFrame:
+    """Pairs a < b of components that can hold partners, for (rep, shingles, comp, alone, spots1, spots2).
+
+    Partners share a signature; up to ``crowd`` components it pairs them, above that their rarest shingles do."""
     rows = told.mapInArrow(_by_signature(bits), _ROW).groupBy("bucket").applyInArrow(_meet(often), _ROW)
     rows = checkpointed(rows)
-    again = rows.filter(F.col("kind") != _PAIRS).groupBy("batch").applyInArrow(_rarer(bits), _ROW)
-    again = again.groupBy("bucket").applyInArrow(_meet(None), _ROW)
-    packed = rows.filter(F.col("kind") == _PAIRS).unionByName(again).select("data")
-    return packed.mapInArrow(_unpacked, "a long, b long").distinct()
+    again = rows.filter(F.col("kind") != _PAIRS).groupBy("batch").applyInArrow(_rarer(bits, crowd), _ROW)
+    again = checkpointed(again.groupBy("bucket").applyInArrow(_meet(None), _ROW))
+    packed = rows.unionByName(again).filter(F.col("kind") == _PAIRS).select("data")
+    pairs = packed.mapInArrow(_unpacked, "a long, b long")
+    crowded = again.filter(F.col("kind") == _CROWD)
+    if not crowded.isEmpty():
+        reps = crowded.select("data").mapInArrow(_named, "rep long").distinct()
+        pairs = pairs.unionByName(_in_crowds(told.join(reps, "rep", "left_semi"), tile))
+    return pairs.distinct()
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, owner, size = _unpack(batch.column("shingles").to_pylist())
+        sketch = sketches(hashes, owner, len(size))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("rep", "comp", "alone")), pa.array(size), *map(pa.array, sketch)],
+            ["rep", "comp", "alone", "size", "sketch1", "sketch2"],
+        )
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, owner, _ = _unpack(batch.column("shingles").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(owner)), pa.array(hashes.view(_I))], ["rep", "h"])
+
+
+def _in_crowds(sets: DataFrame, tile: int) -> DataFrame:
+    """Component pairs among ``sets`` by the prefix of each set in the order of (sets with it, shingle).
+
+    Partners share 3/4 of either's shingles, so one is in both prefixes of a quarter and one more."""
+    about = checkpointed(sets.mapInArrow(_described, "rep long, comp long, alone boolean, size long, sketch1 long, sketch2 long"))
+    each = sets.mapInArrow(_single, "rep long, h long")
+    number = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = each.join(number, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("met"))
+    # shingles of one set only come first in the order and meet nothing
+    own = F.col("size") - F.size("met")
+    prefix = F.slice("met", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("size") / 4) + 1 - own).cast("int"))
+    given = met.join(about, "rep").select("comp", "alone", "size", "sketch1", "sketch2", own.alias("own"), F.posexplode(prefix).alias("at", "x"))
+    of_single = lambda c: F.when(F.col("alone"), c).otherwise(F.lit(0)).cast("long")
+    entries = given.select(
+        F.col("x.h").alias("h"), F.col("x.n").alias("n"), "comp", of_single(F.col("size")).alias("size"),
+        of_single(F.col("own") + F.col("at")).alias("place"), *[of_single(F.col(c)).alias(c) for c in ("sketch1", "sketch2")],
+    ).distinct()
+    blocks = F.ceil(F.col("n") / tile)
+    tiled = entries.withColumn("block", F.pmod(F.xxhash64("comp"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiled = tiled.withColumns({"lo": F.least("block", "_o"), "hi": F.greatest("block", "_o")}).drop("_o", "n")
+    most = about.agg(F.sum(F.floor(F.col("size") / 4) + 1)).first()[0] or 0
+    groups = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // 100_000)
+    key = F.pmod(F.xxhash64("h", "lo", "hi"), F.lit(groups))
+    return tiled.withColumn("key", key).groupBy("key").applyInArrow(_meet_in_tiles, "a long, b long")
+
+
+def _meet_in_tiles(table: pa.Table) -> pa.Table:
+    """Pairs of the two blocks of each tile that sizes, places and sketches leave, about ``AT_ONCE`` at a time."""
+    h, lo, hi, block, comp, size, place, *sketch = (
+        np.asarray(table.column(c)) for c in ("h", "lo", "hi", "block", "comp", "size", "place", "sketch1", "sketch2")
+    )
+    order = np.lexsort((block, hi, lo, h))
+    h, lo, hi, block, comp, size, place = (x[order] for x in (h, lo, hi, block, comp, size, place))
+    sketch = np.stack(sketch)[:, order]
+    n = len(h)
+    new = np.append(True, (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[:n]
+    first = np.flatnonzero(new)
+    tile = np.cumsum(new) - 1
+    stop = np.append(first[1:], n)[tile]
+    # the rows of the other block stand behind, those of the same block behind the row itself
+    lower = first[tile] + np.bincount(tile, weights=block == lo).astype(_I)[tile]
+    start = np.where(lo == hi, np.arange(n) + 1, np.where(block == lo, lower, stop))
+    number = stop - start
+    total = np.cumsum(number)
+    got, at = [np.zeros((2, 0), _I)], 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, side="right")))
+        k = number[at:upto]
+        i = np.repeat(np.arange(at, upto), k)
+        j = np.repeat(start[at:upto] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        room = np.minimum(size[i] - place[i], size[j] - place[j])
+        far = unlike(sketch[:, i], sketch[:, j], size[i], size[j]) | ((7 * room < 3 * (size[i] + size[j])) & (size[i] > 0) & (size[j] > 0))
+        near = ~far & (comp[i] != comp[j])
+        if near.any():
+            got.append(np.sort(np.stack([comp[i[near]], comp[j[near]]]), axis=0))
+            if sum(x.shape[1] for x in got[1:]) > AT_ONCE:
+                got = [np.unique(np.concatenate(got, axis=1), axis=1)]
+        at = upto
+    a, b = np.unique(np.concatenate(got, axis=1), axis=1)
+    return pa.Table.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Queries against the sets of their targets: one link for a query and a part of a component."""
-    asks, comps, spots, reps, blobs = (table.column(c).to_pylist() for c in ("asks", "comp", "part", "rep", "shingles"))
+    """A lot of queries against the sets of their targets: one link for a query and a part of a component."""
+    asks, comps, parts, lots, reps, blobs = (table.column(c).to_pylist() for c in ("asks", "comp", "part", "lot", "rep", "shingles"))
     targets: dict[tuple, list[int]] = {}
-    for k, key in enumerate(zip(comps, spots)):
+    for k, key in enumerate(zip(comps, parts, lots)):
         if not asks[k]:
             targets.setdefault(key, []).append(k)
     queries: dict[tuple, list[int]] = {}
-    for k, key in enumerate(zip(comps, spots)):
+    for k, key in enumerate(zip(comps, parts, lots)):
         if asks[k] and key in targets:
             queries.setdefault(key, []).append(k)
     a, b = [], []
@@ -472,17 +572,20 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     less = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.xxhash64("a") < F.xxhash64("b")))
     asked = pairs.join(of_a, "a").join(of_b, "b").select(
         F.when(less, F.col("a")).otherwise(F.col("b")).alias("from"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("comp"),
-        F.ceil(F.when(less, F.col("nb")).otherwise(F.col("na")) / block).alias("parts"),
+        F.ceil(F.when(less, F.col("nb")).otherwise(F.col("na")) / block).alias("parts"), F.least("na", "nb").alias("n"),
     )
     asked = checkpointed(asked)
-    queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).join(
+    goals = checkpointed(asked.groupBy("comp", "parts").agg(F.ceil(F.sum("n") / block).alias("lots"), F.sum("n").alias("n")))
+    size = goals.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+    queries = asked.drop("n").join(goals.select("comp", "lots"), "comp").withColumn("part", up_to("parts")).join(
         told.withColumnRenamed("comp", "from"), "from"
-    ).select(F.lit(True).alias("asks"), "comp", "part", "rep", "shingles")
-    goals = asked.select("comp", "parts").distinct().join(told, "comp").select(
-        F.lit(False).alias("asks"), "comp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "shingles"
+    ).select(F.lit(True).alias("asks"), "comp", "part", F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int").alias("lot"), "rep", "shingles")
+    targets = goals.withColumn("lot", up_to("lots")).join(told, "comp").select(
+        F.lit(False).alias("asks"), "comp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "lot", "rep", "shingles"
     )
-    key = F.pmod(F.xxhash64("comp", "part"), F.lit(groups))
-    sure = queries.unionByName(goals).withColumn("key", key).groupBy("key").applyInArrow(_compare, "a long, b long")
+    key = F.pmod(F.xxhash64("comp", "part", "lot"), F.lit(max(groups, size // block)))
+    sure = queries.unionByName(targets).withColumn("key", key).groupBy("key").applyInArrow(_compare, "a long, b long")
     return found.unionByName(sure)
 
 
