@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import mixing, packing, partenum, substrings, toxicity
-from waymark.llm.common import checkpointed, crc_bucket
+from waymark.llm.common import checkpointed, crc_bucket, numbered
 from waymark.session import ship_package, stage, table
 
 #: No SQL gives a fitted classifier's decisions or a packing.
@@ -28,10 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id."""
+    """Of each group of near copies one row: that of the least id, rows without an id last.
+
+    Every row is a document of its own here, whatever its id, so repeated rows are copies of each
+    other, and rows of one id with unlike texts stay."""
     ship_package(spark)
-    groups = partenum.near_groups(docs)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    groups = partenum.near_groups(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    ids = groups.join(rows.select("_row", "doc_id"), "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    kept = ids.groupBy("component_id").agg(least.alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The corpus pipeline stage by stage on the smallest tables."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 
-from waymark.session import stage
+from waymark.llm import mixing
+from waymark.session import ship_package, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +36,27 @@ def test_every_mixed_row_is_packed(outputs):
     given, made = outputs[-1]
     assert made.filter("piece = 0").count() == given.count()
     assert made.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    ship_package(spark)
+    text = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    given = [
+        (1, text("a", 60)), (1, text("a", 60)), (1, text("a", 60)), (2, text("b", 50)), (3, text("b", 50)), (None, text("b", 50)),
+        (None, text("c", 45)), (None, text("d", 45)), (None, text("d", 45)), (4, text("e", 9)), (4, text("e", 9)),
+        (5, text("f", 40)), (5, text("g", 20)), (6, text("c", 45).replace("cw0 ", "new ")),
+    ]
+    want = Counter([given[0], given[3], given[7], given[9], given[11], given[12], given[13]])
+    rows = [(i, t, "en", "s", len(t)) for i, t in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("near_copies", "repeated_passages"):
+        docs = stage(stages[name](spark, docs, SF))
+        assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == want
+    one = stage(mixing.mix(docs, block=1, weights=(1.0,), share=1.0))  # as many words as there are: every row once
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == want
+    mixed = stage(stages["source_mix"](spark, docs, SF))
+    number = lambda df: sum(len(r["text"].split()) for r in df.collect())
+    assert number(mixed) == mixing.mix_plan(docs).groupBy().sum("taken").first()[0]
+    packed = stages["packing"](spark, mixed, SF)
+    assert packed.filter("piece = 0").count() == mixed.count()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.columns import as_col
-from waymark.session import shared_folder
+from waymark.session import shared_folder, stage
 
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,11 @@ def crc_bucket(c, buckets: int = 4) -> Column:
     return F.crc32(text_of(as_col(c).cast("string")).cast("binary")) % buckets
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Adds a number of its own to every row. The rows are written once, so each reading sees the same numbers."""
+    return stage(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Rows written once to the shared checkpoint folder; later reads do not recompute them."""
     spark: SparkSession = df.sparkSession

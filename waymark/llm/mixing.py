@@ -14,7 +14,7 @@ sorts sources (or the shards of a source), never documents.
 
 Defined cases: NULL text has size 0 and gets 0; NULL source is a source of its own, the last;
 sources without words get target 0; documents of one id share a place and repeated rows each
-count; no rows give no rows; other columns do not matter.
+count, with a place of their own where rows are numbered, as in ``mix``; no rows give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WORD, checkpointed, text_of, word_count
+from waymark.llm.common import WORD, checkpointed, numbered, text_of, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK, SHARDS, LEAST_SHARD = 16, 4096, 1 << 16
@@ -111,12 +111,15 @@ def _number(digest: Column, first: int) -> Column:
 def mix_plan(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0,
     block: int = BLOCK, shards: int = SHARDS, least_shard: int = LEAST_SHARD, seed: int = 0,
+    row: str | None = None,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and the place: shard, first, blocks, seats, start.
 
-    Every row of ``docs`` gives one row. ``taken`` is at most twice ``size`` for ``most`` = 2.
+    Every row of ``docs`` gives one row. ``row`` names a column that tells rows of one id apart, or of
+    none; it is put out too. ``taken`` is at most twice ``size`` for ``most`` = 2.
     """
-    sizes = checkpointed(docs.select("doc_id", "source", word_count().alias("size")))
+    own = [row] if row else []
+    sizes = checkpointed(docs.select("doc_id", "source", word_count().alias("size"), *own))
     aims = checkpointed(targets(sizes, weights, share, most))
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     aims = aims.withColumns({
@@ -124,11 +127,12 @@ def mix_plan(
         "_shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(least_shard), total / shards))).cast("long"),
     })
     aims = apportion(aims, "target", F.col("_seats"), order=["source"]).withColumnRenamed("quota", "_source_quota")
-    digest = _digest(F.lit(str(seed)), F.col("doc_id"))
+    no_id = [F.concat(F.lit("row "), F.col(row).cast("string"))] if row else []
+    digest = _digest(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), *no_id))
     aim = aims.withColumnRenamed("source", "_source")
     placed = sizes.join(aim, sizes["source"].eqNullSafe(aim["_source"]), "left").select(
         "doc_id", "source", "size", "source_size", "target", "_source_quota",
-        digest.alias("_digest"), (_number(digest, 1) % F.col("_shards")).alias("shard"),
+        *own, digest.alias("_digest"), (_number(digest, 1) % F.col("_shards")).alias("shard"),
     )
     keys = ["source", "shard"]
     shard_sizes = placed.groupBy(*keys).agg(
@@ -140,7 +144,7 @@ def mix_plan(
         F.col("source").alias("_s"), F.col("shard").alias("_h"), count.alias("blocks"),
         F.least(F.col("quota"), F.lit(int(most)) * count).alias("seats"),
     )
-    line = Window.partitionBy(*keys).orderBy("_digest", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy(*keys).orderBy("_digest", "doc_id", *own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = placed.withColumn("first", F.sum("size").over(line) - F.col("size"))
     both = ordered.join(dealt, ordered["source"].eqNullSafe(dealt["_s"]) & (ordered["shard"] == dealt["_h"]), "left")
     start = _number(_digest(F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("shard")), 9) % F.col("blocks")
@@ -151,7 +155,7 @@ def mix_plan(
     )
     return both.select(
         "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        "shard", "first", "blocks", "seats", "start",
+        "shard", "first", "blocks", "seats", "start", *own,
     )
 
 
@@ -175,18 +179,19 @@ def mix(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     """The mixed rows: whole texts as often as all blocks are taken, then the words of the chosen blocks.
 
     Columns are those of ``docs``; cut texts join their words by one blank and get their own
-    ``n_chars``. ``doc_id`` is the key of ``docs``.
+    ``n_chars``. Rows are told apart by a number of their own, not by ``doc_id``.
     """
-    plan = mix_plan(docs, block=block, **options).select(
-        F.col("doc_id").alias("_id"), "size", "taken", "first", "blocks", "seats", "start"
+    rows = numbered(docs)
+    plan = mix_plan(rows, block=block, row="_row", **options).select(
+        "_row", "size", "taken", "first", "blocks", "seats", "start"
     )
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).filter(F.col("taken") > 0)
+    joined = rows.join(plan, "_row").filter(F.col("taken") > 0)
     at = lambda i: F.floor((F.col("first") + i) / block)
     words = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.filter(words, lambda w, i: chosen_before(at(i) + 1) > chosen_before(at(i))), " ")
     whole = F.array_repeat(F.col("text"), repeats().cast("int"))
     rest = F.col("taken") > F.col("size") * repeats()
-    rows = joined.withColumn("_texts", F.when(rest, F.concat(whole, F.array(part))).otherwise(whole))
-    out = rows.withColumn("_text", F.explode("_texts"))
+    both = joined.withColumn("_texts", F.when(rest, F.concat(whole, F.array(part))).otherwise(whole))
+    out = both.withColumn("_text", F.explode("_texts"))
     swap = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[swap[c].alias(c) if c in swap else docs[c] for c in docs.columns])
+    return out.select(*[swap[c].alias(c) if c in swap else F.col(c) for c in docs.columns])
