@@ -5,6 +5,16 @@ from __future__ import annotations
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+#: crc32 of the bytes of a text, by a table of 256 numbers that the query makes itself
+_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex({text}), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {code}, lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT])), 4294967295)"
+
 
 ORACLE = {
     "op1_chat_formatting": r"""
@@ -49,4 +59,49 @@ link AS (
 r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, link.b FROM r JOIN link ON link.a = r.c)
 SELECT s.doc_id, len(any_value(sh))::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""",
+    "op11_exact_dedup": r"""
+WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_importance_resampling": f"""
+WITH {_TABLE},
+texts AS (SELECT 0 AS part, doc_id, {_FOLDED} AS text FROM documents UNION ALL SELECT 1, NULL, {_FOLDED} FROM benchmark),
+w AS (SELECT part, doc_id, list_filter(regexp_split_to_array(text, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM texts),
+l AS (SELECT part, doc_id, len(ws) AS n_words, ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS fs FROM w),
+f AS (SELECT part, doc_id, unnest(fs) AS f FROM l),
+b AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT DISTINCT f FROM f), crc),
+n AS (SELECT b, count(*) FILTER (part = 0) AS s, count(*) FILTER (part = 1) AS t FROM f JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE)
+        / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE))))::BIGINT AS gain FROM n),
+d AS (SELECT doc_id, sum(gain)::BIGINT AS total, count(*) AS k FROM f JOIN b USING (f) JOIN g USING (b) WHERE part = 0 GROUP BY doc_id),
+e AS (
+  SELECT doc_id, n_words, len(fs)::BIGINT AS n_features, coalesce((total - ((total % k) + k) % k) // k, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256(concat('7:', doc_id)), 1, 8))::BIGINT AS h
+  FROM l LEFT JOIN d USING (doc_id) WHERE part = 0),
+v AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 25 * count(*) OVER () // 100 AS most FROM v WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM v LEFT JOIN r USING (doc_id)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE {_TABLE},
+x AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT run, n, {_crc("concat(doc_id, ':', run)")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM x GROUP BY 1, 2), crc),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+    sum(n)::BIGINT AS n FROM o GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+pair AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.d = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.d = b.word),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM pair),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word AND r = 1),
+path AS (
+  SELECT word, word AS place, 0 AS steps FROM forms
+  UNION ALL SELECT path.word, form, steps + 1 FROM path JOIN forms ON forms.word = path.place WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(place, steps) AS root FROM path GROUP BY 1)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)""",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import (
-    chat, compression_bands, language, mixing, neighbours, packing, partenum, prefix_tokens, spotsigs, substrings,
-    toxicity,
+    chat, compression_bands, exact_dedup, language, mixing, neighbours, packing, partenum, prefix_tokens, resampling,
+    spelling, spotsigs, substrings, toxicity,
 )
 from waymark.llm.common import checkpointed, crc_bucket, text_of
 from waymark.session import ship_package, table
@@ -121,3 +121,22 @@ def op9_substring_dedup(spark, sf_dir):
 @query
 def op10_ngram_jaccard_join(spark, sf_dir):
     return partenum.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    judged = exact_dedup.drop_repeats(docs, exact_dedup.earlier_half(docs))
+    return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query
+def op12_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    gain = resampling.gains(docs, table(spark, sf_dir, "benchmark"))
+    return resampling.draw(resampling.scores(docs, gain)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
