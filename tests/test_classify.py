@@ -152,3 +152,13 @@ def test_candidate_with_most_of_the_tests(spark):
     assert hot["total"] == 29_000 + sum(i % 50 == 0 for i in range(29_000, 30_000)) and hot["exception_type"] == "KeyError"
     assert hot["passed"] == sum(i % 7 != 0 for i in range(20_001))
     assert got[3]["passed"] == sum(i % 50 == 3 and i % 7 != 0 for i in range(29_000, 30_000)) and got[3]["exception_type"] is None
+
+
+def test_candidate_without_a_name(spark):
+    """NULL candidates are one candidate, and what ended it is not lost."""
+    data = [(None, 0, "[0]", "1", "1", None), (None, 1, "[1]", None, "1", "KeyError"), ("a", 0, "[0]", "1", "1", None)]
+    known = spark.createDataFrame([(None,), ("a",), ("b",)], "candidate_id string")
+    for candidates in (None, known):
+        got = {r["candidate_id"]: r for r in classify_results(spark.createDataFrame(data, RESULT), candidates=candidates).collect()}
+        assert (got[None]["state"], got[None]["passed"], got[None]["total"]) == ("INDEX_KEY_ERROR", 1, 2)
+        assert got["a"]["state"] == "FEEDBACK_PASS" and len(got) == (2 if candidates is None else 3)

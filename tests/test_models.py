@@ -1,9 +1,13 @@
 """Transition models: bounds, grouping, closed form, saving, whole jobs."""
 
+import hashlib
 import json
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import functions as F
 
 from waymark.operators import markov as M
@@ -56,12 +60,64 @@ def test_no_episode_in_two_folds(transitions):
 
 
 def test_folds_follow_size_and_hash(transitions):
-    rows = transitions.groupBy("episode_id").agg(F.count("*").alias("n"), F.xxhash64("episode_id").alias("h")).collect()
-    ranked = sorted(rows, key=lambda r: (-r["n"], r["h"], r["episode_id"]))
+    rows = transitions.groupBy("episode_id").agg(F.count("*").alias("n")).collect()
+    ranked = sorted(rows, key=lambda r: (-r["n"], hashlib.md5(r["episode_id"].encode()).hexdigest()[:15], r["episode_id"]))
     want = {r["episode_id"]: i % 5 for i, r in enumerate(ranked)}
     assert dict(M.with_folds(transitions, 5).select("episode_id", "_fold").distinct().collect()) == want
 
 
+def test_vectors_stand_for_the_rows(transitions):
+    """Counting rows first changes neither the sizes, nor the scaling, nor the training set of a fold."""
+    features = M.feature_columns(transitions, "full")
+    folded = M.with_folds(transitions, 3).persist()
+    vectors = M.distinct_vectors(folded, features, "next_state", 3, "_fold")
+    assert vectors.table.count() < transitions.count()
+    known = M.profile(vectors)
+    for fold in (None, 0, 2):
+        rows = folded if fold is None else folded.filter(F.col("_fold") != fold)
+        assert known.total(fold) == M.class_sizes(rows)
+        for c in ("attempt", "feedback_pass_rate", "count_WRONG_ALGORITHM", "count_TIMEOUT"):
+            mean, spread = rows.agg(F.avg(c), F.stddev_pop(c)).first()
+            assert known.scale(c, fold) == pytest.approx((mean, spread), abs=1e-12)
+        counted = vectors.table.select(*features, "next_state", M.train_rows(fold).alias("n")).filter("n > 0")
+        want = rows.groupBy(*features, "next_state").agg(F.count("*").alias("n"))
+        assert counted.exceptAll(want).isEmpty() and want.exceptAll(counted).isEmpty()
+    folded.unpersist()
+
+
+def test_fit_on_vectors_is_the_fit_on_rows(transitions):
+    """Against MLlib on every single row, with its own encoders."""
+    sizes = M.class_sizes(transitions)
+    n, weights = sum(sizes.values()), M.class_weights(sizes)
+    text = ["current_state", "history_1", "history_2", "history_3"]
+    code = F.create_map(*[F.lit(x) for i, (c, w) in enumerate(weights.items()) for x in (c, F.struct(F.lit(float(i)).alias("i"), F.lit(w).alias("w")))])
+    rows = transitions.select(*text, code[F.col("next_state")]["i"].alias("y"), code[F.col("next_state")]["w"].alias("w"))
+    index = StringIndexer(inputCols=text, outputCols=[f"i{k}" for k in range(4)])
+    hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"h{k}" for k in range(4)], dropLast=False)
+    logistic = LogisticRegression(labelCol="y", weightCol="w", regParam=1 / n, standardization=False, maxIter=2000)
+    plain = Pipeline(stages=[index, hot, VectorAssembler(inputCols=hot.getOutputCols(), outputCol="features"), logistic]).fit(rows)
+    want = {tuple(r[:4]): list(r[4]) for r in plain.transform(rows).select(*text, "probability").distinct().collect()}
+    model = M.fit_higher_order_model(transitions)
+    got = M.predict_next_state_probabilities(model, transitions, keep=text).distinct().collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert list(r[4:]) == pytest.approx(want[tuple(r[:4])], abs=2e-3)
+
+
+def test_first_order_model_without_a_fit(transitions):
+    """The penalised optimum agrees with the fitted model, the closed form is where it goes without a penalty."""
+    table = lambda **o: {(r[0], r[1]): r["probability"] for r in M.first_order_probabilities(transitions, **o).collect()}
+    free, ridge, nearly_free = table(), table(penalty=1.0), table(penalty=1e-7)
+    assert free.keys() == ridge.keys()
+    model = M.fit_first_order_model(transitions)
+    for r in M.predict_next_state_probabilities(model, transitions, keep=("current_state",)).distinct().collect():
+        for c in model.classes:
+            key = (r["current_state"], c)
+            assert r[f"Pr_next_{c}"] == pytest.approx(ridge[key], abs=2e-3)
+            assert free[key] == pytest.approx(nearly_free[key], abs=2e-3) and abs(free[key] - ridge[key]) < 0.05
+    assert M.first_order_probabilities(transitions.filter("false"), penalty=1.0).count() == 0
+
+
 def test_lost_folds_are_reported(spark):
     rows = [(m, s, k, None if (s, k) == ("full", 0) else 0.5 + 0.1 * (s == "full") + 0.01 * k) for m, s in M.MODELS for k in range(4)]
     r = M.markov_assumption_test(scores=spark.createDataFrame(rows, "model string, feature_set string, fold int, score double")).first()

@@ -159,3 +159,13 @@ def test_one_attempt_per_episode(make):
     assert rows(R.transition_table(five)) == []
     assert rows(R.recovery_by_state(five)) == []
     assert [r[3:] for r in rows(R.regression_summary(five))] == [(0, 0, 0, 0.0, 0.0)] * 5
+
+
+def test_matrix_of_a_log_with_labels_of_its_own(make):
+    """Labels outside the vocabulary count as exits but have no cell."""
+    e = make(("a", "p", "FINAL_FAIL", ["TIMEOUT", "MINE", "TIMEOUT", "NEAR_MISS", "MINE"], None))
+    got = {r["source_state"]: r for r in R.transition_matrix(e).collect()}
+    assert len(got) == 17 and got["TIMEOUT"]["NEAR_MISS"] == 0.5 and got["TIMEOUT"]["TIMEOUT"] is None
+    assert got["NEAR_MISS"]["NEAR_MISS"] is None and got["SYNTAX_ERROR"]["NEAR_MISS"] == 0.0
+    only = make(("a", "p", "FINAL_FAIL", ["MINE", "OTHER"], None))
+    assert R.transition_matrix(only).count() == 17

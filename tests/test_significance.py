@@ -3,10 +3,12 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import pvalues
+from waymark.operators import resampling_tree as tree
 from waymark.operators import significance as S
 
 W, P, U = "WRONG_ALGORITHM", "FEEDBACK_PASS", "TERMINAL_UNRESOLVED"
@@ -75,20 +77,51 @@ def test_resampling_modes_agree(solves):
         assert sd == pytest.approx(math.sqrt(0.6 * 0.4 / 20), rel=0.1)
 
 
-def test_blocks_of_differences_keep_the_distribution(spark, monkeypatch):
-    """Many distinct differences: several blocks, same mean, spread and pair total."""
-    monkeypatch.setattr(S, "BLOCK_VALUES", 16)
+def test_tree_over_many_differences_keeps_the_distribution(spark):
+    """Steps of a tree with few ranges each: same mean, spread and pair total."""
     data = [("m", i / 200, 1 + i % 3) for i in range(-100, 101)]
     counts = spark.createDataFrame(data, "metric string, diff double, n long")
     n = sum(r[2] for r in data)
     mean = sum(d * k for _, d, k in data) / n
     var = sum((d - mean) ** 2 * k for _, d, k in data) / n
-    got = [r["mean"] for r in S.bootstrap_means(counts, 1500).collect()]
-    assert len(got) == 1500
-    centre = sum(got) / len(got)
+    got = {r["rep"]: r["mean"] for r in tree.tree_means(counts, 1500, fan=8).collect()}
+    assert sorted(got) == list(range(1500))
+    centre = sum(got.values()) / len(got)
     assert centre == pytest.approx(mean, abs=4 * math.sqrt(var / n / 1500))
-    spread = sum((m - centre) ** 2 for m in got) / len(got)
+    spread = sum((m - centre) ** 2 for m in got.values()) / len(got)
     assert spread == pytest.approx(var / n, rel=0.15)
+    # one step or several: the same tree and the same draws
+    for options in ({"fan": 1024}, {"fan": 16, "most_values": 201}):
+        again = {r["rep"]: r["mean"] for r in tree.tree_means(counts, 1500, **options).collect()}
+        assert again == pytest.approx(got, abs=1e-12)
+
+
+def test_binomial_inverse():
+    rng = np.random.default_rng(0)
+    for m, p in ((1, 0.5), (7, 0.3), (40, 0.001), (300, 0.97), (5000, 0.5)):
+        u = rng.random(200)
+        got = tree.binomial_at(np.full(200, m), p, u)
+        pmf = [math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log1p(-p)) for k in range(m + 1)]
+        below = np.cumsum(pmf)
+        assert got.tolist() == np.minimum(np.searchsorted(below, u), m).tolist()
+    big = tree.binomial_at(np.full(50, 10**8), 0.25, rng.random(50))
+    assert abs(big.mean() - 2.5e7) < 5 * math.sqrt(1e8 * 0.1875 / 50)
+
+
+def test_uniform_numbers_are_even():
+    u = np.concatenate([tree.uniform(12345, np.arange(2000), lo, lo + 3) for lo in range(20)])
+    assert 0 < u.min() and u.max() < 1
+    assert np.histogram(u, 10, (0, 1))[0] == pytest.approx(np.full(10, len(u) / 10), rel=0.06)
+    pairs = np.corrcoef(tree.uniform(1, np.arange(20000), 0, 5), tree.uniform(1, np.arange(20000), 0, 2))[0, 1]
+    assert abs(pairs) < 0.03
+
+
+def test_very_many_distinct_differences(spark):
+    counts = spark.range(60_000).select(
+        F.lit("m").alias("metric"), (F.col("id") / 60_000).alias("diff"), F.lit(1).cast("long").alias("n")
+    )
+    got = [r["mean"] for r in S.bootstrap_means(counts, 3).collect()]
+    assert len(got) == 3 and all(abs(m - 0.5) < 5 * math.sqrt(1 / 12 / 6e4) for m in got) and len(set(got)) == 3
 
 
 def test_same_seed_same_numbers(solves):

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import session
 from waymark.operators import reports as R
 from waymark.operators import trajectory as T
+from waymark.plans import bundle
 from waymark.sources import jsonl, problems, report_files
 
 
@@ -45,6 +47,58 @@ def test_malformed_line(spark, tmp_path):
         jsonl.read_episodes(spark, path).select("episode_id").collect()
     bad = jsonl.malformed_lines(spark, path).collect()
     assert len(bad) == 1 and bad[0]["line"].startswith('{"episode_id":') and "log.jsonl" in bad[0]["file"]
+    assert bad[0]["line_number"] == 2 and jsonl.first_malformed(spark, path).endswith("log.jsonl:2")
+    with pytest.raises(ValueError, match="log.jsonl:2"):
+        bundle.analyze_log(spark, path, str(tmp_path / "out"), models=False)
+    assert jsonl.first_malformed(spark, log(tmp_path, [episode(0)], "good.jsonl")) is None
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Files that are read in hundreds of pieces, some without an end of line, some with blank lines and \\r\\n."""
+    want = set()
+    for name, end in (("a.jsonl", "\n"), ("b.jsonl", "\r\n"), ("c.jsonl", "\n")):
+        lines = []
+        for i in range(1, 401):
+            broken = i % 37 == 0
+            lines.append("" if i % 11 == 0 else json.dumps({"i": i, "é": "x" * (i % 90)})[: -1 if broken else None])
+            if broken and lines[-1]:
+                want.add((name, i, lines[-1]))
+        (tmp_path / name).write_bytes((end.join(lines) + (end if name != "c.jsonl" else "")).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        got = jsonl.malformed_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r["file"].rsplit("/")[-1], r["line_number"], r["line"]) for r in got} == want and len(got) == len(want)
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    e = jsonl.read_episodes(spark, log(tmp_path, [episode(i) for i in range(4)]))
+    one, two, out = e.filter("episode_id < 'e2'"), e.filter("episode_id >= 'e2'"), str(tmp_path / "out")
+    for df, name in ((one, "n-1"), (two, "n-2"), (one, "n-1")):
+        jsonl.append_batch(df, out, name)
+    back = lambda: sorted(r[0] for r in jsonl.read_batches(spark, out, jsonl.EPISODE_DDL).select("episode_id").collect())
+    assert back() == ["e0", "e1", "e2", "e3"]
+    # a write that ended before its batch was listed, with a broken record in it
+    left = tmp_path / "out" / "batches" / "batch=n-3"
+    left.mkdir()
+    (left / "part-0.txt").write_text(json.dumps(episode(9)) + "\n")
+    assert back() == ["e0", "e1", "e2", "e3"]
+    jsonl.append_batch(two.withColumn("episode_id", F.lit("f")), out, "n-3")
+    assert back() == ["e0", "e1", "e2", "e3", "f", "f"]
+    with pytest.raises(ValueError):
+        jsonl.append_batch(one, out, "../x")
+
+
+def test_staged_folders_can_be_cleared(spark):
+    path = session.new_folder(spark)
+    spark.range(3).write.parquet(path)
+    kept, session._made[:] = [p for p in session._made if p != path], [path]
+    session.clear_staged(spark)
+    session._made[:] = kept
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
 
 
 def test_write_append_read(spark, tmp_path):
@@ -131,3 +185,32 @@ def test_list_of_sources(spark):
     )
     r = problems.normalize_problems(df, "mbpp").first()
     assert [(t["input"], t["expected"]) for t in r["tests"]] == [("[1]", "2"), ('["a"]', "[1]")]
+
+
+def test_variant_tests(spark):
+    """Lists that mix texts, objects and other things; a text alone; what is no list."""
+    given = [
+        ["assert f(1) == 2\nassert g(1) == 1", {"input": [1, "é"], "expected": None, "test_id": 7}, "assert (", {"input": 1}, 3, None,
+         {"expected": {"b": 1, "a": [2.5]}, "input": "x"}, "assert candidate() == 'q'"],
+        "assert f('a', [1]) == {'k': None}", {"input": 1, "expected": 2}, [], 5, None, [["assert f(1) == 1"]],
+    ]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(given)] + [(9, None)]
+    df = spark.createDataFrame(rows, "i int, v string").select("i", F.parse_json("v").alias("tests"), F.lit("f").alias("entry_point"))
+    got = {r["i"]: [(t["input"], t["expected"], t["test_id"]) for t in r["t"]] for r in df.select("i", problems.parse_tests(df).alias("t")).collect()}
+    assert got[0] == [
+        ("[1]", "2", None), ('[1,"é"]', "null", "7"), ('"x"', '{"a":[2.5],"b":1}', None), ("[]", '"q"', None)
+    ]
+    assert got[1] == [('["a", [1]]', '{"k": null}', None)]
+    assert all(got[i] == [] for i in (2, 3, 4, 5, 6, 9))
+    capped = df.select("i", problems.parse_tests(df, max_tests=2).alias("t")).filter("i = 0").first()["t"]
+    assert [t["input"] for t in capped] == ["[1]", '[1,"é"]']
+
+
+def test_digest_of_a_table(spark):
+    rows = [(1, 0.1 + 0.2, "a", True), (2, None, None, False), (3, -1e-9, "b|c", None)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, b boolean")
+    one = bundle.table_digest(df).first()
+    assert one == bundle.table_digest(df.orderBy(F.desc("i")).repartition(3)).first() and one["n_rows"] == 3
+    assert one == bundle.table_digest(df.withColumn("x", F.col("x") + 1e-12).withColumn("m", F.array("i"))).first()
+    assert one["digest"] != bundle.table_digest(df.withColumn("s", F.upper("s"))).first()["digest"]
+    assert tuple(bundle.table_digest(df.filter("false")).first()) == (0, "0")

@@ -1,5 +1,10 @@
 """Episode records: cut, sentinel, sequence columns, transition rows."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from waymark.operators import trajectory as T
 
 P, S, W, X = "FEEDBACK_PASS", "TERMINAL_UNRESOLVED", "WRONG_ALGORITHM", "SYNTAX_ERROR"
@@ -68,3 +73,31 @@ def test_log_without_sequence_fields_gets_defaults(make):
     assert (r["history_1"], r["history_3"]) == ("START", "START")
     assert r["dwell_time_current_state"] == 1 and r["feedback_type"] == "NONE"
     assert r["final_outcome"] == "0" and r[f"count_{W}"] == 0
+
+
+def test_chosen_columns_only(make):
+    e = make(("a", "p", "FINAL_PASS", [W, W, X, W, P], [0.0, 0.25, 0.0, 0.5, 1.0]), ("b", "p", "FINAL_FAIL", [], []))
+    full = T.flatten_attempts(T.enrich_trajectories(e, policy="structured"))
+    for c in ("previous_state", "dwell_time_current_state", "ordered_history", "cumulative_state_counts", "delta_feedback_pass_rate", "feedback_type"):
+        one = T.flatten_attempts(T.enrich_trajectories(e, policy="structured", columns=[c]))
+        assert set(one.columns) == set(T.flatten_attempts(e).columns) | {c}
+        pick = lambda df: [r[c] for r in df.orderBy("pos").collect()]  # noqa: E731, B023
+        assert pick(one) == pick(full)
+    with pytest.raises(ValueError, match="speed"):
+        T.enrich_trajectories(e, columns=["speed"])
+
+
+def test_runs_and_counts_of_long_sequences(spark):
+    """Carried along once, against plain Python; unknown labels and NULL states too."""
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([W, W, X, P, "OTHER", None]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 60, 200])]
+    df = spark.createDataFrame(rows, "i int, s array<string>").select("i", "s", T.run_lengths(F.col("s")).alias("runs"), T.running_counts(F.col("s")).alias("counts"))
+    for r in df.collect():
+        run, seen, runs, counts = 0, {}, [], []
+        for k, s in enumerate(r["s"]):
+            run = run + 1 if k and r["s"][k - 1] == s else 1
+            if s is not None:
+                seen = {**seen, s: seen.get(s, 0) + 1}
+            runs.append(run)
+            counts.append(seen)
+        assert r["runs"] == runs and r["counts"] == counts

@@ -31,3 +31,11 @@ def let(value: Column, body) -> Column:
     A column used inside a lambda is otherwise folded into it and evaluated per element.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def join_same(left: DataFrame, right: DataFrame, key, how: str = "left") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the left side's key columns stay."""
+    key = names(key)
+    other = right.select(*[F.col(c).alias(f"_same{i}") for i, c in enumerate(key)], *[c for c in right.columns if c not in key])
+    met = left.join(other, [F.col(c).eqNullSafe(F.col(f"_same{i}")) for i, c in enumerate(key)], how)
+    return met.drop(*[f"_same{i}" for i in range(len(key))])

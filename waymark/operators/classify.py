@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import vocabulary as V
-from waymark.functions.columns import names
+from waymark.functions.columns import join_same, names
 from waymark.functions.labels import exception_state, pass_count_state, pass_rate
 from waymark.functions.values import format_matches, value_kind, values_equal
 
@@ -27,7 +27,8 @@ def classify_results(
     ``exception_name`` and optionally ``input``. ``candidates`` adds those without tests.
 
     Rows meet only by candidate and range of ``order`` (a whole number); what goes on by candidate
-    alone is one row per range, so one with very many tests is spread over tasks.
+    alone is one row per range, so one with very many tests is spread over tasks. Rows whose
+    candidate is NULL are one candidate.
     """
     key = names(key)
     given = F.col("input") if "input" in results.columns else F.lit(None).cast("string")
@@ -56,8 +57,8 @@ def classify_results(
         F.min_by(F.struct("_abort", "exception_name", example.alias("_case")), aborted).alias("_e"),
     )
     ended = parts.groupBy(*key).agg(F.min_by("_e", "_end").alias("_e"), F.min("_end").alias("_end"))
-    ends = parts.select(*key, "_part").join(ended.select(*key, "_end"), key)
-    judged = rows.join(ends, [*key, "_part"], "left").withColumn(
+    ends = join_same(parts.select(*key, "_part"), ended.select(*key, "_end"), key)
+    judged = join_same(rows, ends, [*key, "_part"]).withColumn(
         "_counts", F.col("_end").isNull() | (F.col(order) < F.col("_end"))
     )
     missed = F.when(F.col("_counts") & ~F.col("_ok"), F.col(order))
@@ -67,9 +68,9 @@ def classify_results(
         F.min(missed).alias("_missed"),
         F.min_by(example, missed).alias("_miss"),
     )
-    full = tally.join(ended.drop("_end"), key, "left")
+    full = join_same(tally, ended.drop("_end"), key)
     if candidates is not None:
-        full = candidates.select(*key).join(full, key, "left")
+        full = join_same(candidates.select(*key), full, key)
     passed, total = F.coalesce("passed", F.lit(0)), F.coalesce("total", F.lit(0))
     state = F.coalesce(
         F.col("_e._abort"),

@@ -3,30 +3,25 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    IndexToString,
-    OneHotEncoder,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
 from waymark import vocabulary as V
 from waymark.functions.columns import round4
 from waymark.functions.pvalues import wilcoxon_p
 from waymark.operators.significance import signed_ranks
+from waymark.operators.vectors import ROWS, Profile, Vectors, distinct_vectors, narrowed, profile, train_rows
+from waymark.session import stage
 
 # --- fixed values: model names, and columns that are never features ----------
 MODELS = (
@@ -41,7 +36,6 @@ MAX_ITER = 2000
 # ----------------------------------------------------------------------------
 
 PARALLEL_FITS = 8  # fits submitted to the cluster at a time
-ROWS_PER_PARTITION = 50_000  # small inputs are fitted in few tasks per iteration
 
 
 @dataclass(frozen=True)
@@ -71,42 +65,25 @@ def feature_columns(df: DataFrame, feature_set: str) -> list[str]:
     return ["current_state", *extra[feature_set]]
 
 
-def _stages(df: DataFrame, feature_set: str, n: int, classes: list[str]) -> Pipeline:
-    cols = feature_columns(df, feature_set)
-    text = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
-    numbers = [c for c in cols if c not in text]
+def _encoder(profile: Profile, vectors: Vectors, without: int | None) -> tuple[list, list[str]]:
+    """Stages that make one-hot and scaled columns with all parameters set, and the columns."""
+    text, numbers = vectors.text(), vectors.numbers()
     index, hot = [f"_i_{c}" for c in text], [f"_h_{c}" for c in text]
-    stages, parts = [], []
+    stages = []
     if text:
         # An unknown label gets the extra index, whose slot dropLast removes: all zeros.
         stages += [
-            StringIndexer(inputCols=text, outputCols=index, handleInvalid="keep"),
+            *[StringIndexerModel.from_labels(profile.labels[c], c, i, "keep") for c, i in zip(text, index)],
             OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
         ]
-        parts += hot
     if numbers:
-        stages += [
-            VectorAssembler(inputCols=numbers, outputCol="_numbers"),
-            StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        ]
-        parts.append("_scaled")
-    stages += [
-        VectorAssembler(inputCols=parts, outputCol="_features"),
-        LogisticRegression(
-            featuresCol="_features",
-            labelCol="_label",
-            weightCol="_weight",
-            probabilityCol="probability",
-            rawPredictionCol="_raw",
-            family="auto",
-            maxIter=MAX_ITER,
-            regParam=1.0 / n,  # unit inverse penalty on summed loss; balanced weights sum to n
-            elasticNetParam=0.0,
-            standardization=False,
-        ),
-        IndexToString(inputCol="prediction", outputCol="predicted_state", labels=classes),
-    ]
-    return Pipeline(stages=stages)
+        scaled = []
+        for c in numbers:
+            mean, deviation = profile.scale(c, without)
+            value = f"(CAST(`{c}` AS DOUBLE) - {mean!r}D) / {deviation!r}D" if deviation else "0D"
+            scaled.append(f"{value} AS `_z_{c}`")
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"))
+    return stages, [*hot, *[f"_z_{c}" for c in numbers]]
 
 
 def class_sizes(rows: DataFrame, target: str = "next_state") -> dict[str, int]:
@@ -115,9 +92,10 @@ def class_sizes(rows: DataFrame, target: str = "next_state") -> dict[str, int]:
     return {r[0]: r[1] for r in sorted(counted, key=lambda r: str(r[0]))}
 
 
-def _sized(rows: DataFrame, n: int) -> DataFrame:
-    """Merge partitions of small inputs; large ones have fewer partitions than the bound."""
-    return rows.coalesce(max(1, n // ROWS_PER_PARTITION))
+def class_weights(sizes: dict[str, int]) -> dict[str, float]:
+    """Balanced weights: every class counts the same, all together as many as there are rows."""
+    n = sum(sizes.values())
+    return {c: n / (len(sizes) * k) for c, k in sizes.items()}
 
 
 def _in_parallel(spark: SparkSession, job, items: list) -> list:
@@ -126,29 +104,57 @@ def _in_parallel(spark: SparkSession, job, items: list) -> list:
         return list(pool.map(inheritable_thread_target(spark)(job), items))
 
 
-def _fit(rows: DataFrame, feature_set: str, classes: list[str], target: str) -> TransitionModel:
-    """Fit on rows; ``classes`` fixes the label order also where rows lack a class."""
-    sizes = class_sizes(rows, target)
-    n = sum(sizes.values())
-    weight = {c: n / (len(sizes) * k) for c, k in sizes.items()}
+def _kept(vectors: Vectors) -> Vectors:
+    """The vectors as a stored table in as few files as their size asks for."""
+    table = vectors.table.coalesce(max(1, int(vectors.table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return replace(vectors, table=stage(table))
+
+
+def _fit(vectors: Vectors, profile: Profile, feature_set: str, without: int | None = None) -> TransitionModel:
+    """Fit on all folds but one. The profile's classes fix the label order also where rows lack one."""
 
     def table(values: dict) -> F.Column:
         return F.create_map(*[F.lit(x) for item in values.items() for x in item])
 
-    label = table({c: float(i) for i, c in enumerate(classes)})
-    train = _sized(rows, n).withColumn("_label", F.element_at(label, F.col(target))).withColumn(
-        "_weight", F.element_at(table(weight), F.col(target))
+    sizes, target = profile.total(without), F.col(vectors.target)
+    n = sum(sizes.values())
+    rows = train_rows(without)
+    label = table({c: float(i) for i, c in enumerate(profile.classes)})
+    train = vectors.table.filter(rows > 0).withColumn("_label", F.element_at(label, target)).withColumn(
+        "_weight", F.element_at(table(class_weights(sizes)), target) * rows
     )
-    pipeline = _stages(rows, feature_set, n, classes).fit(train)
-    return TransitionModel(pipeline, tuple(classes), feature_set)
+    encoder, columns = _encoder(profile, vectors, without)
+    stages = [
+        *encoder,
+        VectorAssembler(inputCols=columns, outputCol="_features"),
+        LogisticRegression(
+            featuresCol="_features",
+            labelCol="_label",
+            weightCol="_weight",
+            probabilityCol="probability",
+            rawPredictionCol="_raw",
+            family="auto",
+            maxIter=MAX_ITER,
+            regParam=1.0 / n,  # unit inverse penalty on summed loss; balanced weights sum to n
+            elasticNetParam=0.0,
+            standardization=False,
+        ),
+        IndexToString(inputCol="prediction", outputCol="predicted_state", labels=list(profile.classes)),
+    ]
+    return TransitionModel(Pipeline(stages=stages).fit(train), profile.classes, feature_set)
+
+
+def _vectors(transitions: DataFrame, feature_set: str, target: str = "next_state") -> tuple[Vectors, Profile]:
+    made = _kept(distinct_vectors(transitions, feature_columns(transitions, feature_set), target))
+    return made, profile(made)
 
 
 def fit_model(transitions: DataFrame, feature_set: str = "full") -> TransitionModel:
     """P(next state | features) for one of the five feature sets."""
-    classes = list(class_sizes(transitions))
-    if not classes:
+    vectors, known = _vectors(transitions, feature_set)
+    if not known.classes:
         raise ValueError("no transitions: at least one episode with two states is needed")
-    return _fit(transitions, feature_set, classes, "next_state")
+    return _fit(vectors, known, feature_set)
 
 
 def fit_transition_model(transitions: DataFrame) -> TransitionModel:
@@ -174,9 +180,70 @@ def fit_duration_dependent_model(transitions: DataFrame) -> TransitionModel:
 def fit_direct_recovery_model(transitions: DataFrame) -> TransitionModel | None:
     """P(next state is a pass) on all features; None without both classes."""
     passed = F.when(F.col("next_state") == V.PASS, "1").otherwise("0")
-    rows = transitions.withColumn("_passes", passed)
-    classes = list(class_sizes(rows, "_passes"))
-    return _fit(rows, "full", classes, "_passes") if len(classes) == 2 else None
+    vectors, known = _vectors(transitions.withColumn("_passes", passed), "full", "_passes")
+    return _fit(vectors, known, "full") if len(known.classes) == 2 else None
+
+
+def first_order_probabilities(transitions: DataFrame, *, penalty: float = 0.0) -> DataFrame:
+    """The first-order model from the transition counts alone, no fit: one row for every state left and every class.
+
+    Without a penalty its odds are in closed form the counts, each divided by its class, as balanced classes
+    ask. With one (1.0 is that of :func:`fit_first_order_model`) the optimum is found by Newton steps on the counted
+    cells, of which there are as many as pairs of states in the vocabulary.
+    """
+    counts = transitions.groupBy("current_state", "next_state").agg(F.count("*").alias("n"))
+    of_class = counts.groupBy("next_state").agg(F.sum("n").alias("_class"))
+    states = counts.select("current_state").distinct()
+    # states and classes are the fixed vocabulary
+    cells = states.join(F.broadcast(of_class)).join(counts, ["current_state", "next_state"], "left")
+    cells = cells.select("current_state", "next_state", F.coalesce("n", F.lit(0)).alias("n"), "_class")
+    if not penalty:
+        share = F.col("n") / F.col("_class")
+        return cells.select(
+            "current_state", "next_state", "n", (share / F.sum(share).over(Window.partitionBy("current_state"))).alias("probability")
+        )
+    rows = sorted(cells.collect(), key=lambda r: (r["current_state"], r["next_state"]))
+    classes = sorted({r["next_state"] for r in rows})
+    if not rows:
+        return cells.select("current_state", "next_state", "n", F.lit(0.0).alias("probability"))
+    n = np.array([r["n"] for r in rows], float).reshape(-1, len(classes))
+    p = ridge_probabilities(n * (n.sum() / (len(classes) * n.sum(axis=0))), penalty)
+    found = [(r["current_state"], r["next_state"], r["n"], float(x)) for r, x in zip(rows, p.reshape(-1))]
+    return transitions.sparkSession.createDataFrame(found, "current_state string, next_state string, n long, probability double")
+
+
+def ridge_probabilities(weight: np.ndarray, penalty: float) -> np.ndarray:
+    """Class probabilities per state (a line each) that minimise log loss over weighted cells plus half the penalty
+    times the squared coefficients; intercepts, which are what the states' logits have in common, are free."""
+    states, classes = weight.shape
+    total = weight.sum(axis=1)
+    # coefficients are logits less their mean over the states
+    apart = penalty * np.kron(np.eye(states) - 1 / states, np.eye(classes))
+    logits = np.zeros((states, classes))
+
+    def of(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def loss(x: np.ndarray) -> float:
+        log_p = np.log(np.maximum(of(x), 1e-300))
+        return float(-(weight * log_p).sum() + 0.5 * x.reshape(-1) @ apart @ x.reshape(-1))
+
+    for _ in range(100):
+        p = of(logits)
+        gradient = (total[:, None] * p - weight).reshape(-1) + apart @ logits.reshape(-1)
+        curve = apart.copy()
+        for s in range(states):
+            at = slice(s * classes, (s + 1) * classes)
+            curve[at, at] += total[s] * (np.diag(p[s]) - np.outer(p[s], p[s]))
+        step = np.linalg.lstsq(curve, -gradient, rcond=1e-12)[0].reshape(states, classes)
+        size, now = 1.0, loss(logits)
+        while size > 1e-6 and loss(logits + size * step) > now:
+            size /= 2
+        logits = logits + size * step
+        if np.abs(gradient).max() < 1e-9 * max(1.0, total.sum()):
+            break
+    return of(logits)
 
 
 def predict_next_state_probabilities(
@@ -205,35 +272,41 @@ def load_model(path: str, feature_set: str = "full") -> TransitionModel:
 
 
 def compare_baseline_models(transitions: DataFrame) -> DataFrame:
-    """In-sample accuracy of all five models; no rows with fewer than two next states."""
+    """In-sample accuracy of all five models; no rows with fewer than two next states.
+
+    Transitions are read once; the models read their distinct vectors."""
     spark = transitions.sparkSession
     schema = (
         "model string, feature_set string, train_accuracy double, n_transitions long, "
         "n_classes int, error string"
     )
-    held = transitions.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = class_sizes(held)
-        n = sum(sizes.values())
-
-        def fit(model: tuple[str, str]) -> tuple:
-            name, feature_set = model
-            try:
-                fitted = _fit(held, feature_set, list(sizes), "next_state")
-                return name, feature_set, _score(fitted, held, "accuracy"), n, len(sizes), None
-            except IllegalArgumentException as problem:  # a model that cannot be fitted is reported, not fatal
-                return name, feature_set, float("nan"), n, len(sizes), str(problem)
-
-        rows = _in_parallel(spark, fit, list(MODELS)) if len(sizes) >= 2 else []
-    finally:
-        held.unpersist()
+    full = _kept(distinct_vectors(transitions, feature_columns(transitions, "full"), "next_state"))
+    known = profile(full)
+    n = sum(known.total().values())
+
+    def fit(model: tuple[str, str]) -> tuple:
+        name, feature_set = model
+        try:
+            vectors = _of_set(full, feature_set)
+            fitted = _fit(vectors, known, feature_set)
+            return name, feature_set, _score(fitted, vectors, train_rows(), "accuracy"), n, len(known.classes), None
+        except IllegalArgumentException as problem:  # a model that cannot be fitted is reported, not fatal
+            return name, feature_set, float("nan"), n, len(known.classes), str(problem)
+
+    rows = _in_parallel(spark, fit, list(MODELS)) if len(known.classes) >= 2 else []
     return spark.createDataFrame(rows, schema).withColumn(
         "train_accuracy", F.when(F.isnan("train_accuracy"), F.col("train_accuracy")).otherwise(round4("train_accuracy"))
     )
 
 
-def _score(model: TransitionModel, rows: DataFrame, scoring: str) -> float:
-    label = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("next_state")) - 1
+def _of_set(full: Vectors, feature_set: str) -> Vectors:
+    """The vectors of a feature set, stored, from those of all features."""
+    return full if feature_set == "full" else _kept(narrowed(full, feature_columns(full.table, feature_set)))
+
+
+def _score(model: TransitionModel, vectors: Vectors, rows: F.Column, scoring: str) -> float:
+    """Mean score over ``rows`` rows of each vector."""
+    label = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col(vectors.target)) - 1
     if scoring == "accuracy":
         value = (F.col("prediction") == label).cast("double")
     elif scoring == "neg_log_loss":
@@ -241,18 +314,26 @@ def _score(model: TransitionModel, rows: DataFrame, scoring: str) -> float:
         value = F.ln(F.greatest(p, F.lit(1e-15)))
     else:
         raise ValueError(f"unknown scoring: {scoring!r}")
-    return model.transform(rows).agg(F.avg(value)).first()[0]
+    counted = vectors.table.withColumn("_weight", rows).filter("_weight > 0")
+    return model.transform(counted).agg(F.sum(value * F.col("_weight")) / F.sum("_weight")).first()[0]
 
 
 def with_folds(transitions: DataFrame, n_splits: int) -> DataFrame:
-    """Add ``_fold``; all rows of an episode share it.
+    """Add ``_fold``; all rows of an episode share it."""
+    return transitions.join(episode_folds(transitions, n_splits).select("episode_id", "_fold"), "episode_id")
+
 
-    Episodes are dealt out in the order of size and hash, so folds differ by one episode at most. The
-    rank is the number of episodes in larger sizes, in earlier hash ranges of the size, and
-    before it in its own range; only one row per size and range is summed in one place.
+def episode_folds(transitions: DataFrame, n_splits: int) -> DataFrame:
+    """episode_id, _n (its rows), _fold.
+
+    Episodes are dealt out in the order of size and hash (the first 60 bits of md5, which any engine
+    has), so folds differ by one episode at most. The rank is the number of episodes in larger sizes, in
+    earlier hash ranges of the size, and before it in its own range; only one row per size and
+    range is summed in one place.
     """
-    episodes = transitions.groupBy("episode_id").agg(F.count("*").alias("_n")).withColumn("_hash", F.xxhash64("episode_id"))
-    episodes = episodes.withColumn("_bin", F.shiftright("_hash", 48))
+    sized = transitions.groupBy("episode_id").agg(F.count("*").alias("_n"))
+    hashed = F.conv(F.substring(F.md5(F.col("episode_id").cast("string")), 1, 15), 16, 10).cast("long")
+    episodes = sized.withColumn("_hash", hashed).withColumn("_bin", F.shiftright("_hash", 44))
     before = (Window.unboundedPreceding, -1)
     ranges = episodes.groupBy("_n", "_bin").agg(F.count("*").alias("_c"))
     sizes = ranges.groupBy("_n").agg(F.sum("_c").alias("_c"))
@@ -262,10 +343,9 @@ def with_folds(transitions: DataFrame, n_splits: int) -> DataFrame:
         sizes.select("_n", F.coalesce(larger, F.lit(0)).alias("_larger")), "_n"
     )
     inside = F.row_number().over(Window.partitionBy("_n", "_bin").orderBy("_hash", "episode_id")) - 1
-    folds = episodes.withColumn("_inside", inside).join(starts, ["_n", "_bin"]).select(
-        "episode_id", ((F.col("_larger") + F.col("_earlier") + F.col("_inside")) % n_splits).cast("int").alias("_fold")
+    return episodes.withColumn("_inside", inside).join(starts, ["_n", "_bin"]).select(
+        "episode_id", "_n", ((F.col("_larger") + F.col("_earlier") + F.col("_inside")) % n_splits).cast("int").alias("_fold")
     )
-    return transitions.join(folds, "episode_id")
 
 
 FOLD_DDL = (
@@ -285,31 +365,29 @@ def fold_scores(
     if scoring not in ("accuracy", "neg_log_loss"):
         raise ValueError(f"unknown scoring: {scoring!r}")
     spark = transitions.sparkSession
-    held = transitions.persist(StorageLevel.MEMORY_AND_DISK)
+    features = feature_columns(transitions, "full")
+    held = stage(transitions.select("episode_id", "next_state", *features))
+    sizes = class_sizes(held)
+    episodes = held.agg(F.countDistinct("episode_id")).first()[0]
     rows = []
-    try:
-        sizes = class_sizes(held)
-        episodes = held.agg(F.countDistinct("episode_id")).first()[0]
-        if len(sizes) >= 2 and episodes >= 2:
-            splits = min(n_splits, max(2, episodes))
-            total = sum(sizes.values())
-            folded = with_folds(held, splits).persist(StorageLevel.MEMORY_AND_DISK)
-
-            def run(task: tuple[str, str, int]) -> tuple:
-                name, feature_set, fold = task
-                score, error = None, None
-                try:
-                    train = folded.filter(F.col("_fold") != fold)
-                    model = _fit(train, feature_set, list(sizes), "next_state")
-                    score = _score(model, folded.filter(F.col("_fold") == fold), scoring)
-                except IllegalArgumentException as problem:
-                    error = str(problem)
-                return name, feature_set, fold, score, splits, episodes, total, error
-
-            rows = _in_parallel(spark, run, [(n, s, f) for n, s in models for f in range(splits)])
-            folded.unpersist()
-    finally:
-        held.unpersist()
+    if len(sizes) >= 2 and episodes >= 2:
+        splits = min(n_splits, max(2, episodes))
+        total = sum(sizes.values())
+        full = _kept(distinct_vectors(with_folds(held, splits), features, "next_state", splits, "_fold"))
+        known = profile(full)
+        by_set = dict(zip((s for _, s in models), _in_parallel(spark, lambda m: _of_set(full, m[1]), list(models))))
+
+        def run(task: tuple[str, str, int]) -> tuple:
+            name, feature_set, fold = task
+            score, error = None, None
+            try:
+                model = _fit(by_set[feature_set], known, feature_set, fold)
+                score = _score(model, by_set[feature_set], F.get(ROWS, F.lit(fold)), scoring)
+            except IllegalArgumentException as problem:
+                error = str(problem)
+            return name, feature_set, fold, score, splits, episodes, total, error
+
+        rows = _in_parallel(spark, run, [(n, s, f) for n, s in models for f in range(splits)])
     return spark.createDataFrame(rows, FOLD_DDL)
 
 
@@ -338,6 +416,15 @@ def cross_validate_models(
     return summarize_folds(fold_scores(transitions, n_splits=n_splits, scoring=scoring))
 
 
+def paired_folds(scores: DataFrame) -> DataFrame:
+    """``fold, first, full``: scores of the first-order and the full model on the same fold."""
+
+    def of(feature_set: str) -> F.Column:
+        return F.max(F.when(F.col("feature_set") == feature_set, F.col("score")))
+
+    return scores.groupBy("fold").agg(of("first_order").alias("first"), of("full").alias("full"))
+
+
 def markov_assumption_test(
     transitions: DataFrame | None = None,
     *,
@@ -354,10 +441,7 @@ def markov_assumption_test(
         pair = [m for m in MODELS if m[1] in ("first_order", "full")]
         scores = fold_scores(transitions, n_splits=n_splits, scoring=scoring, models=pair)
 
-    def of(feature_set: str) -> F.Column:
-        return F.max(F.when(F.col("feature_set") == feature_set, F.col("score")))
-
-    tried = scores.groupBy("fold").agg(of("first_order").alias("first"), of("full").alias("full"))
+    tried = paired_folds(scores)
     whole = F.col("first").isNotNull() & F.col("full").isNotNull()
     folds = tried.filter(whole)
     # Differences carry rounding noise; equal ones must tie.

@@ -187,13 +187,15 @@ def transition_matrix(episodes: DataFrame, *, dense: bool = False) -> DataFrame:
     columns of states that never occur in that role are 0.0. ``dense`` makes all 0.0.
     """
     table = transition_table(episodes)
-    cell = F.struct("destination_state", "probability")
+    cell = F.when(F.col("destination_state").isin(*V.STATES), F.struct("destination_state", "probability"))
     rows = table.groupBy("source_state").agg(F.map_from_entries(F.collect_list(cell)).alias("_p"))
-    # One row of at most 17 x 17 cells holds the whole matrix.
+    known = F.when(F.col("source_state").isin(*V.STATES), F.struct("source_state", "_p"))
+    # One row of at most 17 x 17 cells holds the whole matrix, whatever other labels a log has.
     whole = rows.agg(
-        F.map_from_entries(F.collect_list(F.struct("source_state", "_p"))).alias("_m"),
-        F.array_distinct(F.flatten(F.collect_list(F.map_keys("_p")))).alias("_to"),
-    ).filter(F.size("_m") > 0)
+        F.count("*").alias("_n"),
+        F.map_from_entries(F.collect_list(known)).alias("_m"),
+        F.flatten(F.collect_set(F.map_keys("_p"))).alias("_to"),
+    ).filter(F.col("_n") > 0)
     index = F.array(*[F.lit(s) for s in V.STATES])
     grid = whole.select("_m", "_to", F.posexplode(index).alias("_i", "source_state"))
     own = F.try_element_at("_m", F.col("source_state"))

@@ -142,61 +142,96 @@ def run_starts(seq: Column) -> Column:
     )
 
 
-def enrich_trajectories(episodes: DataFrame, *, policy: str | None = None) -> DataFrame:
+def run_lengths(seq: Column) -> Column:
+    """For each element how long its run has lasted: each run counts up from 1."""
+
+    def counted(row: Column) -> Column:
+        starts, end = row["starts"], F.size(row["s"])
+        return F.flatten(
+            F.transform(
+                starts,
+                lambda p, j: F.sequence(F.lit(1), F.coalesce(F.get(starts, j + 1), end) - p),
+            )
+        )
+
+    return let(F.struct(seq.alias("s"), run_starts(seq).alias("starts")), counted)
+
+
+def running_counts(seq: Column) -> Column:
+    """For each element the map of states so far to their number, carried along in one fold."""
+    kind = "struct<now:map<string,int>,all:array<map<string,int>>>"
+
+    def counted(now: Column, state: Column) -> Column:
+        again = F.transform_values(now, lambda k, n: n + (k == state).cast("int"))
+        first = F.map_concat(now, F.create_map(state, F.lit(1)))
+        return F.when(state.isNull(), now).when(F.map_contains_key(now, F.coalesce(state, F.lit(""))), again).otherwise(first)
+
+    def step(a: Column, state: Column) -> Column:
+        return let(
+            counted(a["now"], state),
+            lambda now: F.struct(now.alias("now"), F.array_append(a["all"], now).alias("all")).cast(kind),
+        )
+
+    empty = F.struct(F.create_map().alias("now"), F.array().alias("all")).cast(kind)
+    return F.aggregate(seq, empty, step, lambda a: a["all"])
+
+
+#: what :func:`enrich_trajectories` can add, by name
+ADDED = (
+    "previous_state", "dwell_time_current_state", "ordered_history", "cumulative_state_counts",
+    "delta_feedback_pass_rate", "edit_distance_from_previous", "code_hash", "feedback_type",
+)
+_NEEDS = {"delta_feedback_pass_rate": "feedback_pass_rate", "edit_distance_from_previous": "code", "code_hash": "code"}
+
+
+def enrich_trajectories(episodes: DataFrame, *, policy: str | None = None, columns=None) -> DataFrame:
     """Add the per-attempt sequence columns to every element.
 
     ``previous_state``, ``dwell_time_current_state``, ``ordered_history``,
     ``cumulative_state_counts``; also ``delta_feedback_pass_rate`` where the log has pass
     rates, ``edit_distance_from_previous`` and ``code_hash`` where it has ``code``, and
-    ``feedback_type`` when a policy is named. Existing values are replaced.
+    ``feedback_type`` when a policy is named. Existing values are replaced. ``columns`` asks for some
+    of them only: what a report does not read is not computed. Runs and counts are carried
+    along the sequence once, not searched for each element.
     """
     have = [f.name for f in element_fields(episodes)]
+    unknown = [c for c in columns or () if c not in ADDED]
+    if unknown:
+        raise ValueError(f"unknown columns: {unknown}")
+    able = [c for c in ADDED if _NEEDS.get(c) in (None, *have) and (c != "feedback_type" or policy is not None)]
+    wanted = [c for c in able if columns is None or c in columns]
 
     def item(row: Column, x: Column, i: Column) -> Column:
-        history = F.slice(row["s"], F.lit(1), i + 1)
         before = F.get(row["t"], i - 1)
-        new = {
-            "previous_state": F.when(i > 0, before["state"]),
-            "dwell_time_current_state": i
-            + 1
-            - F.array_max(F.filter(row["starts"], lambda p: p <= i)),
-            "ordered_history": history,
-            "cumulative_state_counts": F.map_from_entries(
-                F.transform(
-                    F.array_distinct(F.filter(history, lambda s: s.isNotNull())),
-                    lambda s: F.struct(s, F.size(F.filter(history, lambda t: t == s))),
-                )
-            ),
-        }
-        if "feedback_pass_rate" in have:
-            new["delta_feedback_pass_rate"] = F.when(i == 0, F.lit(0.0)).otherwise(
+        ways = {
+            "previous_state": lambda: F.when(i > 0, before["state"]),
+            "dwell_time_current_state": lambda: F.get(row["runs"], i),
+            "ordered_history": lambda: F.slice(row["s"], F.lit(1), i + 1),
+            "cumulative_state_counts": lambda: F.get(row["counts"], i),
+            "delta_feedback_pass_rate": lambda: F.when(i == 0, F.lit(0.0)).otherwise(
                 x["feedback_pass_rate"] - before["feedback_pass_rate"]
-            )
-        if "code" in have:
-            new["edit_distance_from_previous"] = F.when(
-                (i > 0) & ~x["state"].eqNullSafe(V.SENTINEL),
-                edit_distance(x["code"], before["code"]),
-            )
-            new["code_hash"] = F.sha2(F.coalesce(x["code"], F.lit("")), 256)
-        if policy is not None:
-            new["feedback_type"] = F.when(x["state"] == V.SENTINEL, "NONE").otherwise(
+            ),
+            "edit_distance_from_previous": lambda: F.when(
+                (i > 0) & ~x["state"].eqNullSafe(V.SENTINEL), edit_distance(x["code"], before["code"])
+            ),
+            "code_hash": lambda: F.sha2(F.coalesce(x["code"], F.lit("")), 256),
+            "feedback_type": lambda: F.when(x["state"] == V.SENTINEL, "NONE").otherwise(
                 labels.feedback_type(x["state"], policy)
-            )
-        kept = [x[c].alias(c) for c in have if c not in new]
-        return F.struct(*kept, *[v.alias(k) for k, v in new.items()])
-
-    def with_states(t: Column) -> Column:
-        return F.struct(t.alias("t"), t["state"].alias("s"))
-
-    def with_starts(row: Column) -> Column:
-        return F.struct(row["t"].alias("t"), row["s"].alias("s"), run_starts(row["s"]).alias("starts"))
-
-    def enriched(row: Column) -> Column:
-        return F.transform(row["t"], lambda x, i: item(row, x, i))
-
+            ),
+        }
+        kept = [x[c].alias(c) for c in have if c not in wanted]
+        return F.struct(*kept, *[ways[c]().alias(c) for c in wanted])
+
+    # whatever spans the whole sequence is made once per episode
+    whole = [F.col("trajectory").alias("t")]
+    if "ordered_history" in wanted:
+        whole.append(states().alias("s"))
+    if "dwell_time_current_state" in wanted:
+        whole.append(run_lengths(states()).alias("runs"))
+    if "cumulative_state_counts" in wanted:
+        whole.append(running_counts(states()).alias("counts"))
     return episodes.withColumn(
-        "trajectory",
-        let(let(let(F.col("trajectory"), with_states), with_starts), enriched),
+        "trajectory", let(F.struct(*whole), lambda row: F.transform(row["t"], lambda x, i: item(row, x, i)))
     )
 
 

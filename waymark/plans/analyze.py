@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from waymark.plans.bundle import analyze_log
+from waymark.session import clear_staged
 
 
 def main() -> None:
@@ -20,6 +21,7 @@ def main() -> None:
     summary = analyze_log(
         spark, args.episodes, args.out, fmt=args.format, models=not args.no_models
     )
+    clear_staged(spark)
     for name, value in summary.items():
         print(f"{name}: {value}")
 

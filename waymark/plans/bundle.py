@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark import vocabulary as V
 from waymark.operators import markov as M
 from waymark.operators import reports as R
 from waymark.operators.significance import N_BOOT, compare_runs
 from waymark.operators.trajectory import build_transition_dataset, flatten_attempts
-from waymark.sources.jsonl import read_episodes
+from waymark.sources.jsonl import first_malformed, read_episodes
 from waymark.sources.report_files import write_reports
 
 
@@ -48,6 +49,25 @@ def report_bundle(episodes: DataFrame, *, history_length: int = 3, models: bool
     return out
 
 
+def cell_text(df: DataFrame, column: str) -> Column:
+    """A value as text that other engines write alike; numbers with a fraction in millionths."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        c = F.round(c * 1_000_000).cast("long")
+    return F.coalesce(c.cast("string"), F.lit("~"))
+
+
+def table_digest(df: DataFrame, columns=None) -> DataFrame:
+    """``n_rows, digest`` of a table, whatever the order of its rows: the sum of 40-bit hashes of rows.
+
+    Covers the given columns, else all that are neither nested nor VARIANT, in the order of their names."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    chosen = sorted(columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)])
+    row = F.concat_ws("|", *[cell_text(df, c) for c in chosen])
+    number = F.conv(F.substring(F.md5(row), 1, 10), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
 def seed_summary(episodes: DataFrame, seed: str = "seed") -> dict[str, DataFrame]:
     """Headline metrics per seed and their variance; tables of detail use the first seed."""
     per_seed = R.headline_metrics(episodes, seed)
@@ -62,7 +82,13 @@ def analyze_log(
     The log is parsed once and kept as parquet in ``out/episodes``; each report then
     reads only the nested fields it needs, and a lost executor costs only its own tasks.
     """
-    read_episodes(spark, episodes_path).write.mode("overwrite").parquet(f"{out}/episodes")
+    try:
+        read_episodes(spark, episodes_path).write.mode("overwrite").parquet(f"{out}/episodes")
+    except Exception as problem:
+        place = first_malformed(spark, episodes_path)
+        if place is None:
+            raise
+        raise ValueError(f"malformed record at {place}") from problem
     episodes = spark.read.parquet(f"{out}/episodes")
     tables = report_bundle(episodes, models=False)
     tables.pop("episodes")

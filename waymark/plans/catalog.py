@@ -7,19 +7,22 @@ results derived from ``documents`` and ``events`` rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import vocabulary as V
-from waymark.functions import audit, feedback, labels, text
+from waymark.functions import audit, feedback, labels, text, values
 from waymark.operators import classify, markov, prompts, reports, splitting, significance
 from waymark.operators import trajectory as T
-from waymark.plans.bundle import report_bundle
-from waymark.session import ship_package, stage, table
+from waymark.plans.bundle import analyze_log, compare_logs, report_bundle, table_digest
+from waymark.session import new_folder, ship_package, stage, table
 from waymark.sources import conversation_log, problems
 from waymark.sources.event_log import event_episodes
-from waymark.sources.jsonl import to_json_line
+from waymark.sources.jsonl import append_batch, append_jsonl, read_batches, read_jsonl, to_json_line, write_jsonl
+from waymark.sources.jsonl import malformed_lines as find_malformed
+from waymark.sources.report_files import write_csv
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BOOT = 200  # replicates of the queries that are checked draw by draw
@@ -42,8 +45,8 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_episodes(table(spark, sf_dir, "events"))
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.enrich_trajectories(episodes(spark, sf_dir), policy="structured")
+def enriched(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return T.enrich_trajectories(episodes(spark, sf_dir), policy="structured", columns=columns or None)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,12 +98,12 @@ def truncate_and_sentinel(spark, sf_dir):
 
 @query
 def dwell_counter(spark, sf_dir):
-    return step(enriched(spark, sf_dir), "state", "dwell_time_current_state")
+    return step(enriched(spark, sf_dir, "dwell_time_current_state"), "state", "dwell_time_current_state")
 
 
 @query
 def ordered_history(spark, sf_dir):
-    return step(enriched(spark, sf_dir), F.array_join("ordered_history", ">").alias("history"))
+    return step(enriched(spark, sf_dir, "ordered_history"), F.array_join("ordered_history", ">").alias("history"))
 
 
 @query
@@ -111,12 +114,13 @@ def cumulative_counts(spark, sf_dir):
             lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
         )
     )
-    return step(enriched(spark, sf_dir), F.array_join(pairs, ",").alias("counts"))
+    return step(enriched(spark, sf_dir, "cumulative_state_counts"), F.array_join(pairs, ",").alias("counts"))
 
 
 @query
 def previous_state_delta(spark, sf_dir):
-    return step(enriched(spark, sf_dir), "previous_state", "delta_feedback_pass_rate")
+    names = ("previous_state", "delta_feedback_pass_rate")
+    return step(enriched(spark, sf_dir, *names), *names)
 
 
 @query
@@ -287,6 +291,25 @@ def paired_bootstrap(spark, sf_dir):
     return significance.bootstrap_interval(means, BOOT)
 
 
+@query
+def bootstrap_tree(spark, sf_dir):
+    """Replicate means in the scale mode, whose cost does not depend on the number of pairs."""
+    counts = significance.difference_counts(significance.pair_counts(_pairs(spark, sf_dir)))
+    return significance.bootstrap_means(counts, BOOT)
+
+
+@query
+def wilcoxon_p_values(spark, sf_dir):
+    counts = significance.difference_counts(significance.pair_counts(_pairs(spark, sf_dir)))
+    zeros = counts.groupBy("metric").agg(F.sum(F.when(F.col("diff") == 0, F.col("n")).otherwise(0)).alias("zeros"))
+    ranks = significance.signed_ranks(counts).join(zeros, "metric")
+    values = [F.col(c) for c in ("w_plus", "w_minus", "n_nonzero", "tie_term", "zeros")]
+    return ranks.select(
+        "metric", F.round(significance.wilcoxon_p(*values), 6).alias("p_value"),
+        F.round(significance.wilcoxon_p(*values, method="normal"), 6).alias("p_normal"),
+    )
+
+
 @query
 def mcnemar(spark, sf_dir):
     counts = significance.discordant_counts(significance.pair_counts(_pairs(spark, sf_dir)))
@@ -316,7 +339,8 @@ def compare_two_runs(spark, sf_dir):
 
 
 def _transitions(spark, sf_dir):
-    return T.build_transition_dataset(enriched(spark, sf_dir))
+    names = ("dwell_time_current_state", "ordered_history", "cumulative_state_counts", "feedback_type")
+    return T.build_transition_dataset(enriched(spark, sf_dir, *names))
 
 
 @query
@@ -324,6 +348,56 @@ def transition_dataset(spark, sf_dir):
     return _transitions(spark, sf_dir)
 
 
+@query
+def fold_assignment(spark, sf_dir):
+    folds = markov.episode_folds(_transitions(spark, sf_dir), 5)
+    return folds.select("episode_id", F.col("_n").alias("n_transitions"), F.col("_fold").alias("fold"))
+
+
+@query
+def transition_vectors(spark, sf_dir):
+    """Per feature set the distinct vectors that its fits read, and the rows of all and of each fold."""
+    rows = _transitions(spark, sf_dir)
+    features = markov.feature_columns(rows, "full")
+    full = markov.distinct_vectors(markov.with_folds(rows, 5), features, "next_state", 5, "_fold")
+    full = replace(full, table=stage(full.table))
+    out = None
+    for _, name in markov.MODELS:
+        cols = markov.feature_columns(full.table, name)
+        in_fold = [F.sum(F.get(markov.ROWS, F.lit(k))).alias(f"rows_fold_{k}") for k in range(5)]
+        one = markov.narrowed(full, cols).table.agg(F.count("*").alias("n_vectors"), F.sum(markov.train_rows()).alias("n_rows"), *in_fold)
+        one = one.select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def class_weights(spark, sf_dir):
+    """Balanced weights of the next states over all rows but one fold, and over all rows (fold -1)."""
+    rows = markov.with_folds(_transitions(spark, sf_dir), 5)
+    known = markov.profile(markov.distinct_vectors(rows, ["current_state"], "next_state", 5, "_fold"))
+    out = []
+    for fold in range(-1, 5):
+        sizes = known.total(None if fold < 0 else fold)
+        weights = markov.class_weights(sizes)
+        out += [(fold, c, n, weights[c]) for c, n in sizes.items()]
+    return spark.createDataFrame(out, "fold int, next_state string, n_rows long, weight double")
+
+
+@query
+def recovery_weights(spark, sf_dir):
+    """Rows and weights of the two classes of the direct recovery model."""
+    passed = F.when(F.col("next_state") == V.PASS, "1").otherwise("0")
+    rows = _transitions(spark, sf_dir).groupBy(passed.alias("passes")).agg(F.count("*").alias("n_rows"))
+    every = rows.agg(F.sum("n_rows").alias("_n"), F.count("*").alias("_k"))  # one row
+    return rows.join(F.broadcast(every)).select("passes", "n_rows", (F.col("_n") / (F.col("_k") * F.col("n_rows"))).alias("weight"))
+
+
+@query
+def first_order_table(spark, sf_dir):
+    return markov.first_order_probabilities(_transitions(spark, sf_dir))
+
+
 @query
 def model_comparison(spark, sf_dir):
     return markov.compare_baseline_models(_transitions(spark, sf_dir))
@@ -371,6 +445,169 @@ def json_roundtrip(spark, sf_dir):
     return T.flatten_attempts(back).select(*ATTEMPT)
 
 
+# --- files ------------------------------------------------------------------
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Episodes in the fields of a log record."""
+    return episodes(spark, sf_dir).drop("episode_seq", "seed")
+
+
+@query
+def jsonl_append(spark, sf_dir):
+    """Two batches, one of them written twice, read back."""
+    log, path = _log(spark, sf_dir), new_folder(spark)
+    for name, model in (("a", "m0"), ("b", "m1"), ("a", "m0")):
+        append_batch(log.filter(F.col("model_id") == model), path, name)
+    return T.flatten_attempts(read_batches(spark, path, log.schema)).select(*ATTEMPT)
+
+
+@query
+def jsonl_overwrite(spark, sf_dir):
+    """A log that replaces another one, and keeps what plain appends add."""
+    log, path = _log(spark, sf_dir), new_folder(spark)
+    write_jsonl(log, path)
+    write_jsonl(log.filter(F.col("model_id") == "m0"), path)
+    append_jsonl(log.filter(F.col("model_id") == "m1"), path)
+    return T.flatten_attempts(read_jsonl(spark, path, log.schema)).select(*ATTEMPT)
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """A report written as CSV with a header and read by its schema."""
+    report, path = reports.transition_table(episodes(spark, sf_dir)), new_folder(spark)
+    write_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@query
+def malformed_lines(spark, sf_dir):
+    """Shard and number of the broken lines of a log of events, one file per shard, with blank lines in it."""
+    event, path = F.col("event_id"), new_folder(spark)
+    whole = F.concat(F.lit('{"event_id":'), event, F.lit(',"user_id":'), F.col("user_id"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
+    line = F.when(event % 41 == 0, "").when(event % 53 == 0, F.left(whole, F.length(whole) - 1 - (event % 3).cast("int"))).otherwise(whole)
+    shard = F.floor(F.col("user_id") / 20).cast("int")
+    rows = table(spark, sf_dir, "events").select(shard.alias("shard"), "event_id", line.alias("value"))
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "event_id")
+    dealt.drop("event_id").write.partitionBy("shard").text(path)
+    number = F.regexp_extract("file", r"shard=(\d+)/", 1).cast("int")
+    return find_malformed(spark, path).select(number.alias("shard"), "line_number", "line")
+
+
+@query
+def read_problems(spark, sf_dir):
+    """Problem records as JSON lines, with tests that lack an id and records without metadata."""
+    doc, path = F.col("doc_id"), new_folder(spark)
+    tests = F.transform(
+        F.sequence(F.lit(0).cast("long"), doc % 4),
+        lambda i: F.struct(
+            F.array(i, F.length("text").cast("long")).alias("input"), (i + doc).alias("expected"),
+            F.when(i % 2 == 0, F.concat(F.lit("t"), i)).alias("test_id"),
+        ),
+    )
+    record = F.struct(
+        F.concat(F.lit("d/"), doc).alias("problem_id"), F.col("text").alias("prompt"), F.lit("solve").alias("entry_point"),
+        tests.alias("tests"), F.when(doc % 3 == 0, F.struct(F.col("lang"))).alias("metadata"),
+    )
+    table(spark, sf_dir, "documents").select(F.to_json(record).alias("value")).write.text(path)
+    one = problems.read_problems(spark, path).withColumn("metadata", F.to_json("metadata"))
+    return one.select("problem_id", F.sha2("prompt", 256).alias("prompt_sha256"), "metadata", F.posexplode("tests").alias("test_pos", "t")).select(
+        "problem_id", "prompt_sha256", "metadata", "test_pos", F.to_json("t.input").alias("input"),
+        F.to_json("t.expected").alias("expected"), "t.test_id",
+    )
+
+
+@query
+def parse_mixed_tests(spark, sf_dir):
+    """VARIANT test columns: lists of source texts, objects and other things in any order, or one source text."""
+    doc, size = F.col("doc_id"), F.length("text")
+    listed = F.concat(
+        F.lit('["assert candidate('), doc, F.lit(", 'a') == ["), size, F.lit(', None]", {"input": ['), doc, F.lit('], "expected": {"n": '),
+        size, F.lit('}, "test_id": "t'), doc % 3, F.lit('"}, 5, {"input": 1}, "assert (", {"expected": [1, "ä"], "input": null}, '),
+        F.lit('["assert solve(1) == 1"], "assert other(1) == 2\\nassert x.solve() == -'), doc % 7 + 1, F.lit('"]'),
+    )
+    text = F.concat(F.lit('"assert fn('), size, F.lit(') == True"'))
+    value = F.when(doc % 5 == 0, text).when(doc % 5 == 1, F.lit('{"input": [1], "expected": 2}')).when(doc % 5 == 2, F.lit("[]")).otherwise(listed)
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.parse_json(value).alias("tests"), F.lit("solve").alias("entry_point"))
+    parsed = raw.select("doc_id", F.posexplode(problems.parse_tests(raw, max_tests=None)).alias("test_pos", "t"))
+    return parsed.select("doc_id", "test_pos", "t.input", "t.expected", "t.test_id")
+
+
+@query
+def json_safe_values(spark, sf_dir):
+    """Values as VARIANT, whatever the text: JSON as it is, other text as a string."""
+    doc = F.col("doc_id")
+    given = (
+        F.when(doc % 4 == 0, F.concat(F.lit('{"b": ['), F.length("text"), F.lit(', null], "a": "x"}')))
+        .when(doc % 4 == 1, F.concat(F.lit("<object at "), doc, F.lit(">")))
+        .when(doc % 4 == 2, F.length("text").cast("string"))
+        .otherwise(F.concat(F.lit("{'a': "), doc, F.lit("}")))
+    )
+    safe = values.json_safe(given)
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(safe).alias("value"), values.value_kind(F.to_json(safe)).alias("kind"))
+
+
+# --- whole jobs ---------------------------------------------------------------
+
+#: the columns of the two bundle tables that also hold nested values
+_EPISODE = ["episode_id", "problem_id", "model_id", "max_attempts", "final_outcome", "final_hidden_pass_rate"]
+
+
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in tables.items():
+        known = {"episodes": _EPISODE, "attempts": ATTEMPT}.get(name)
+        one = table_digest(df, known).select(F.lit(name).alias("report"), "n_rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def report_bundle_values(spark, sf_dir):
+    """Rows of every lazy table of the bundle and a digest of their values."""
+    return _digests(report_bundle(stage(enriched(spark, sf_dir)), models=False))
+
+
+@query
+def analyze_job(spark, sf_dir):
+    """The analysis job on a JSON log: what its report files hold when read back."""
+    log, path = enriched(spark, sf_dir).drop("episode_seq", "seed"), new_folder(spark)
+    write_jsonl(log, f"{path}/log")
+    analyze_log(spark, f"{path}/log", f"{path}/out", models=False)
+    written = ("state_freq", "recovery", "transitions", "dwell", "regression", "hidden", "pass_at_k", "hamsm_data")
+    return _digests({name: spark.read.parquet(f"{path}/out/reports/{name}") for name in written})
+
+
+@query
+def compare_job(spark, sf_dir):
+    """The paired comparison of two JSON logs."""
+    path = new_folder(spark)
+    for name, run in zip("ab", runs(spark, sf_dir)):
+        write_jsonl(run.drop("episode_seq", "seed"), f"{path}/{name}")
+    return compare_logs(spark, f"{path}/a", f"{path}/b", label_a="m0", label_b="m1")
+
+
+@query
+def saved_models(spark, sf_dir):
+    """Two models fitted, saved and loaded: next-state probabilities of the loaded ones."""
+    rows, path = stage(_transitions(spark, sf_dir)), new_folder(spark)
+    names = markov.save_models(path, first=markov.fit_first_order_model(rows), none=None, dwell=markov.fit_duration_dependent_model(rows))
+    out = None
+    for name in names:
+        p = markov.predict_next_state_probabilities(markov.load_model(f"{path}/{name}"), rows, keep=("episode_id", "attempt"))
+        one = p.select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def paired_fold_scores(spark, sf_dir):
+    """Scores of the full and the first-order model on the same folds."""
+    pair = [m for m in markov.MODELS if m[1] in ("first_order", "full")]
+    scores = markov.fold_scores(_transitions(spark, sf_dir), models=pair)
+    return markov.paired_folds(scores)
+
+
 # --- text -------------------------------------------------------------------
 
 

@@ -2,8 +2,43 @@
 
 from __future__ import annotations
 
-from waymark import vocabulary as V
-from waymark.functions import feedback as FB
+# --- fixed values, written out here so that the queries are not checked against their own lists ---
+ALL_STATES = """
+  SECURITY_VIOLATION EMPTY_OR_INCOMPLETE_CODE SYNTAX_ERROR IMPORT_ERROR TIMEOUT MEMORY_ERROR NAME_ATTRIBUTE_ERROR
+  TYPE_VALUE_ERROR INDEX_KEY_ERROR ZERO_DIVISION_ERROR OUTPUT_FORMAT_ERROR WRONG_ALGORITHM PARTIAL_PASS NEAR_MISS
+  ASSERTION_FAILURE FEEDBACK_PASS TERMINAL_UNRESOLVED""".split()
+NOT_RUN = """
+  SYNTAX_ERROR IMPORT_ERROR NAME_ATTRIBUTE_ERROR TYPE_VALUE_ERROR INDEX_KEY_ERROR ZERO_DIVISION_ERROR TIMEOUT
+  MEMORY_ERROR EMPTY_OR_INCOMPLETE_CODE SECURITY_VIOLATION""".split()
+RAN_AND_FAILED = "WRONG_ALGORITHM PARTIAL_PASS NEAR_MISS ASSERTION_FAILURE OUTPUT_FORMAT_ERROR".split()
+ENDS = "FEEDBACK_PASS SECURITY_VIOLATION TERMINAL_UNRESOLVED".split()
+NO_ERROR = "FEEDBACK_PASS TERMINAL_UNRESOLVED".split()
+HEADER = "The submitted code failed its feedback tests. Measured facts follow."
+# only the states that the tables give
+OPENING = {
+    "SYNTAX_ERROR": "The code could not be parsed.",
+    "TYPE_VALUE_ERROR": "An operation met a value or type it cannot handle.",
+    "WRONG_ALGORITHM": "The code ran, but every feedback test failed.",
+    "PARTIAL_PASS": "The code ran, and some feedback tests failed.",
+    "NEAR_MISS": "The code ran, and all feedback tests but one passed.",
+    "TIMEOUT": "The code ran longer than allowed.",
+    "SECURITY_VIOLATION": "The code tried something that is not permitted.",
+}
+CLOSING = {
+    "SYNTAX_ERROR": "Return code that parses.",
+    "TYPE_VALUE_ERROR": "Handle the inputs the task describes.",
+    "WRONG_ALGORITHM": "Rethink the approach.",
+    "PARTIAL_PASS": "Cover the failing cases too.",
+    "NEAR_MISS": "Fix this one case and keep the rest.",
+    "TIMEOUT": "Make the code faster.",
+    "SECURITY_VIOLATION": "Use plain computation only.",
+}
+FIRST_PROMPT = "Write the Python function described below. Answer with one ```python block and nothing else."
+NEXT_PROMPT = (
+    "The last answer did not pass. Use the attempts and test results below to correct it. "
+    "Answer with one ```python block and nothing else."
+)
+# ------------------------------------------------------------------------------------------------
 
 BIND = """WITH r AS (
   SELECT user_id, event_id, event_type,
@@ -133,11 +168,11 @@ replicates AS (
   GROUP BY 1, 2)
 """
 
-_STATES = ", ".join(f"'{s}'" for s in V.STATES)
+_STATES = ", ".join(f"'{s}'" for s in ALL_STATES)
 _IN = {
-    "is_non_runnable": V.NON_RUNNABLE,
-    "is_runnable_failure": V.RUNNABLE_FAILURE,
-    "is_terminal": V.TERMINAL,
+    "is_non_runnable": NOT_RUN,
+    "is_runnable_failure": RAN_AND_FAILED,
+    "is_terminal": ENDS,
 }
 _SP = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -218,7 +253,7 @@ _bound(
     "state_classes",
     f"SELECT episode_id, pos, state, list_position([{_STATES}], state) - 1 AS priority, "
     + ", ".join(f"state IN {_members(v)} AS {k}" for k, v in _IN.items())
-    + f", state NOT IN {_members(V.NON_ERROR)} AS is_error FROM attempts",
+    + f", state NOT IN {_members(NO_ERROR)} AS is_error FROM attempts",
 )
 _bound(
     "pass_count_class",
@@ -236,7 +271,7 @@ ORACLE["exception_class"] = """SELECT event_id, ['IMPORT_ERROR', 'IMPORT_ERROR',
 _bound(
     "final_outcome",
     f"""SELECT episode_id, pos, CASE WHEN state = 'FEEDBACK_PASS' THEN 'FINAL_PASS'
-          WHEN state IN {_members(V.RUNNABLE_FAILURE)} THEN 'FINAL_FAIL' ELSE 'FINAL_ERROR' END AS outcome
+          WHEN state IN {_members(RAN_AND_FAILED)} THEN 'FINAL_FAIL' ELSE 'FINAL_ERROR' END AS outcome
         FROM attempts""",
 )
 _bound(
@@ -260,7 +295,7 @@ def _cells(finish) -> str:
     seen = "(SELECT list(DISTINCT source_state) FROM probs)"
     to = "(SELECT list(DISTINCT destination_state) FROM probs)"
     cells = []
-    for s in V.STATES:
+    for s in ALL_STATES:
         p = f"max(p.probability) FILTER (p.destination_state = '{s}')"
         cells.append(f"{finish(s, p, seen, to)} AS {s}")
     return (
@@ -308,8 +343,8 @@ _bound(
           CASE WHEN transitions > 0 THEN runnability_regressions / transitions ELSE 0.0 END AS runnability_regression_rate
         FROM (SELECT episode_id, problem_id, model_id, count(*) - 1 AS transitions,
                 count(*) FILTER (feedback_pass_rate < prev_rate) AS test_pass_regressions,
-                count(*) FILTER (prev_state IN {_members(V.RUNNABLE_FAILURE)}
-                                 AND state IN {_members(V.NON_RUNNABLE)}) AS runnability_regressions
+                count(*) FILTER (prev_state IN {_members(RAN_AND_FAILED)}
+                                 AND state IN {_members(NOT_RUN)}) AS runnability_regressions
               FROM seq GROUP BY 1, 2, 3)""",
 )
 _bound(
@@ -384,7 +419,120 @@ _bound(
               count(*) AS n_nonzero, any_value(tie_term) AS tie_term
        FROM ranks JOIN ties USING (metric) GROUP BY 1""",
 )
-_counts = ", ".join(f"len(list_filter(hist, lambda x: x = '{s}'))::INT AS count_{s}" for s in V.STATES)
+
+# --- resampling by a tree of binomial splits, three levels deep as there are at most eight values ----
+
+
+def _hashed(x: str) -> str:
+    """Two rounds of a multiplicative hash of a 32-bit number, then a last shift."""
+    return (
+        f"list_reduce([({x})::BIGINT, 1, 1, 0], lambda a, more: CASE WHEN more = 1 "
+        "THEN (xor(a, a >> 16) * 73244475) & 4294967295 ELSE xor(a, a >> 16) END)"
+    )
+
+
+def _uniform(start: str, rep: str, lo: str, hi: str) -> str:
+    h = _hashed(f"xor({start}, {rep})")
+    for bound in (lo, hi):
+        h = _hashed(f"xor({h}, {_hashed(bound)})")
+    low = _hashed(f"xor({h}, 1)")
+    return f"({h} * 2097152.0::DOUBLE + ({low} >> 11) + 0.5::DOUBLE) / 9007199254740992.0::DOUBLE"
+
+
+def _tree(n_boot: int, metrics: str = "true") -> str:
+    """CTE ``means``: metric, rep, mean."""
+    out = f"""
+, leaf AS (SELECT metric, diff, count(*) AS n, row_number() OVER (PARTITION BY metric ORDER BY diff) - 1 AS i
+           FROM pairs WHERE {metrics} GROUP BY 1, 2),
+root AS (SELECT metric, sum(n)::BIGINT AS n, count(*) AS d, ('0x' || substr(md5(metric), 1, 8))::BIGINT AS start FROM leaf GROUP BY 1),
+t0 AS (SELECT metric, start, rep, 0::BIGINT AS lo, d AS hi, n AS m
+       FROM root CROSS JOIN (SELECT unnest(generate_series(0, {n_boot - 1})) AS rep) g)"""
+    for k in range(3):
+        out += f""",
+q{k} AS (SELECT t.metric, t.lo, t.hi, sum(leaf.n) FILTER (i < (t.lo + t.hi) // 2) / sum(leaf.n)::DOUBLE AS p
+         FROM (SELECT DISTINCT metric, lo, hi FROM t{k} WHERE hi - lo > 1) t
+         JOIN leaf ON leaf.metric = t.metric AND i >= t.lo AND i < t.hi GROUP BY 1, 2, 3),
+k{k} AS (SELECT q.*, m, unnest(generate_series(0, m)) AS k
+         FROM q{k} q JOIN (SELECT DISTINCT metric, lo, hi, m FROM t{k}) USING (metric, lo, hi)),
+c{k} AS (SELECT metric, lo, hi, m, k, coalesce(sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1)
+                + k * ln(p) + (m - k) * ln(1 - p))) OVER (PARTITION BY metric, lo, hi, m ORDER BY k
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS below FROM k{k}),
+u{k} AS (SELECT t.*, {_uniform("start", "rep", "lo", "hi")} AS u FROM t{k} t WHERE hi - lo > 1),
+h{k} AS (SELECT u.*, c.k FROM u{k} u ASOF JOIN c{k} c
+         ON u.metric = c.metric AND u.lo = c.lo AND u.hi = c.hi AND u.m = c.m AND u.u > c.below),
+t{k + 1} AS (SELECT metric, start, rep, lo, hi, m FROM t{k} WHERE hi - lo = 1
+             UNION ALL SELECT metric, start, rep, lo, (lo + hi) // 2, k FROM h{k}
+             UNION ALL SELECT metric, start, rep, (lo + hi) // 2, hi, m - k FROM h{k})"""
+    return out + """,
+means AS (SELECT t.metric, t.rep, sum(t.m * leaf.diff) / any_value(root.n) AS mean
+          FROM t3 t JOIN leaf ON leaf.metric = t.metric AND leaf.i = t.lo JOIN root ON root.metric = t.metric GROUP BY 1, 2)"""
+
+
+_bound("bootstrap_tree", _tree(200) + " SELECT metric, rep, mean FROM means")
+
+# erfc by the series of erf whose terms are all positive; beyond 6 it is below 1e-16
+_ERFC = """(1 - 2 / sqrt(pi()) * (SELECT sum(exp(2 * j * ln(2.0::DOUBLE) + (2 * j + 1) * ln(greatest(least({x}, 6.0), 1e-300)) - lgamma(2 * j + 2)
+  + lgamma(j + 1) - least({x}, 6.0) * least({x}, 6.0))) FROM (SELECT unnest(generate_series(0, 250)) AS j) js))"""
+_WILCOXON = f"""
+, zd AS (SELECT metric, diff, abs(diff) AS size FROM pairs WHERE diff <> 0),
+zr AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY size)
+                 + (count(*) OVER (PARTITION BY metric, size) - 1) / 2.0::DOUBLE AS rk FROM zd),
+zt AS (SELECT metric, sum(t * t * t - t)::DOUBLE AS tie_term
+       FROM (SELECT metric, size, count(*)::DOUBLE AS t FROM zd GROUP BY 1, 2) GROUP BY 1),
+zw AS (SELECT metric, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END)::DOUBLE AS w_plus,
+              sum(CASE WHEN diff < 0 THEN rk ELSE 0 END)::DOUBLE AS w_minus, count(*)::DOUBLE AS n, any_value(tie_term) AS tie_term
+       FROM zr JOIN zt USING (metric) GROUP BY 1),
+zx AS (SELECT *, abs(least(w_plus, w_minus) - n * (n + 1) / 4)
+              / sqrt(2 * (n * (n + 1) * (2 * n + 1) - tie_term / 2) / 24) AS x FROM zw),
+zp AS (SELECT metric, {_ERFC.format(x="x")} AS wilcoxon_p FROM zx)"""
+# all differences here are tied, so "auto" takes the normal form
+_bound(
+    "wilcoxon_p_values",
+    _WILCOXON + " SELECT metric, round(wilcoxon_p, 6) AS p_value, round(wilcoxon_p, 6) AS p_normal FROM zp",
+)
+_N_BOOT = 10_000
+_COMPARED = f"""
+, ci AS (SELECT metric, max(mean) FILTER (i = {int(0.025 * _N_BOOT)}) AS ci_low, max(mean) FILTER (i = {int(0.975 * _N_BOOT) - 1}) AS ci_high,
+           least(1.0, 2.0 * least(count(*) FILTER (mean <= 0), count(*) FILTER (mean >= 0)) / {_N_BOOT}.0)::DOUBLE AS bootstrap_p
+         FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean) - 1 AS i FROM means) GROUP BY 1),
+avgs AS (SELECT metric, count(*) AS n, avg(value_a) AS mean_a, avg(value_b) AS mean_b FROM pairs GROUP BY 1),
+disc AS (SELECT metric, count(*) FILTER (value_a = 1 AND value_b = 0) AS only_a,
+                count(*) FILTER (value_a = 0 AND value_b = 1) AS only_b
+         FROM pairs WHERE metric <> 'hidden_pass_rate' GROUP BY 1),
+mc AS (SELECT metric, least(1.0, 2.0 * sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1)
+                - (only_a + only_b) * ln(2.0)))) AS mcnemar_p
+       FROM (SELECT *, unnest(generate_series(0, least(only_a, only_b))) AS i FROM disc WHERE only_a + only_b > 0) GROUP BY metric),
+told AS (SELECT * FROM avgs LEFT JOIN ci USING (metric) LEFT JOIN zp USING (metric) LEFT JOIN mc USING (metric))"""
+
+
+def _three(x: str, sign: str = "") -> str:
+    """Three decimals, rounded half away from zero."""
+    return f"printf('%{sign}.3f', round(({x})::DECIMAL(18, 9), 3)::DOUBLE)"
+
+
+_bound(
+    "compare_runs",
+    _tree(_N_BOOT) + _WILCOXON + _COMPARED
+    + f""" SELECT metric, round_even(mean_a, 4) AS m0_mean, round_even(mean_b, 4) AS m1_mean, round_even(mean_a - mean_b, 4) AS difference,
+  concat('[', {_three("round_even(ci_low, 4)", "+")}, ', ', {_three("round_even(ci_high, 4)", "+")}, ']') AS ci_95,
+  round_even(bootstrap_p, 4) AS bootstrap_p, round_even(wilcoxon_p, 4) AS wilcoxon_p, round_even(mcnemar_p, 4) AS mcnemar_p,
+  CASE WHEN ci_low > 0 OR ci_high < 0 THEN 'yes' ELSE 'no' END AS significant FROM told""",
+)
+_bound(
+    "compare_two_runs",
+    _tree(_N_BOOT, "metric = 'hidden_pass_rate'") + _WILCOXON + _COMPARED
+    + f""" SELECT metric, 'm0' AS label_a, 'm1' AS label_b, n AS n_paired_problems, round_even(mean_a, 4) AS mean_a,
+  round_even(mean_b, 4) AS mean_b, round_even(mean_a - mean_b, 4) AS mean_difference,
+  round_even(ci_low, 4) AS bootstrap_ci_low, round_even(ci_high, 4) AS bootstrap_ci_high,
+  round_even(bootstrap_p, 4) AS bootstrap_p_value, round_even(wilcoxon_p, 4) AS wilcoxon_p_value, NULL::DOUBLE AS mcnemar_p_value,
+  ci_low > 0 OR ci_high < 0 AS significant_at_95,
+  concat('metric ''', metric, ''': mean of m0 ', {_three("mean_a")}, ', mean of m1 ', {_three("mean_b")}, '; m0 is ',
+    CASE WHEN mean_a >= mean_b THEN 'ahead' ELSE 'behind' END, ' by ', {_three("abs(mean_a - mean_b)")},
+    ', resampled interval ', {_three("ci_low")}, ' to ', {_three("ci_high")}, '; p from resampling ', {_three("bootstrap_p")},
+    ', signed ranks ', {_three("wilcoxon_p")}) AS summary,
+  NULL::VARCHAR AS error FROM told WHERE metric = 'hidden_pass_rate'""",
+)
+_counts = ", ".join(f"len(list_filter(hist, lambda x: x = '{s}'))::INT AS count_{s}" for s in ALL_STATES)
 _bound(
     "transition_dataset",
     f""", h AS (SELECT s.*, i.dwell, list(s.state) OVER (PARTITION BY s.episode_id ORDER BY s.pos
@@ -404,6 +552,159 @@ _bound(
         FROM h JOIN episodes e USING (episode_id) WHERE next_state IS NOT NULL""",
 )
 
+# --- what the model fits read -------------------------------------------------
+
+_TRANSITIONS = ORACLE["transition_dataset"].removeprefix(BIND).strip().removeprefix(",").strip()
+_AT = _TRANSITIONS.rindex("SELECT h.episode_id")
+_FOLDED = f""", {_TRANSITIONS[:_AT].strip()},
+h_rows AS ({_TRANSITIONS[_AT:]}),
+sized AS (SELECT episode_id, count(*) AS n FROM h_rows GROUP BY 1),
+folds AS (SELECT episode_id, n, (row_number() OVER (ORDER BY n DESC, ('0x' || substr(md5(episode_id), 1, 15))::BIGINT, episode_id) - 1) % 5 AS fold
+          FROM sized)"""
+_bound("fold_assignment", _FOLDED + " SELECT episode_id, n AS n_transitions, fold FROM folds")
+_HISTORY = ["history_1", "history_2", "history_3"]
+_STATE_COUNTS = [f"count_{s}" for s in ALL_STATES]
+_FEATURES = {
+    "first_order": ["current_state"],
+    "higher_order": ["current_state", *_HISTORY],
+    "count_augmented": ["current_state", *_STATE_COUNTS],
+    "duration_dependent": ["current_state", "dwell_time_current_state"],
+    "full": [
+        "current_state", "attempt", "attempt_normalized", "dwell_time_current_state", "feedback_type", "feedback_pass_rate",
+        "delta_feedback_pass_rate", *_HISTORY, *_STATE_COUNTS,
+    ],
+}
+_bound(
+    "transition_vectors",
+    _FOLDED + " UNION ALL ".join(
+        f""" SELECT '{name}' AS feature_set, {len(cols)} AS n_features, count(*) AS n_vectors, sum(n)::BIGINT AS n_rows, """
+        + ", ".join(f"sum(f{k})::BIGINT AS rows_fold_{k}" for k in range(5))
+        + " FROM (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (fold = {k}) AS f{k}" for k in range(5))
+        + f" FROM h_rows JOIN folds USING (episode_id) GROUP BY {', '.join(cols)}, next_state)"
+        for name, cols in _FEATURES.items()
+    ),
+)
+_bound(
+    "class_weights",
+    _FOLDED + """, left_out AS (SELECT unnest(generate_series(-1, 4)) AS out),
+  per AS (SELECT out AS fold, next_state, count(*) AS n_rows
+          FROM left_out, h_rows JOIN folds USING (episode_id) WHERE folds.fold <> out GROUP BY 1, 2)
+  SELECT fold, next_state, n_rows, sum(n_rows) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * n_rows) AS weight FROM per""",
+)
+_bound(
+    "recovery_weights",
+    """, p AS (SELECT CASE WHEN next_state = 'FEEDBACK_PASS' THEN '1' ELSE '0' END AS passes, count(*) AS n_rows
+               FROM seq WHERE next_state IS NOT NULL GROUP BY 1)
+       SELECT passes, n_rows, sum(n_rows) OVER () / (count(*) OVER () * n_rows) AS weight FROM p""",
+)
+_bound(
+    "first_order_table",
+    """, classes AS (SELECT destination_state AS next_state, sum(count) AS size FROM moves GROUP BY 1),
+       cells AS (SELECT s.current_state, c.next_state, coalesce(m.count, 0) AS n, coalesce(m.count, 0) / c.size AS share
+                 FROM (SELECT DISTINCT source_state AS current_state FROM moves) s CROSS JOIN classes c
+                 LEFT JOIN moves m ON m.source_state = s.current_state AND m.destination_state = c.next_state)
+       SELECT current_state, next_state, n, share / sum(share) OVER (PARTITION BY current_state) AS probability FROM cells""",
+)
+
+# --- files and jobs ------------------------------------------------------------
+
+for _name in ("jsonl_append", "jsonl_overwrite"):
+    ORACLE[_name] = ORACLE["flatten_attempts"]
+ORACLE["csv_roundtrip"] = ORACLE["transition_table"]
+ORACLE["compare_job"] = ORACLE["compare_runs"]
+ORACLE["malformed_lines"] = """WITH e AS (
+  SELECT CAST(user_id // 20 AS INT) AS shard, event_id, concat('{"event_id":', event_id, ',"user_id":', user_id, ',"type":"', event_type, '"}') AS whole,
+         row_number() OVER (PARTITION BY user_id // 20 ORDER BY event_id) AS line_number FROM events)
+SELECT shard, line_number, substr(whole, 1, length(whole) - 1 - CAST(event_id % 3 AS INT)) AS line
+FROM e WHERE event_id % 53 = 0 AND event_id % 41 <> 0"""
+ORACLE["read_problems"] = """WITH p AS (SELECT *, unnest(generate_series(0, doc_id % 4)) AS i FROM documents)
+SELECT concat('d/', doc_id) AS problem_id, sha256(text) AS prompt_sha256,
+  CASE WHEN doc_id % 3 = 0 THEN concat('{', CASE WHEN lang IS NOT NULL THEN concat('"lang":"', lang, '"') ELSE '' END, '}') ELSE '{}' END AS metadata,
+  CAST(i AS INT) AS test_pos, concat('[', i, ',', length(text), ']') AS input, CAST(i + doc_id AS VARCHAR) AS expected,
+  CASE WHEN i % 2 = 0 THEN concat('t', i) END AS test_id FROM p"""
+ORACLE["parse_mixed_tests"] = """WITH d AS (SELECT doc_id, length(text) AS n, doc_id % 5 AS k FROM documents)
+SELECT doc_id, 0 AS test_pos, concat('[', n, ']') AS input, 'true' AS expected, NULL::VARCHAR AS test_id FROM d WHERE k = 0
+UNION ALL SELECT doc_id, 0, concat('[', doc_id, ', "a"]'), concat('[', n, ', null]'), NULL FROM d WHERE k > 2
+UNION ALL SELECT doc_id, 1, concat('[', doc_id, ']'), concat('{"n":', n, '}'), concat('t', doc_id % 3) FROM d WHERE k > 2
+UNION ALL SELECT doc_id, 2, 'null', '[1,"ä"]', NULL FROM d WHERE k > 2
+UNION ALL SELECT doc_id, 3, '[]', CAST(-(doc_id % 7 + 1) AS VARCHAR), NULL FROM d WHERE k > 2"""
+ORACLE["json_safe_values"] = """SELECT doc_id, CASE doc_id % 4
+    WHEN 0 THEN concat('{"a":"x","b":[', length(text), ',null]}') WHEN 1 THEN concat('"<object at ', doc_id, '>"')
+    WHEN 2 THEN CAST(length(text) AS VARCHAR) ELSE concat('"{''a'': ', doc_id, '}"') END AS value,
+  ['dict', 'str', 'number', 'str'][doc_id % 4 + 1] AS kind FROM documents"""
+
+
+def _digest_of(report: str, sql: str, columns: dict[str, str]) -> str:
+    """Rows and digest of a query's result; ``columns`` maps names to i(nteger), d(ouble) or s(tring)."""
+    cells = [
+        f"coalesce({f'CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)' if kind == 'd' else f'CAST({c} AS VARCHAR)'}, '~')"
+        for c, kind in sorted(columns.items())
+    ]
+    return (
+        f"SELECT '{report}' AS report, count(*) AS n_rows, "
+        f"coalesce(sum(('0x' || substr(md5(concat_ws('|', {', '.join(cells)})), 1, 10))::BIGINT), 0)::VARCHAR AS digest FROM ({sql})"
+    )
+
+
+def _kinds(**kinds: str) -> dict[str, str]:
+    return {c: kind for kind, names in kinds.items() for c in names.split()}
+
+
+_BUNDLE = {
+    "episodes": (
+        "SELECT *, 5 AS max_attempts, hidden_rate AS final_hidden_pass_rate FROM episodes",
+        _kinds(s="episode_id problem_id model_id max_attempts final_outcome", d="final_hidden_pass_rate"),
+    ),
+    "attempts": (
+        f"SELECT {_ATTEMPT} FROM attempts a JOIN episodes e USING (episode_id)",
+        _kinds(s="episode_id problem_id model_id pos attempt max_attempts state feedback_tests_passed feedback_tests_total final_outcome",
+               d="feedback_pass_rate final_hidden_pass_rate"),
+    ),
+    "state_freq": ("state_frequencies", _kinds(s="state frequency", d="percentage")),
+    "recovery": (
+        "recovery_by_state",
+        _kinds(s="state episodes_with_state", d="feedback_recovery_rate_within_k hidden_success_rate_given_state unresolved_rate "
+               "one_step_recovery_rate persistence_rate"),
+    ),
+    "transitions": ("transition_table", _kinds(s="source_state destination_state count", d="probability")),
+    "transition_matrix": ("transition_matrix", _kinds(s="source_state", d=" ".join(ALL_STATES))),
+    "dwell": (
+        "dwell_time_summary", _kinds(s="state attempt_count max_observed_dwell", d="median_dwell_time mean_dwell_time")),
+    "regression": (
+        "regression_summary",
+        _kinds(s="episode_id problem_id model_id transitions test_pass_regressions runnability_regressions",
+               d="test_pass_regression_rate runnability_regression_rate"),
+    ),
+    "hidden": ("hidden_generalization", _kinds(s="feedback_loop_group episodes hidden_pass_count", d="hidden_success_rate")),
+    "pass_at_k": ("pass_at_k", _kinds(s="k", d="feedback_pass_at_k hidden_pass_rate")),
+    "recovery_by_attempt": (
+        "recovery_by_attempt", _kinds(s="attempt first_pass_count is_recovery", d="pct_of_recoveries cumulative_pct_recoveries")),
+    "recovery_source_states": ("recovery_source_states", _kinds(s="source_state recoveries", d="pct_of_recoveries")),
+    "hamsm_data": (
+        "transition_dataset",
+        _kinds(s="episode_id problem_id model_id current_state next_state attempt dwell_time_current_state feedback_type final_outcome "
+               + " ".join([*_HISTORY, *_STATE_COUNTS]), d="attempt_normalized feedback_pass_rate delta_feedback_pass_rate"),
+    ),
+    # events carry no code, so there are no edits to summarise
+    "edit_distance": ("SELECT 'x' AS state WHERE false", _kinds(s="state")),
+    "fb_success": ("SELECT count(first_pos) / count(*) AS feedback_success_rate FROM firsts", _kinds(d="feedback_success_rate")),
+    "hidden_pass": (
+        "SELECT count(*) FILTER (final_outcome = 'FINAL_PASS') / count(*) AS hidden_pass_rate FROM firsts", _kinds(d="hidden_pass_rate")),
+}
+
+
+def _bundle(names) -> str:
+    """Digests of bundle tables. A table that is a query of its own is put in whole."""
+    parts = []
+    for name in names:
+        sql, columns = _BUNDLE[name]
+        parts.append(_digest_of(name, ORACLE.get(sql, BIND + sql), columns))
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE["report_bundle_values"] = _bundle(_BUNDLE)
+ORACLE["analyze_job"] = _bundle(["state_freq", "recovery", "transitions", "dwell", "regression", "hidden", "pass_at_k", "hamsm_data"])
+
 # --- text over documents and conversations -----------------------------------
 
 ORACLE["code_hash"] = """SELECT doc_id, sha256(text) AS sha256,
@@ -561,21 +862,21 @@ _bound(
     "feedback_text",
     f""", x AS (SELECT *, 'E' || event_id AS exc,
                   CASE WHEN event_id % 2 = 0 THEN 'line ' || event_id END AS err FROM attempts)
-        SELECT episode_id, pos, '{FB.HEADER}' || {_NL} || {_NL} || CASE
+        SELECT episode_id, pos, '{HEADER}' || {_NL} || {_NL} || CASE
           WHEN pos % 5 = 1 THEN 'Result: failed.'
           WHEN pos % 5 = 2 THEN {_CAT}
           WHEN pos % 5 = 3 THEN {_CAT}{_n}'Terminal output:'{_n}coalesce(err, 'stopped')
           WHEN state IN ('FEEDBACK_PASS', 'TERMINAL_UNRESOLVED') THEN {_CAT}{_n}'stopped'
-          ELSE {_join(_texts(FB.OPENINGS, "state"), _CAT, _DETAIL, _texts(FB.ADVICE, "state"))} END AS feedback
+          ELSE {_join(_texts(OPENING, "state"), _CAT, _DETAIL, _texts(CLOSING, "state"))} END AS feedback
         FROM x""",
 )
-_TURN_FEEDBACK = f"""'{FB.HEADER}' || {_NL} || {_NL} || {_join(
-    _texts(FB.OPENINGS, "state"), _CAT,
+_TURN_FEEDBACK = f"""'{HEADER}' || {_NL} || {_NL} || {_join(
+    _texts(OPENING, "state"), _CAT,
     "CASE WHEN state = 'SYNTAX_ERROR' THEN " + _join("'Exception type: SyntaxError'",
         "'Location: line ' || turn || ', column 1'", "'Terminal message: turn ' || turn")
     + " ELSE " + _join("'Feedback tests passed: 1/3'", "'Failing input: [1]'", "'Expected output: 2'",
         "'Actual output: 3'") + " END",
-    _texts(FB.ADVICE, "state"))}"""
+    _texts(CLOSING, "state"))}"""
 _BLOCK = f"""'```python' || {_NL} || {_strip("text")} || {_NL} || '```' || {_NL} || feedback
   || CASE WHEN state = 'SYNTAX_ERROR' THEN {_NL} || 'Error output:' || {_NL} || 'turn ' || turn ELSE '' END
   || CASE WHEN turn % 2 = 1 THEN {_NL} || 'Program output:' || {_NL} || 'printed' ELSE '' END"""
@@ -590,11 +891,11 @@ h AS (SELECT *, string_agg('Attempt ' || attempt || ':' || {_NL} || block, {_NL}
         PARTITION BY conv_id, chunk ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
       FROM b)
 SELECT conv_id || '-' || chunk AS episode_id, CAST(conv_id AS VARCHAR) AS problem_id, 1 AS attempt,
-       '{FB.INITIAL}' || {_NL} || {_NL} || 'Solve task ' || conv_id AS prompt
+       '{FIRST_PROMPT}' || {_NL} || {_NL} || 'Solve task ' || conv_id AS prompt
 FROM h WHERE attempt = 1
 UNION ALL
 SELECT conv_id || '-' || chunk, CAST(conv_id AS VARCHAR), attempt + 1,
-       '{FB.REPAIR}' || {_NL} || {_NL} || 'Task:' || {_NL} || 'Solve task ' || conv_id
+       '{NEXT_PROMPT}' || {_NL} || {_NL} || 'Task:' || {_NL} || 'Solve task ' || conv_id
        || CASE WHEN earlier IS NULL THEN '' ELSE {_NL} || {_NL} || '--- Prior attempts ---'{_GAP}earlier END
        {_GAP}'--- Last attempt ---'{_GAP}block
 FROM h WHERE attempt < 5"""

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[str] = []  # folders of this application
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -42,6 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path below the shared folder that nobody else has."""
+    _made.append(f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder.
 
@@ -49,6 +56,16 @@ def stage(df: DataFrame) -> DataFrame:
     survive the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the folders that :func:`stage` and :func:`new_folder` made in this application.
+
+    For the end of a job: results that were not read yet are lost."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)

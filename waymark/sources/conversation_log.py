@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.feedback import feedback_text
 from waymark.functions.text import edit_distance
-from waymark.operators.positions import HOT_ROWS, with_positions, with_previous
+from waymark.operators.positions import HOT_BYTES, with_positions, with_previous
 
 BUDGET = 5
 
@@ -24,12 +24,12 @@ def _turn_state() -> Column:
     )
 
 
-def answer_edits(conversations: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def answer_edits(conversations: DataFrame, *, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Assistant turns with the edit distance to the one before in the conversation."""
     tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_previous(
         _answers(conversations), "conv_id", "turn", {"previous": "text"},
-        hot_rows=hot_rows, partitions=tasks,
+        hot_rows=hot_bytes, load=F.octet_length("text"), partitions=tasks,
     )
     return rows.select(
         "conv_id",
@@ -39,10 +39,10 @@ def answer_edits(conversations: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataF
     )
 
 
-def numbered_turns(conversations: DataFrame, role: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered_turns(conversations: DataFrame, role: str, *, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``problem_id, attempt, text`` of one role, attempts counted from 1."""
     rows = conversations.filter(F.col("role") == role).select("conv_id", "turn", "text")
-    return with_positions(rows, "conv_id", "turn", name="_n", hot_rows=hot_rows).select(
+    return with_positions(rows, "conv_id", "turn", name="_n", hot_rows=hot_bytes, load=F.octet_length("text")).select(
         F.col("conv_id").cast("string").alias("problem_id"),
         (F.col("_n") + 1).alias("attempt"),
         "turn",
@@ -50,10 +50,10 @@ def numbered_turns(conversations: DataFrame, role: str, *, hot_rows: int = HOT_R
     )
 
 
-def answer_episodes(conversations: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def answer_episodes(conversations: DataFrame, *, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Every five assistant turns of a conversation as one episode with code and feedback."""
     rows = with_positions(
-        _answers(conversations), "conv_id", "turn", name="_n", hot_rows=hot_rows
+        _answers(conversations), "conv_id", "turn", name="_n", hot_rows=hot_bytes, load=F.octet_length("text")
     )
     result = {
         "state": F.col("state"),

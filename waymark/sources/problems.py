@@ -106,7 +106,7 @@ def parse_tests(
     """Tests column of any supported type as an array of JSON tests.
 
     Text goes through Python's grammar, batch by batch. Structured lists stay in the JVM; a
-    list of texts is parsed per text and keeps its order. No cap when ``max_tests`` is falsy.
+    list of texts is parsed per text and keeps its order; a VARIANT may mix both. No cap when ``max_tests`` is falsy.
     """
     dt = df.schema[tests].dataType
     if isinstance(dt, T.StringType):
@@ -137,6 +137,8 @@ def parse_tests(
                 (x["test_id"].cast("string") if "test_id" in have else F.lit(None).cast("string")).alias("test_id"),
             ),
         )
+    elif isinstance(dt, T.VariantType):
+        parsed = _mixed_tests(F.col(tests), F.col(entry_point))
     else:
         raise TypeError(f"column {tests!r} has type {dt.simpleString()}; text or a list is needed")
     return F.slice(parsed, 1, max_tests) if max_tests else parsed
@@ -153,6 +155,42 @@ def _parse_list(texts: pd.Series, entry_point: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.ArrayType(TESTS))
+def _parse_each(texts: pd.Series, entry_point: pd.Series) -> pd.Series:
+    """The tests of each text of a list, apart from each other; NULL gives none."""
+    return pd.Series(
+        [[assert_tests(t, e) for t in (items if items is not None else [])] for items, e in zip(texts, entry_point)],
+        dtype=object,
+    )
+
+
+def _mixed_tests(value: Column, entry_point: Column) -> Column:
+    """Tests of a VARIANT: source text, or a list of texts and ``{input, expected}`` objects in any order.
+
+    Each element goes its own way by its kind, and all tests stand in the order of the elements; whatever
+    is neither kind gives no test. Objects stay in the JVM, only texts go through Python's grammar."""
+
+    def is_text(x: Column) -> Column:
+        return F.schema_of_variant(x) == "STRING"
+
+    elements = F.when(is_text(value), F.array(value)).otherwise(F.try_variant_get(value, "$", "array<variant>"))
+    elements = F.coalesce(elements, F.array().cast("array<variant>"))
+    texts = F.transform(elements, lambda x: F.when(is_text(x), F.try_variant_get(x, "$", "string")))
+
+    def of_object(x: Column) -> Column:
+        given, wanted = (F.try_variant_get(x, f"$.{name}", "variant") for name in ("input", "expected"))
+        test = F.struct(
+            F.to_json(given).alias("input"), F.to_json(wanted).alias("expected"),
+            F.try_variant_get(x, "$.test_id", "string").alias("test_id"),
+        )
+        return F.when(F.schema_of_variant(x).startswith("OBJECT") & given.isNotNull() & wanted.isNotNull(), F.array(test))
+
+    each = F.zip_with(
+        F.transform(elements, of_object), _parse_each(texts, entry_point), lambda one, several: F.coalesce(one, several)
+    )
+    return F.flatten(each).cast(TESTS)
+
+
 def normalize_problems(
     df: DataFrame,
     dataset: str = "table",
