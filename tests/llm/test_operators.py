@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm import (
-    chat, compression_bands, language, mixing, neighbours, packing, partenum, prefix_tokens, spotsigs, substrings,
+    chat, common, compression_bands, language, mixing, neighbours, packing, partenum, prefix_tokens, spotsigs, substrings,
     toxicity,
 )
+from waymark.llm.common import numbered
 from waymark.session import ship_package
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -89,10 +90,64 @@ def test_similar_spot_sets(spark):
 
 def test_next_key(spark):
     ids = spark.createDataFrame([(i * i,) for i in range(50)], "doc_id long")
-    got = dict(neighbours.with_next(ids, "doc_id", "after").collect())
+    got = dict(neighbours.with_next(ids, ["doc_id"], "doc_id", "after").collect())
     assert got == {i * i: ((i + 1) % 50) ** 2 for i in range(50)}
 
 
+def test_next_row_among_equal_and_missing_keys(spark):
+    rows = spark.createDataFrame([(4, 0), (None, 1), (4, 2), (None, 3), (1, 4)], "doc_id long, n long")
+    got = neighbours.with_next(rows, ["doc_id", "n"], "n", "after").collect()
+    assert {r["n"]: r["after"] for r in got} == {4: 0, 0: 2, 2: 1, 1: 3, 3: 4}
+
+
+def test_row_numbers(spark, docs, tmp_path):
+    """Every row has one of its own, the same in each reading; rows of files are not written again."""
+    docs.unionByName(docs).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    for df in (read, read.select("doc_id", "text").filter("doc_id > 2"), docs, docs.unionByName(docs), read.join(read.select("doc_id"), "doc_id")):
+        made = numbered(df)
+        one, two = ({(r["_row"], r["doc_id"]) for r in made.select("_row", "doc_id").collect()} for _ in range(2))
+        assert one == two and len({r for r, _ in one}) == df.count() and made.columns == [*df.columns, "_row"]
+    assert common._from_files(read) and not common._from_files(read.select("doc_id", F.explode(F.array("text", "lang")).alias("x")))
+
+
+def test_edited_texts_and_their_neighbours(spark):
+    """Every row beside the next one by (doc_id, row), in plain Python; repeated rows and rows without an id."""
+    ship_package(spark)
+    text = lambda k, n: " ".join(f"the {k}{i} and ä{i}" for i in range(n))
+    given = [(3, text("a", 30)), (3, text("a", 30)), (1, text("b", 9)), (None, text("c", 5)), (7, None), (None, ""), (5, "x"), (2, text("a", 30))]
+    rows = [(i, t, "s", 0) for i, t in given]
+    out = spotsigs.beside_next(spark.createDataFrame(rows, "doc_id long, text string, sig string, _words int").coalesce(1))
+    out = out.withColumn("likeness", spotsigs.likeness("sig", "edited_sig")).withColumn("next", spotsigs.likeness("sig", "next_sig"))
+    got = Counter((r["doc_id"], r["n_chars"], r["edited"], round(r["likeness"], 9), round(r["next"], 9)) for r in out.collect())
+
+    def signatures(text):
+        ws = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+        units, now = [], []
+        for w in ws:
+            now.append(w)
+            if w not in spotsigs.ANCHORS:
+                units, now = [*units, now], []
+        spots = {(" ".join(u), *[v[-1] for v in units[i + 1 : i + 3]]) for i, u in enumerate(units[:-2]) if len(u) > 1}
+        return spots or ({tuple(ws)} if ws else set())
+
+    def like(a, b):
+        return 1.0 if a == b else len(a & b) / len(a | b)
+
+    order = sorted(range(len(given)), key=lambda i: (given[i][0] is None, given[i][0] or 0, i))
+    want = Counter()
+    for here, there in zip(order, order[1:] + order[:1]):
+        own, after = given[here][1] or "", given[there][1] or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        a, b, c = map(signatures, (own, edited, after))
+        want[(given[here][0], len(own), edited, round(like(a, b), 9), round(like(a, c), 9))] += 1
+    assert got == want
+    assert spotsigs.beside_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    one = spotsigs.beside_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
+    assert one["edited"] == "abab"
+
+
 @pytest.fixture(scope="module")
 def pieces_model():
     from public_tokenizers import path
@@ -111,6 +166,47 @@ def test_token_counts(docs, none, texts, pieces_model):
     assert prefix_tokens.prefix_table(none, pieces_model).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0, 1, 6, 33])
+def test_longest_prefix(spark, pieces_model, budget):
+    """Against every prefix encoded by the library; texts without blanks are cut inside their only word."""
+    library = prefix_tokens.Model(pieces_model).library
+    own = [None, "", " ", "   x", "one", "two words here, and more of them", "漢字かな交じり文がここに続く", "a" * 60, "Größe\nZeile\tß " * 6, "xyz" * 9 + " " * 9 + "end"]
+    ship_package(spark)
+    rows = [(i, t, 0) for i, t in enumerate(own)] + [(4, own[4], 0)]
+    got = prefix_tokens.longest_prefix(spark.createDataFrame(rows, "doc_id long, text string, kept int"), pieces_model, budget).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = own[r["doc_id"]] or ""
+        counts = [len(library.encode(text[:n])) for n in range(len(text) + 1)]
+        kept = max(n for n, c in enumerate(counts) if c <= budget)
+        assert (r["n_bytes"], r["n_tokens"], r["kept"], r["kept_tokens"]) == (len(text.encode()), counts[-1], kept, counts[kept])
+
+
+def test_chunks_cover_the_whole_text(spark):
+    """Every byte is in a chunk that is judged; the verdict in plain Python."""
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    vocabulary = [f"{a}{b}" for a in ("wort", "term", "idea", "mot", "voz") for b in range(120)]
+    clean = lambda n: " ".join(rng.choice(vocabulary, n))
+    noise = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000))
+    own = [clean(700), clean(700) + " " + noise[:160], clean(1500) + " same again" * 2000, noise + " " + clean(40), clean(400) * 3, None, "x" * 4096, "y z " * 1025, clean(2400)]
+    compressor = zstandard.ZstdCompressor(level=compression_bands.LEVEL)
+    ratio = lambda b: len(b) / len(compressor.compress(b)) if b else 0.0
+    ship_package(spark)
+    rows = [(i, t, 1.0) for i, t in enumerate(own)] + [(0, own[0], 1.0)]
+    got = compression_bands.quality(spark.createDataFrame(rows, "doc_id long, text string, ratio double")).collect()
+    assert len(got) == len(rows) and {r["kept"] for r in got} == {True, False}
+    for r in got:
+        raw = (own[r["doc_id"]] or "").encode()
+        parts = compression_bands.chunks(raw)
+        assert b"".join(parts) == (raw if len(raw) > 4096 else b"") and all(512 <= len(p) < 4608 for p in parts)
+        bad = sum(not compression_bands.inside_band(len(p), ratio(p)) for p in parts)
+        inside = bool(raw) and compression_bands.inside_band(len(raw), ratio(raw)) and bad <= 0.25 * len(parts)
+        assert (r["n_chunks"], r["bad_chunks"]) == (len(parts), bad) and r["ratio"] == pytest.approx(ratio(raw))
+        assert r["kept"] == (inside and not r["base_failed"])
+
+
 def test_counts_inside_words_and_cuts(spark, docs, texts, pieces_model):
     model = prefix_tokens.Model(pieces_model)
     for word in ("▁unbelievable", "▁Größe漢", "▁▁▁x", "▁intr-o.ducing"):
@@ -195,7 +291,7 @@ def test_packing(docs, none, texts):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    made = packing.pieces(docs, path("byte_bpe_50k.tiktoken"), with_ids=True).cache()
+    made = packing.pieces(docs, path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"), with_ids=True).cache()
     ids = {}
     for r in sorted(made.collect(), key=lambda r: (r["doc_id"], r["piece"])):
         own = ids.setdefault(r["doc_id"], [])
@@ -215,7 +311,27 @@ def test_packing(docs, none, texts):
             at += length
         assert at <= 2048
     assert len(by) >= packing.lower_bound(np.array([r["length"] for r in packed]))
-    assert packing.pack(packing.pieces(none, path("byte_bpe_50k.tiktoken"))).count() == 0
+    assert packing.pack(packing.pieces(none, path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_very_long_blanks():
+    """Runs of blanks at which the fast way gives up, as the named library reads them."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    encode = packing.encoder(path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 600_000 + "b <|endoftext|>"):
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_pieces_spread_over_groups(spark):
+    """Thousands of equal rows, some without an id, are packed in groups of bounded size and none is lost."""
+    made = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(3).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    packed = packing.pack(common.checkpointed(made), group=500)
+    assert packed.count() == 5000
+    by = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("k"), F.count("*").alias("c"))
+    assert by.filter("n > 2048 or k <> c").isEmpty() and by.count() <= 5000 * 3 // 2048 + 12
 
 
 def test_bound_never_exceeds_best_packing():
@@ -401,3 +517,51 @@ def test_language_tokens_scored_together():
         want = np.sum([language.word_scores(model, x) for x in own], axis=0) if own else np.zeros(2)
         assert np.allclose(row[:2], want) and row[2] == len(own)
     assert language.token_scores(model)([]).shape == (0, 3)
+
+
+def test_penalty_against_a_dense_solver(spark):
+    """Groups of other languages are swapped too; the weights are those of a plain gradient method on whole matrices."""
+    ship_package(spark)
+    rng = np.random.default_rng(4)
+    words_ = [f"wort{i}" for i in range(30)]
+    texts, y = [], []
+    for k in range(240):
+        toxic = k % 3 == 0
+        own = list(rng.choice(words_, 6)) + (["übel"] if toxic and k % 2 else []) + (["frauen" if toxic else "männer"] if k % 4 == 0 else [])
+        texts.append(" ".join(own))
+        y.append(int(toxic))
+    table = spark.createDataFrame([(a, t) for a, t in zip(y, texts)], "label int, text string")
+    rows = [(r["label"], np.array(r["found"]), np.array(r["swapped"]) if r["swapped"] is not None else None) for r in toxicity.word_sets(table).collect()]
+    model = toxicity.fit(rows, steps=4000)
+    assert model.n_pairs == 60
+    keys = sorted({k for r in rows for k in r[1].view(np.uint64).tolist() if sum(k in q[1].view(np.uint64) for q in rows) >= toxicity.LEAST})
+    place = {k: i for i, k in enumerate(keys)}
+
+    def matrix(sets):
+        out = np.zeros((len(sets), len(keys)))
+        for i, own in enumerate(sets):
+            for k in np.asarray(own).view(np.uint64).tolist():
+                if k in place:
+                    out[i, place[k]] = 1
+        return out
+
+    x, label = matrix([r[1] for r in rows]), np.array([r[0] for r in rows], float)
+    named = [r for r in rows if r[2] is not None]
+    apart = matrix([r[2] for r in named]) - matrix([r[1] for r in named])
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - label * z) + toxicity.PAIRING * np.mean((apart @ w) ** 2) + toxicity.SPARSE * np.abs(w).sum()
+
+    w, b = np.zeros(len(keys)), 0.0
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        step = w - 0.05 * (x.T @ (p - label) / len(label) + 2 * toxicity.PAIRING * apart.T @ (apart @ w) / len(named))
+        w = np.sign(step) * np.maximum(0, np.abs(step) - 0.05 * toxicity.SPARSE)
+        b -= 0.5 * (p - label).mean()
+    mine = np.zeros(len(keys))
+    for k, v in zip(model.keys.tolist(), model.weights):
+        mine[place[k]] = v
+    assert loss(mine, model.intercept) <= loss(w, b) + 1e-4
+    z = {g: mine[[place[k] for k in np.unique(toxicity.features(toxicity.words(pa.array([g]), fold=True, letters=True))[0]).tolist() if k in place]].sum() for g in ("frauen", "männer")}
+    assert abs(z["frauen"] - z["männer"]) < 0.3

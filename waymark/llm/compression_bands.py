@@ -2,7 +2,7 @@
 
 The ratio of UTF-8 bytes to zstandard bytes of a clean text lies in a band that rises with its
 length: what is far above repeats itself, what is far below is noise. The whole document and each
-fixed chunk are judged with the band of their own length; a document fails with its whole ratio
+fixed chunk are judged with the band of their own length, a short tail together with the chunk before it; a document fails with its whole ratio
 outside, or with more than ``BAD_CHUNKS`` of its chunks outside.
 
 Defined cases: NULL and empty texts have no words and fail the base rules; repeated rows each give a
@@ -59,6 +59,16 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def chunks(raw: bytes, size: int = CHUNK, least: int = LEAST_CHUNK) -> list[bytes]:
+    """Pieces of ``size`` bytes of a text longer than that; a last one below ``least`` stays with the one before."""
+    if len(raw) <= size:
+        return []
+    ends = list(range(size, len(raw), size))
+    if len(raw) - ends[-1] < least:
+        ends.pop()
+    return [raw[a:b] for a, b in zip([0, *ends], [*ends, len(raw)])]
+
+
 def judge(texts: pa.Array, compressor, bands=BANDS, chunk: int = CHUNK, bad_share: float = BAD_CHUNKS) -> dict[str, np.ndarray]:
     w = words(texts)
     n = len(texts)
@@ -79,8 +89,7 @@ def judge(texts: pa.Array, compressor, bands=BANDS, chunk: int = CHUNK, bad_shar
         out["n_dup_lines"][i] = len(lines) - len(set(lines))
         raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
         out["ratio"][i] = size(raw)
-        parts = [raw[k : k + chunk] for k in range(0, len(raw), chunk)] if len(raw) > chunk else []
-        parts = [p for p in parts if len(p) >= LEAST_CHUNK]
+        parts = chunks(raw, chunk)
         out["n_chunks"][i] = len(parts)
         out["bad_chunks"][i] = sum(not inside_band(len(p), size(p), bands) for p in parts)
         out["kept"][i] = inside_band(len(raw), out["ratio"][i], bands) and out["bad_chunks"][i] <= bad_share * len(parts)

@@ -1,7 +1,7 @@
 """Packing documents into sequences by best-fit decreasing with certified bounds.
 
 Documents are tokenized once into pieces of at most one sequence; only their lengths are packed.
-Pieces are dealt into partitions of about ``GROUP`` by hash and each is packed best-fit decreasing.
+Pieces are dealt into partitions of about ``GROUP`` by a hash of their place and each is packed best-fit decreasing.
 Dual feasible functions give a lower bound on a partition's sequences: where it is met, nothing can
 be better and the partition is final. In partitions with a gap the full sequences are final too; the
 documents of the others are exchanged, dealt anew among such partitions, and packed again. A round
@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.llm.common import checkpointed, text_of
 from waymark.llm.wordhash import slices
@@ -34,8 +35,11 @@ END_ID = 0
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(ranks_path: str, special: str = "<|endoftext|>", special_id: int = 50256):
-    """The byte-level vocabulary; the special token's text is read as that token, as its library does."""
+def encoder(ranks_path: str, json_path: str | None = None, special: str = "<|endoftext|>", special_id: int = 50256):
+    """The byte-level vocabulary; the special token's text is read as that token, as its library does.
+
+    Ranks are the fast way. They find words by a pattern that gives up on very long runs of blanks; such
+    a text goes to the library the vocabulary file at ``json_path`` is written for, which has no such limit."""
     import base64
 
     import public_tokenizers
@@ -49,7 +53,22 @@ def encoder(ranks_path: str, special: str = "<|endoftext|>", special_id: int = 5
     made = tiktoken.Encoding(
         "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id}
     )
-    return lambda text: made.encode(text, allowed_special="all")
+
+    @functools.cache
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special="all")
+        except ValueError:  # the pattern's stack
+            if json_path is None:
+                raise
+            return library().encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(total: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -58,30 +77,34 @@ def cut(total: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return ([(0, lead)] if lead else []) + [(s, size) for s in range(lead, total, size)]
 
 
-def pieces(docs: DataFrame, ranks_path: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids. No shuffle."""
-    given = docs.select("doc_id", text_of().alias("text"))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+def pieces(
+    docs: DataFrame, ranks_path: str, json_path: str | None = None, size: int = SEQUENCE, with_ids: bool = False,
+    columns: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """The ``columns`` of each row with piece, start, length, ids_crc32 and, if asked for, the ids. No shuffle."""
+    given = docs.select(*columns, text_of().alias("_text"))
+    names = [*columns, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path)
+        encode = encoder(ranks_path, json_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "_text"):
                 made: list[tuple] = []
                 doc: list[int] = []
-                for i, text in enumerate(part.column("text").to_pylist()):
+                for i, text in enumerate(part.column("_text").to_pylist()):
                     ids = np.array(encode(text) + [END_ID], "<u4")
                     for k, (start, length) in enumerate(cut(len(ids), size)):
                         own = ids[start : start + length]
                         made.append((k, start, length, zlib.crc32(own.data), own) if with_ids else (k, start, length, zlib.crc32(own.data)))
                         doc.append(i)
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                columns = [pa.array(x, t) for x, t in zip(zip(*made), kinds)] if made else []
-                if columns:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), *columns], names)
+                found = [pa.array(x, t) for x, t in zip(zip(*made), kinds)] if made else []
+                if found:
+                    kept = [c.take(pa.array(doc)) for c in part.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*kept, *found], names)
 
-    kind = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kinds = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(n, kinds[n]) for n in names[len(columns) :]]])
     return given.mapInArrow(run, schema)
 
 
@@ -154,13 +177,15 @@ def _packed(size: int):
 
 
 def pack(made: DataFrame, size: int = SEQUENCE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces with sequence_id and offset. ``made`` is read several times: keep it first."""
+    """The pieces with sequence_id and offset. ``made`` is read several times and its rows are told apart by their
+    place: keep it first. After ``rounds`` rounds partitions may be left that are not certified."""
     columns = made.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema)
     rest, done = made, None
     for turn in range(rounds):
         groups = max(1, -(-rest.count() // group))
-        key = F.pmod(F.xxhash64(F.lit(turn), *columns), F.lit(groups))
+        # by a number of the row: equal pieces, however many, spread over all groups
+        key = F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(groups))
         packed = checkpointed(
             rest.select(*columns, *(["_old"] if turn else [])).withColumn("_group", key).groupBy("_group").applyInArrow(
                 _packed(size), f"{schema}, {'_old long, ' * bool(turn)}_group long, bin long, offset long, final boolean"

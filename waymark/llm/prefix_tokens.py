@@ -3,7 +3,7 @@
 The model reads blanks as one mark that its pieces hold only in front, so no merge crosses the end of
 a word: the count up to a word's end is the count up to its start plus the word's own. ``prefix_table``
 runs that recurrence over a text and keeps the count at every word end. Inside a word,
-``inside_counts`` goes on letter by letter: the last token of a prefix is the one vocabulary item
+``inside_counts``, which ``longest_prefix`` asks for the word where a budget ends, goes on letter by letter: the last token of a prefix is the one vocabulary item
 that ends there and may follow the last token of what stands before it, so its count is that
 prefix's count plus one. Budgets and cuts are then look-ups; no text is encoded again.
 
@@ -144,6 +144,37 @@ def cut_point(table: DataFrame, budget: int) -> DataFrame:
     return table.withColumns({"kept": at("ends"), "kept_tokens": at("tokens")})
 
 
+def longest_prefix(docs: DataFrame, path: str, budget: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, kept, kept_tokens: code points and tokens of the longest prefix within the budget.
+
+    The prefix may end inside a word. Only where the whole text is over the budget the word in which it ends is
+    gone through letter by letter; texts without blanks are one such word. No shuffle."""
+    given = docs.select("doc_id", text_of().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_at(path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                split = [model.split(t) for t in texts]
+                model.learn([w for s in split for w in s])
+                found = []
+                for text, own in zip(texts, split):
+                    tokens = np.cumsum([model.known[w] for w in own], dtype=np.int64)
+                    total = int(tokens[-1]) if len(own) else 0
+                    if total <= budget:
+                        found.append((total, len(text), total))
+                    else:
+                        ends = np.cumsum([len(w) for w in own]) - 1
+                        found.append((total, *cut_inside(text, ends.tolist(), tokens.tolist(), budget, model)))
+                columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+                n_bytes = pa.compute.cast(pa.compute.binary_length(part.column("text")), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, *columns], ["doc_id", "n_bytes", "n_tokens", "kept", "kept_tokens"])
+
+    kind = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, kept long, kept_tokens long")
+
+
 def cut_inside(text: str, ends: list[int], tokens: list[int], budget: int, model: Model) -> tuple[int, int]:
     """Code points and tokens of the longest prefix at all within the budget, found from the table."""
     k = int(np.searchsorted(np.asarray(tokens, dtype=np.int64), budget, side="right"))

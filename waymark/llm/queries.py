@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import (
-    chat, compression_bands, exact_dedup, language, mixing, neighbours, packing, partenum, prefix_tokens, resampling,
+    chat, compression_bands, exact_dedup, language, mixing, packing, partenum, prefix_tokens, resampling,
     spelling, spotsigs, substrings, toxicity,
 )
-from waymark.llm.common import checkpointed, crc_bucket, text_of
+from waymark.llm.common import checkpointed, crc_bucket
 from waymark.session import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,9 +54,9 @@ def op5_source_mixing(spark, sf_dir):
 def op3_token_counts(spark, sf_dir):
     from public_tokenizers import path
 
-    counts = prefix_tokens.prefix_table(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
-    n = prefix_tokens.token_count()
-    return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 4096).alias("over_limit"))
+    limit = 4096
+    counts = prefix_tokens.longest_prefix(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), limit)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "kept", "kept_tokens")
 
 
 @query
@@ -68,7 +68,7 @@ def op4_quality_rules(spark, sf_dir):
 def op6_best_fit_packing(spark, sf_dir):
     from public_tokenizers import path
 
-    made = checkpointed(packing.pieces(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken")))
+    made = checkpointed(packing.pieces(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json")))
     return packing.pack(made)
 
 
@@ -93,20 +93,8 @@ def op8_toxicity(spark, sf_dir):
 
 @query
 def op2_spot_signatures(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    sizes = docs.select("doc_id", F.floor(F.length("text") / 2).alias("half"))
-    order = neighbours.with_next(sizes, "doc_id", "next_id")
-    # what a document gives to the one before it: its first code points and its fingerprint
-    asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.col("half").alias("wanted"))
-    given = spotsigs.with_signatures(docs.join(asked, "doc_id"), "text", "next_sig").select(
-        F.col("to").alias("doc_id"), "next_sig", F.left("text", F.col("wanted").cast("int")).alias("given")
-    )
-    both = docs.join(given, "doc_id")
-    n = F.length("text")
-    both = both.withColumn("edited", F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), "given"))
-    both = spotsigs.with_signatures(spotsigs.with_signatures(both, "text", "sig"), "edited", "edited_sig")
-    return both.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+    return spotsigs.beside_next(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.as_text("sig").alias("fingerprint"), spotsigs.as_text("edited_sig").alias("edited_fingerprint"),
         spotsigs.likeness("sig", "edited_sig").alias("near_edited"), spotsigs.likeness("sig", "next_sig").alias("near_next"),
     )

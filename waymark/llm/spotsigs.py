@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import checkpointed, text_of
+from waymark.llm.common import checkpointed, numbered, text_of
+from waymark.llm.neighbours import with_next
 
 #: Common words of English, German, French and Spanish that anchor a spot.
 ANCHORS = (
@@ -69,6 +70,26 @@ def likeness(a: str, b: str) -> Column:
     ).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def beside_next(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited, and the signatures sig, edited_sig, next_sig of every row.
+
+    ``edited`` ends with the beginning of the next text in place of its own second half. Rows follow each other
+    by (doc_id, row), ids that are NULL last; every row is a document of its own, whatever its id."""
+    rows = numbered(docs.select("doc_id", "text")).withColumn("text", text_of())
+    sizes = rows.select("_row", "doc_id", F.floor(F.length("text") / 2).alias("half"))
+    order = with_next(sizes, ["doc_id", "_row"], "_row", "next_row")
+    # what a document gives to the one before it: its first code points and its fingerprint
+    asked = order.select(F.col("next_row").alias("_row"), F.col("_row").alias("to"), F.col("half").alias("wanted"))
+    given = with_signatures(rows.select("_row", "text").join(asked, "_row"), "text", "next_sig").select(
+        F.col("to").alias("_row"), "next_sig", F.left("text", F.col("wanted").cast("int")).alias("given")
+    )
+    both = rows.join(given, "_row")
+    n = F.length("text")
+    both = both.withColumn("edited", F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), "given"))
+    both = with_signatures(with_signatures(both, "text", "sig"), "edited", "edited_sig")
+    return both.select("doc_id", n.cast("long").alias("n_chars"), "edited", "sig", "edited_sig", "next_sig")
+
+
 def length_partition(size, tau: float) -> Column:
     """Partitions whose upper end is 1 / tau times the lower: similar sets are in one or in neighbours."""
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1 / tau))).cast("int")

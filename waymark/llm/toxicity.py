@@ -29,11 +29,18 @@ from pyspark.sql import types as T
 
 from waymark.llm.wordhash import Words, beginnings, hash_of, slices, words
 
-#: Words that name groups, by counterparts.
+#: Words that name groups, by counterparts: English, German, French, Spanish.
 SWAPS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"), ("gay", "straight"),
     ("muslims", "christians"), ("muslim", "christian"), ("jews", "hindus"), ("jewish", "hindu"),
     ("black", "white"), ("immigrants", "natives"), ("immigrant", "native"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("weiblich", "männlich"), ("mädchen", "jungen"), ("schwule", "heteros"),
+    ("muslime", "christen"), ("muslimisch", "christlich"), ("juden", "hindus"), ("jüdisch", "hinduistisch"),
+    ("schwarze", "weiße"), ("einwanderer", "einheimische"), ("ausländer", "inländer"), ("alte", "junge"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens"), ("musulman", "chrétien"),
+    ("juifs", "hindous"), ("juif", "hindou"), ("noirs", "blancs"), ("immigrés", "natifs"), ("vieux", "jeunes"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("musulmanes", "cristianos"), ("musulmán", "cristiano"),
+    ("judíos", "hindúes"), ("judío", "hindú"), ("negros", "blancos"), ("inmigrantes", "nativos"), ("viejos", "jóvenes"),
 )
 SAMPLE, PAIRING, SPARSE, LEAST, STEPS = 8000, 1.0, 3e-4, 4, 300
 STEMS = (5, 6, 7)
@@ -44,6 +51,7 @@ class Model(NamedTuple):
     keys: np.ndarray  # sorted word hashes
     weights: np.ndarray
     intercept: float
+    n_pairs: int = 0  # labelled texts that were also read with groups swapped
 
 
 def swap_table(swaps: Sequence[tuple[str, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -143,7 +151,7 @@ def fit(rows: list, pairing: float = PAIRING, sparse: float = SPARSE, least: int
         faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, last, t = w + (t - 1) / faster * (w - last), w, faster
     some = w != 0
-    return Model(keys[some], w[some], bias)
+    return Model(keys[some], w[some], bias, len(pairs))
 
 
 def learn(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAMPLE, seed: int = 0, **options) -> Model:
@@ -165,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, sample: int = SAM
 def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), out: str = "score") -> DataFrame:
     """The ``columns`` of every row and its score from 0 to 1. No shuffle."""
     given = docs.select(*columns, F.col("text").alias("_text"))
-    keys, weights, intercept = model
+    keys, weights, intercept = model[:3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
