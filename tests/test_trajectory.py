@@ -101,3 +101,11 @@ def test_runs_and_counts_of_long_sequences(spark):
             runs.append(run)
             counts.append(seen)
         assert r["runs"] == runs and r["counts"] == counts
+
+
+def test_budget_of_the_episode_where_attempts_have_none(spark):
+    rows = [("a", "p", "m", 4, [(1, W, None), (2, X, 8)], "FINAL_FAIL"), ("b", "p", "m", None, [(3, W, None), (4, X, None)], "FINAL_FAIL")]
+    e = spark.createDataFrame(rows, "episode_id string, problem_id string, model_id string, max_attempts int, "
+                              "trajectory array<struct<attempt:int,state:string,max_attempts:int>>, final_outcome string")
+    got = {r["episode_id"]: r["attempt_normalized"] for r in T.build_transition_dataset(e).collect()}
+    assert got == {"a": 0.25, "b": 3.0}

@@ -265,11 +265,9 @@ def build_transition_dataset(episodes: DataFrame, history_length: int = 3) -> Da
 
     def item(t: Column, i: Column) -> Column:
         x, before = F.get(t, i), F.get(t, i - 1)
-        budget = (
-            x["max_attempts"]
-            if "max_attempts" in have
-            else F.col("max_attempts") if "max_attempts" in episodes.columns else F.lit(1)
-        )
+        known = [x["max_attempts"]] if "max_attempts" in have else []
+        known += [F.col("max_attempts")] if "max_attempts" in episodes.columns else []
+        budget = F.coalesce(*known, F.lit(1))
         rate = field(x, "feedback_pass_rate", F.lit(0.0))
         delta = F.when(i == 0, F.lit(0.0)).otherwise(
             rate - field(before, "feedback_pass_rate", F.lit(0.0))
