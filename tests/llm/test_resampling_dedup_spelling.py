@@ -246,19 +246,29 @@ def test_no_words(spark):
     assert spelling.variants(table(spark, [(1, None), (2, "cat cat cat cat")])).count() == 0
 
 
-def test_near_in_tile_sees_every_kind_of_edit_once():
+def test_near_sees_every_kind_of_edit_once():
     rng = random.Random(3)
-    words = sorted({"".join(rng.choice("abß") for _ in range(rng.randint(5, 7))) for _ in range(400)})
-    for size in (5, 6, 7, 8):
-        begin, end = (spelling.near_in_tile(words, words, size, at_end) for at_end in (False, True))
-        for i, a in enumerate(words):
-            for j, b in enumerate(words):
-                if max(len(a), len(b)) == size:
-                    half = math.ceil((size - 1) / 2)
-                    near, early = one_edit(a, b), a[:half] == b[:half]
-                    # in a tile of beginnings all words share them, so what else it finds does no harm
-                    assert not (begin[i, j] or end[i, j]) or near
-                    assert not near or begin[i, j] and end[i, j] == (not early)
+    words = sorted({"".join(rng.choice("abß") for _ in range(rng.randint(5, 7))) for _ in range(300)})
+    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    for longer in (5, 6, 7, 8):
+        begin, end = (spelling.near(*spelling.matrices(words), i, j, longer, at_end) for at_end in (False, True))
+        for a, b, first, last in zip(i.tolist(), j.tolist(), begin, end):
+            a, b = words[a], words[b]
+            half = math.ceil((longer - 1) / 2)
+            close, early = one_edit(a, b) and max(len(a), len(b)) == longer, a[:half] == b[:half]
+            # in a tile of beginnings all words share them, in one of ends the ends
+            assert first == close and last == (close and not early)
+
+
+def test_pairs_of_tiles():
+    """Two tiles, one of a block with itself, one of two blocks; any number at once."""
+    tile = np.array([0, 0, 0, 1, 1, 1, 1, 1])
+    block = np.array([2, 2, 2, 0, 0, 1, 1, 1])
+    lo, hi = np.array([2] * 3 + [0] * 5), np.array([2] * 3 + [1] * 5)
+    want = {(0, 1), (0, 2), (1, 2)} | {(a, b) for a in (3, 4) for b in (5, 6, 7)}
+    for at_once in (1, 2, 100):
+        got = [p for i, j in spelling.pairs_of_tiles(tile, block, lo, hi, at_once) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_segments_of_a_sliced_array():

@@ -40,7 +40,7 @@ SLIP = 97  # one run in so many loses a code point
 LEAST_LETTERS, LEAST_COUNT, TIMES = 5, 3, 2
 TILE = 256
 GROUP_ROWS = 20_000  # rows of tiles compared in one group, about
-_CELLS = 4_000_000
+_CELLS = 4_000_000  # code points compared at once
 _HELD = 200_000  # distinct words a task holds before it sends them on
 
 
@@ -95,72 +95,83 @@ def tiles(words: DataFrame, tile: int = TILE) -> DataFrame:
     return met.select("word", "n", *key, F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block")
 
 
-def matrices(words: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, and of the words read backwards, padded to one column more than the longest."""
-    width = max(map(len, words)) + 1
-    forward = np.full((len(words), width), pad, np.int32)
+def matrices(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and code points of the words as they are and read backwards, padded by 0 to one column more than the longest."""
+    size = np.array([len(w) for w in words], np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(words)), size)
+    column = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+    forward = np.zeros((len(words), int(size.max(initial=0)) + 1), np.uint32)
     backward = forward.copy()
-    for k, word in enumerate(words):
-        points = np.frombuffer(word.encode("utf-32-le"), np.int32)
-        forward[k, : len(points)], backward[k, : len(points)] = points, points[::-1]
-    return forward, backward
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each line of ``a`` with each of ``b``; their pads differ.
-
-    Lines of ``a`` are taken so many at a time that ``_CELLS`` code points are compared at once."""
-    width = min(a.shape[1], b.shape[1])
-    lines = max(1, _CELLS // (width * len(b)))
-    parts = [np.argmax(a[i : i + lines, None, :width] != b[None, :, :width], axis=2) for i in range(0, len(a), lines)]
-    return np.concatenate(parts)
-
-
-def near_in_tile(first: list[str], second: list[str], size: int, at_end: bool) -> np.ndarray:
-    """Which pairs of two blocks are one edit apart, their longer word having ``size`` code points.
-
-    Of the pairs found by their ends those are left out that are found by their beginnings."""
-    (a, a_back), (b, b_back) = matrices(first, -1), matrices(second, -2)
-    prefix, suffix = common(a, b), common(a_back, b_back)
-    len_a, len_b = (np.array([len(w) for w in words]) for words in (first, second))
-    longer, shorter = np.maximum(len_a[:, None], len_b), np.minimum(len_a[:, None], len_b)
-    near = (longer == size) & (shorter >= size - 1) & (prefix + suffix >= size - 1) & ~((prefix == size) & (shorter == size))
-    return near & (prefix < -(-(size - 1) // 2)) if at_end else near
+    forward[row, column] = points
+    backward[row, size[row] - 1 - column] = points
+    return size, forward, backward
+
+
+def near(size: np.ndarray, forward: np.ndarray, backward: np.ndarray, i: np.ndarray, j: np.ndarray, longer: int, at_end: bool) -> np.ndarray:
+    """Whether the words ``i`` and ``j``, the longer of which has ``longer`` code points, are one edit apart.
+
+    Of the pairs in a tile of ends those are left out that also stand in one of beginnings."""
+    both = np.minimum(size[i], size[j])
+    prefix, suffix = (np.minimum(np.argmax(m[i] != m[j], axis=1), both) for m in (forward, backward))
+    found = (np.maximum(size[i], size[j]) == longer) & (both >= longer - 1) & (prefix + suffix >= longer - 1) & ((size[i] != size[j]) | (prefix < both))
+    return found & (prefix < -(-(longer - 1) // 2)) if at_end else found
+
+
+def pairs_of_tiles(tile: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each tile's two blocks (of its one block, each pair once), some at a time, for rows sorted by tile and block."""
+    n = len(tile)
+    first = np.searchsorted(tile, tile)
+    stop = np.searchsorted(tile, tile, side="right")
+    upper = first + np.bincount(tile, weights=block == lo, minlength=1).astype(np.int64)[tile]
+    start = np.where(lo == hi, np.arange(n) + 1, np.where(block == lo, upper, stop))
+    number = stop - start
+    total = np.cumsum(number)
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + at_once, side="right")))
+        k = number[at:upto]
+        if k.sum():
+            yield np.repeat(np.arange(at, upto), k), np.repeat(start[at:upto] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        at = upto
 
 
 _NEAR_DDL = "word string, n_near long, less long, near string"
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """For each word of a group of tiles: its near words in a tile, and the most frequent of them."""
-    out = {"word": [], "n_near": [], "less": [], "near": []}
-
-    def told(words, counts, others, other_counts, near: np.ndarray) -> None:
-        order = sorted(range(len(others)), key=lambda i: (-other_counts[i], others[i]))
-        best = np.argmax(near[:, order], axis=1)
-        number = near.sum(axis=1)
-        for i in np.flatnonzero(number).tolist():
-            k = order[best[i]]
-            for name, value in zip(out, (words[i], int(number[i]), -other_counts[k], others[k])):
-                out[name].append(value)
-
-    by_tile: dict[tuple, list[tuple]] = {}
-    columns = (table.column(c).to_pylist() for c in ("size", "at_end", "half", "lo", "hi", "block", "word", "n"))
-    for size, at_end, half, lo, hi, block, word, n in zip(*columns):
-        by_tile.setdefault((size, at_end, half, lo, hi), []).append((block, word, n))
-    for (size, at_end, _, lo, hi), members in by_tile.items():
-        one = [(w, n) for block, w, n in members if block == lo]
-        two = one if lo == hi else [(w, n) for block, w, n in members if block == hi]
-        if not one or not two or (one is two and len(one) < 2):
-            continue
-        (words, counts), (others, other_counts) = zip(*one), zip(*two)
-        near = near_in_tile(words, others, size, at_end)
-        if near.any():
-            told(words, counts, others, other_counts, near)
-            if lo != hi:
-                told(others, other_counts, words, counts, near.T)
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-    return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
+    """For each word of a group of tiles how many near words they show, and the most frequent of them."""
+    coded = table.column("word").combine_chunks().dictionary_encode()
+    words, word = coded.dictionary, np.asarray(coded.indices)
+    count = np.zeros(len(words), np.int64)
+    count[word] = np.asarray(table.column("n"))
+    # the most frequent word first, equals in code-point order, which is that of their bytes
+    order = np.asarray(pc.sort_indices(pa.table({"n": count, "word": words}), [("n", "descending"), ("word", "ascending")]))
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    sizes, at_end, lo, hi, block = (np.asarray(table.column(c)) for c in ("size", "at_end", "lo", "hi", "block"))
+    half = np.asarray(table.column("half").combine_chunks().dictionary_encode().indices)
+    order_of_rows = np.lexsort((block, hi, lo, half, at_end, sizes))
+    number, best = np.zeros(len(words), np.int64), np.full(len(words), len(words), np.int64)
+    texts = words.to_pylist()
+    for longer, end in np.unique(np.stack([sizes, at_end.astype(np.int64)], axis=1), axis=0).tolist():
+        rows = order_of_rows[(sizes[order_of_rows] == longer) & (at_end[order_of_rows] == bool(end))]
+        keys = np.stack([half[rows], lo[rows], hi[rows]])
+        tile = np.cumsum(np.append(False, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        own, index = np.unique(word[rows], return_inverse=True)
+        size, forward, backward = matrices([texts[k] for k in own.tolist()])
+        at_once = max(1, _CELLS // (longer + 1))
+        for i, j in pairs_of_tiles(tile, block[rows], lo[rows], hi[rows], at_once):
+            hit = near(size, forward, backward, index[i], index[j], longer, bool(end))
+            a, b = own[index[i[hit]]], own[index[j[hit]]]
+            for one, other in ((a, b), (b, a)):
+                np.add.at(number, one, 1)
+                np.minimum.at(best, one, rank[other])
+    some = np.flatnonzero(number)
+    chosen = order[best[some]]
+    return pa.table(
+        {"word": words.take(pa.array(some)), "n_near": number[some], "less": -count[chosen], "near": words.take(pa.array(chosen))}
+    ).cast(pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("less", pa.int64()), ("near", pa.string())]))
 
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
@@ -179,12 +190,13 @@ def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
 def with_roots(forms: DataFrame, longest: int) -> DataFrame:
     """Adds ``root`` to (word, form): where the forms lead. ``longest`` bounds the steps of a path.
 
-    Each round follows twice as many steps as the one before, so rounds are the logarithm of the bound."""
-    reached = forms.select("word", F.coalesce("form", "word").alias("root"))
+    Only words that have a form take part. Each round follows twice as many steps as the one before, so
+    rounds are the logarithm of the bound."""
+    reached = forms.filter(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     for _ in range(max(0, longest - 1).bit_length()):
         on = reached.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        reached = checkpointed(reached.join(on, "root").select("word", F.col("_next").alias("root")))
-    return forms.join(reached, "word")
+        reached = checkpointed(reached.join(on, "root", "left").select("word", F.coalesce("_next", "root").alias("root")))
+    return forms.join(reached, "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(
