@@ -289,13 +289,27 @@ def unlike(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a: np.ndarray, size_
 
 
 def _deal(out: _Rows, batch: int, value: np.ndarray, about: np.ndarray, row: np.ndarray, bits: int) -> None:
-    """A row per bucket with its signatures, the rows they are of, and those rows' component and blocks."""
+    """A row per bucket: its signatures with the rows they are of, and once for each of those rows what is told of it.
+
+    ``about`` has a column per row of the batch."""
     bucket = (value >> _U(64 - bits)).astype(_I)
     order = np.argsort(bucket, kind="stable")
-    value, about, row, bucket = value[order], about[:, order], row[order], bucket[order]
+    value, row, bucket = value[order], row[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist()):
-        out.add(int(bucket[x]), batch, _ASKED, np.concatenate([[value[x:y].view(_I), row[x:y]], about[:, x:y]]).tobytes())
+        rows, at = np.unique(row[x:y], return_inverse=True)
+        sizes = np.array([y - x, len(rows)], _I)
+        parts = (sizes, value[x:y].view(_I), np.concatenate([[rows], about[:, rows]]), at.astype(np.int32))
+        out.add(int(bucket[x]), batch, _ASKED, b"".join(p.tobytes() for p in parts))
+
+
+def _dealt(data: bytes) -> np.ndarray:
+    """What :func:`_deal` packed: lines of value, row and what is told, a column per signature."""
+    n, k = np.frombuffer(data, _I, 2)
+    value = np.frombuffer(data, _I, n, 16)
+    told = np.frombuffer(data, _I, k * (1 + _ABOUT), 16 + 8 * n).reshape(1 + _ABOUT, k)
+    at = np.frombuffer(data, np.int32, n, 16 + 8 * (n + k * (1 + _ABOUT)))
+    return np.concatenate([[value], told[:, at]])
 
 
 def _by_signature(bits: int):
@@ -313,7 +327,7 @@ def _by_signature(bits: int):
             about = np.stack([*told, alone, *sketches(hashes, owner, len(size))])[:, s.sets]
             reps = np.asarray(batch.column("rep"))[s.sets]
             out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least], [reps]]).tobytes())
-            _deal(out, number, s.value, about[:, s.row], s.row, bits)
+            _deal(out, number, s.value, about, s.row, bits)
             yield from out.table().to_batches()
 
     return run
@@ -330,7 +344,7 @@ def _meet(often: int | None):
             if kind in (_HEAD, _CROWD):
                 out.add(bucket, batch, kind, data)
                 continue
-            blobs.append(np.frombuffer(data, _I).reshape(2 + _ABOUT, -1))
+            blobs.append(_dealt(data))
             sizes.append(blobs[-1].shape[1])
             batches.append(batch)
         if not blobs:
@@ -392,7 +406,7 @@ def _rarer(bits: int, crowd: int):
         if len(named):
             out.add(batch % (1 << bits), batch, _CROWD, named.tobytes())
         keep &= ~many
-        _deal(out, batch, value[keep].view(np.uint64), head[:_ABOUT, row[keep]], row[keep], bits)
+        _deal(out, batch, value[keep].view(np.uint64), head[:_ABOUT], row[keep], bits)
         return out.table()
 
     return run
