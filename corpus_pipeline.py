@@ -58,11 +58,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and place."""
+    """Pieces with their sequence and place. ``row`` tells the rows of one id apart, as mixing may repeat them."""
     from public_tokenizers import path
 
     ship_package(spark)
-    return packing.pack(checkpointed(packing.pieces(docs, path("byte_bpe_50k.tiktoken"))))
+    files = path("byte_bpe_50k.tiktoken"), path("byte_bpe_50k.json")
+    return packing.pack(checkpointed(packing.pieces(numbered(docs, "row"), *files, columns=("doc_id", "row"))))
 
 
 STAGES = [
