@@ -1,11 +1,13 @@
 """The corpus pipeline stage by stage on the smallest tables."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 
-from waymark.llm import mixing
+from waymark.llm import mixing, toxicity
+from waymark.llm.common import crc_bucket, numbered
 from waymark.session import ship_package, stage
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,112 @@ def test_repeated_rows_and_rows_without_an_id(spark):
     assert number(mixed) == mixing.mix_plan(docs).groupBy().sum("taken").first()[0]
     packed = stages["packing"](spark, mixed, SF)
     assert packed.filter("piece = 0").count() == mixed.count()
+
+
+def plain_rows(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.orderBy("doc_id").collect()]
+
+
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+
+
+def test_toxic_documents_go(spark, outputs):
+    """What the stage keeps is what the fitted model scores below the threshold, and clean labelled texts stay."""
+    given, made = outputs[0]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(given, labels.withColumnRenamed("toxic", "label"), crc_bucket("doc_id") != 2)
+    keep = {r["doc_id"] for r in toxicity.score(given, model).collect() if r["score"] < 0.3}
+    assert {r["doc_id"] for r in made.collect()} == keep
+    said = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert sum(said.get(i) == 1 for i in keep) <= 0.2 * sum(x == 1 for x in said.values())
+    assert sum(said.get(r["doc_id"]) == 0 and r["doc_id"] not in keep for r in given.collect()) <= 0.02 * given.count()
+
+
+def test_one_of_each_group_of_near_copies_stays(outputs):
+    """All pairs of shingle sets, in plain Python."""
+    given, made = outputs[1]
+    rows = plain_rows(given)
+    sets = []
+    for _, text in rows:
+        ws = words(text.translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert plain_rows(made) == [rows[i] for i in range(len(rows)) if up[i] == i]
+    assert len(made.collect()) < len(rows)
+
+
+def test_repeated_passages_go(outputs):
+    """All windows of 35 words, in plain Python; texts without one stay as they are."""
+    given, made = outputs[2]
+    rows = plain_rows(given)
+    split = [words(t) for _, t in rows]
+    starts = Counter(tuple(ws[i : i + 35]) for ws in split for i in range(len(ws) - 34))
+    want = []
+    for (doc, text), ws in zip(rows, split):
+        gone = {j for i in range(len(ws) - 34) if starts[tuple(ws[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((doc, " ".join(w for j, w in enumerate(ws) if j not in gone) if gone else text))
+    assert plain_rows(made) == want
+    assert any(a != b for a, b in zip(rows, want))
+
+
+def test_the_mix_takes_what_its_plan_says(outputs):
+    """Blocks of words laid out one by one: which are taken, how often, and what texts come out of them."""
+    given, made = outputs[3]
+    plan = {r["doc_id"]: r for r in mixing.mix_plan(numbered(given), row="_row").collect()}
+    text = dict(plain_rows(given))
+    want = Counter()
+    for doc, r in plan.items():
+        ws, every = words(text[doc]), (r["seats"] // r["blocks"] if r["blocks"] else 0)
+        extra = r["seats"] % r["blocks"] if r["blocks"] else 0
+        # block b of a shard is taken once more where the count of chosen ones steps up
+        more = lambda b: (b + 1 + r["start"]) * extra // r["blocks"] > (b + r["start"]) * extra // r["blocks"]  # noqa: E731, B023
+        cut = [w for i, w in enumerate(ws) if more((r["first"] + i) // mixing.BLOCK)]
+        assert r["taken"] == every * len(ws) + len(cut)
+        for _ in range(every if ws else 0):
+            want[(doc, text[doc])] += 1
+        if cut:
+            want[(doc, " ".join(cut))] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in made.collect()) == want
+    for source in {r["source"] for r in plan.values()}:
+        own = [r for r in plan.values() if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.1 * own[0]["target"] + 4 * mixing.BLOCK
+
+
+def test_sequences_can_be_rebuilt(outputs):
+    """Each mixed row, told by its number, is whole in its pieces, and no sequence overflows or overlaps."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    given, made = outputs[-1]
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = Counter((r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in given.collect())
+    pieces, places = {}, {}
+    for r in made.collect():
+        pieces.setdefault((r["doc_id"], r["row"]), []).append((r["piece"], r["start"], r["length"]))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    got = Counter()
+    for (doc, _), own in pieces.items():
+        at = 0
+        for k, (piece, start, length) in enumerate(sorted(own)):
+            assert (piece, start) == (k, at)
+            at += length
+        got[(doc, at)] += 1
+    assert got == want
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
