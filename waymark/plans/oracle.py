@@ -703,6 +703,7 @@ def _bundle(names) -> str:
 
 
 ORACLE["report_bundle_values"] = _bundle(_BUNDLE)
+ORACLE["report_bundle_sizes"] = f"SELECT report, n_rows FROM ({_bundle(_BUNDLE)})"
 ORACLE["analyze_job"] = _bundle(["state_freq", "recovery", "transitions", "dwell", "regression", "hidden", "pass_at_k", "hamsm_data"])
 
 # --- text over documents and conversations -----------------------------------
