@@ -565,3 +565,17 @@ def test_penalty_against_a_dense_solver(spark):
     assert loss(mine, model.intercept) <= loss(w, b) + 1e-4
     z = {g: mine[[place[k] for k in np.unique(toxicity.features(toxicity.words(pa.array([g]), fold=True, letters=True))[0]).tolist() if k in place]].sum() for g in ("frauen", "männer")}
     assert abs(z["frauen"] - z["männer"]) < 0.3
+
+
+def test_texts_beside_the_next_go_through_one_exchange(spark, docs, tmp_path):
+    """Every text is read by itself and for the one before it; both readings share an exchange."""
+    docs.write.parquet(str(tmp_path / "t"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = spotsigs.beside_next(spark.read.parquet(str(tmp_path / "t")))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert re.search(r"ReusedExchange \[[^\]]*text#", plan)

@@ -79,11 +79,15 @@ def beside_next(docs: DataFrame) -> DataFrame:
     sizes = rows.select("_row", "doc_id", F.floor(F.length("text") / 2).alias("half"))
     order = with_next(sizes, ["doc_id", "_row"], "_row", "next_row")
     # what a document gives to the one before it: its first code points and its fingerprint
-    asked = order.select(F.col("next_row").alias("_row"), F.col("_row").alias("to"), F.col("half").alias("wanted"))
-    given = with_signatures(rows.select("_row", "text").join(asked, "_row"), "text", "next_sig").select(
-        F.col("to").alias("_row"), "next_sig", F.left("text", F.col("wanted").cast("int")).alias("given")
+    asked = order.select(
+        F.col("next_row").alias("_row"), F.col("_row").alias("to"), F.col("doc_id").alias("to_id"), F.col("half").alias("wanted")
     )
-    both = rows.join(given, "_row")
+    # both readings of the texts take the same columns, so their exchange is one
+    texts = rows.select("_row", "text")
+    given = with_signatures(texts.join(asked, "_row"), "text", "next_sig").select(
+        F.col("to").alias("_row"), F.col("to_id").alias("doc_id"), "next_sig", F.left("text", F.col("wanted").cast("int")).alias("given")
+    )
+    both = texts.join(given, "_row")
     n = F.length("text")
     both = both.withColumn("edited", F.concat(F.left("text", (n - F.floor(n / 2)).cast("int")), "given"))
     both = with_signatures(with_signatures(both, "text", "sig"), "edited", "edited_sig")
