@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -567,6 +568,21 @@ def test_penalty_against_a_dense_solver(spark):
     assert abs(z["frauen"] - z["männer"]) < 0.3
 
 
+def test_fit_works_on_words_in_blocks():
+    """Any block size gives the same weights, and beside the rows the fit holds little more than 8 bytes per word."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3000, 600)).astype(np.int64) for _ in range(1500)]
+    rows = [(int(17 in s), s, np.union1d(s, [5000]) if k % 50 == 0 else None) for k, s in enumerate(sets)]
+    one, other = (toxicity.fit(rows, steps=5, block=b) for b in (1 << 10, 1 << 30))
+    assert len(one.keys) and one.n_pairs == 30
+    assert np.array_equal(one.keys, other.keys) and np.array_equal(one.weights, other.weights) and one.intercept == other.intercept
+    tracemalloc.start()
+    toxicity.fit(rows, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(map(len, sets))
+
+
 def test_texts_beside_the_next_go_through_one_exchange(spark, docs, tmp_path):
     """Every text is read by itself and for the one before it; both readings share an exchange."""
     docs.write.parquet(str(tmp_path / "t"))

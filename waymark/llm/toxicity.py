@@ -43,6 +43,7 @@ SWAPS = (
     ("judíos", "hindúes"), ("judío", "hindú"), ("negros", "blancos"), ("inmigrantes", "nativos"), ("viejos", "jóvenes"),
 )
 SAMPLE, PAIRING, SPARSE, LEAST, STEPS = 8000, 1.0, 3e-4, 4, 300
+BLOCK = 1 << 18  # words the fit works on at a time
 STEMS = (5, 6, 7)
 THRESHOLD = 0.3
 
@@ -100,46 +101,81 @@ def word_sets(labelled: DataFrame, swaps: Sequence[tuple[str, str]] = SWAPS) ->
     return labelled.select("label", "text").mapInArrow(run, "label int, found array<long>, swapped array<long>")
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    values = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.zeros(0, np.int64)
-    return values.view(np.uint64), np.repeat(np.arange(len(lists)), sizes)
-
-
-def fit(rows: list, pairing: float = PAIRING, sparse: float = SPARSE, least: int = LEAST, steps: int = STEPS) -> Model:
-    """Accelerated proximal gradient on (label, found, swapped) rows."""
+def _blocks(lists: list, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The lists' numbers in order, whole lists of about ``size`` numbers at a time, and the list each is in."""
+    first, held = 0, 0
+    for i, x in enumerate(lists):
+        held += len(x)
+        if held >= size or i + 1 == len(lists):
+            part = [np.asarray(v, np.int64) for v in lists[first : i + 1]]
+            yield np.concatenate(part).view(np.uint64), np.repeat(np.arange(first, i + 1), [len(v) for v in part])
+            first, held = i + 1, 0
+
+
+def _counted(lists: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each occurs."""
+    keys, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for values, _ in _blocks(lists, size):
+        own, count = np.unique(values, return_counts=True)
+        old, more = number, count
+        keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        number = np.zeros(len(keys), np.int64)
+        number[at[: len(old)]] = old
+        number[at[len(old) :]] += more
+    return keys, number
+
+
+def _places(lists: list, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every number that is a key its place among them and the list it is in."""
+    place, row = (np.empty(sum(map(len, lists)), np.int32) for _ in range(2))
+    n = 0
+    for values, at in _blocks(lists, size) if len(keys) else ():
+        found = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+        known = np.flatnonzero(keys[found] == values)
+        place[n : n + len(known)], row[n : n + len(known)] = found[known], at[known]
+        n += len(known)
+    return place[:n], row[:n]
+
+
+def _summed(at: np.ndarray, n: int, weights: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """``np.bincount(at, weights[of], n)``, added up in the same order without an array as long as ``at``."""
+    out = np.zeros(n)
+    for k in range(0, len(at), size):
+        np.add.at(out, at[k : k + size].astype(np.intp), weights[of[k : k + size]])
+    return out
+
+
+def fit(
+    rows: list, pairing: float = PAIRING, sparse: float = SPARSE, least: int = LEAST, steps: int = STEPS, block: int = BLOCK
+) -> Model:
+    """Accelerated proximal gradient on (label, found, swapped) rows.
+
+    Beside the rows it holds 8 bytes per word in them; all else is worked on ``block`` words at a time."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
     if not rows:
         return empty
     y = np.array([r[0] for r in rows], float)
-    words_, row = _flat([r[1] for r in rows])
-    keys, index, number = np.unique(words_, return_inverse=True, return_counts=True)
-    used = number >= least
-    place = np.cumsum(used) - 1
-    keep = used[index]
-    row, index = row[keep], place[index[keep]]
-    keys = keys[used]
-    pairs = [(np.asarray(r[1], np.int64), np.asarray(r[2], np.int64)) for r in rows if r[2] is not None]
-    plus, prow = _flat([p[1] for p in pairs])
-    minus, mrow = _flat([p[0] for p in pairs])
-    both, side, brow = np.concatenate([plus, minus]), np.repeat([1.0, -1.0], [len(plus), len(minus)]), np.concatenate([prow, mrow])
-    at = np.minimum(np.searchsorted(keys, both), max(0, len(keys) - 1))
-    known = keys[at] == both if len(keys) else np.zeros(len(both), bool)
-    at, side, brow = at[known], side[known], brow[known]
+    keys, number = _counted([r[1] for r in rows], block)
+    keys = keys[number >= least]
+    index, row = _places([r[1] for r in rows], keys, block)
+    pairs = [(r[1], r[2]) for r in rows if r[2] is not None]
+    plus, prow = _places([p[1] for p in pairs], keys, block)
+    minus, mrow = _places([p[0] for p in pairs], keys, block)
+    at, side, brow = np.concatenate([plus, minus]), np.repeat([1.0, -1.0], [len(plus), len(minus)]), np.concatenate([prow, mrow])
     n, d = len(y), len(keys)
     w, bias = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     # a word's step is as large as the words of its texts allow: a bound on the curve that is a sum over words
     width = np.bincount(row, minlength=n)
-    curve = 0.25 / n * np.bincount(index, weights=width[row].astype(float), minlength=d)
+    curve = 0.25 / n * _summed(index, d, width.astype(float), row, block)
     if len(pairs):
         width = np.bincount(brow, minlength=len(pairs))
         curve += 2 * pairing / len(pairs) * np.bincount(at, weights=width[brow].astype(float), minlength=d)
     rate = 1 / np.maximum(curve, 1e-12)
     look, last, t = w.copy(), w.copy(), 1.0
     for _ in range(steps):
-        z = np.bincount(row, weights=look[index], minlength=n) + bias
+        z = _summed(row, n, look, index, block) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        gradient = np.bincount(index, weights=(p - y)[row], minlength=d) / n
+        gradient = _summed(index, d, p - y, row, block) / n
         if len(pairs):
             change = np.bincount(brow, weights=side * look[at], minlength=len(pairs))
             gradient += 2 * pairing * np.bincount(at, weights=side * change[brow], minlength=d) / len(pairs)
