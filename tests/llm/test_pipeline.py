@@ -1,12 +1,16 @@
 """The corpus pipeline stage by stage on the smallest tables."""
 
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from waymark.llm import mixing, toxicity
+from waymark.llm import mixing, partenum, toxicity
 from waymark.llm.common import crc_bucket, numbered
 from waymark.session import ship_package, stage
 
@@ -171,3 +175,38 @@ def test_sequences_can_be_rebuilt(outputs):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def _sets(n: int, size: int = 300) -> pa.RecordBatch:
+    rng = np.random.default_rng(3)
+    blobs = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)).tobytes() for _ in range(n)]
+    spots = pa.array(np.zeros(n, np.int64))
+    columns = [pa.array(range(n), pa.int64()), pa.array(blobs, pa.binary()), pa.array(range(n), pa.int64()), pa.array([True] * n), spots, spots]
+    return pa.RecordBatch.from_arrays(columns, ["rep", "shingles", "comp", "alone", "spots1", "spots2"])
+
+
+@pytest.mark.parametrize("work", [partenum._sampled, partenum._by_signature(6), partenum._described, partenum._single])
+def test_memory_does_not_follow_the_sets_of_a_batch(work, monkeypatch):
+    """Signatures take some 70 times the shingles, so a batch of 10,000 sets took a worker above 1 GB."""
+    monkeypatch.setattr(partenum, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def peak(n: int) -> int:
+        batch = _sets(n)
+        tracemalloc.start()
+        for _ in work(iter([batch])):
+            pass
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(6000) < 1.5 * peak(1500)
+
+
+def test_sampled_signatures_are_the_same_however_a_batch_is_cut(monkeypatch):
+    def found() -> list:
+        return sorted(((x["rep"], x["sig"]) for b in partenum._sampled(iter([_sets(60)])) for x in b.to_pylist()), key=str)
+
+    whole = found()
+    monkeypatch.setattr(partenum, "AT_HAND", 5000)
+    assert whole and found() == whole

@@ -49,6 +49,7 @@ from waymark.llm.wordhash import Words, mix, slices, windows, words
 SHINGLE = 5
 BUCKET_SHINGLES, BLOCK, OFTEN = 400_000, 1000, 4
 SUBPARTS, PARTS_PER_SIZE, PARTS_MORE = 3, 0.15, 8
+AT_HAND = 2 << 20  # bytes of texts or shingles that a task works on at a time; signatures take some 70 times that
 BROADCAST_ROWS = 500_000  # of 24 bytes
 _U = np.uint64
 _I = np.int64
@@ -142,7 +143,7 @@ def document_sets(docs: DataFrame, bucket_shingles: int = BUCKET_SHINGLES) -> Da
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", AT_HAND):
             docs, hashes = shingles(words(part.column("text"), fold=True))
             key1, _ = set_keys(docs, hashes, len(part))
             right = key1 == np.asarray(part.column("key1"))
@@ -188,9 +189,11 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> Signa
     part = (spread % m[row].astype(np.uint64)).astype(_I)
     sub = ((spread >> _U(40)) % _U(SUBPARTS)).astype(_I)
     cell = (base[row] + part) * SUBPARTS + sub
+    del element, row, spread, part, sub  # each as long as all shingles at hand
     total = np.zeros(int(m.sum()) * SUBPARTS, np.uint64)
     np.add.at(total, cell, mix(h, 42))
     filled = np.bincount(cell, minlength=len(total)).reshape(-1, SUBPARTS) > 0
+    del h, cell
     total = total.reshape(-1, SUBPARTS)
     number = filled.sum(axis=1)
     summed = lambda x: np.add.reduceat(x.astype(_I), base) if len(base) else np.zeros(0, _I)
@@ -217,13 +220,14 @@ SAMPLES, ROUNDS = 16, 4
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A quarter of the signatures, and NULL for a set that they do not settle."""
     for batch in batches:
-        s = signatures(*_unpack(batch.column("shingles").to_pylist()))
-        some = s.value % _U(SAMPLES) < _U(ROUNDS)
-        of, found = s.sets[s.row[some]], s.value[some]
-        risk = np.flatnonzero(s.risky)
-        reps = batch.column("rep").take(pa.array(np.concatenate([of, risk])))
-        sig = pa.concat_arrays([pa.array(found.view(_I)), pa.nulls(len(risk), pa.int64())])
-        yield pa.RecordBatch.from_arrays([reps, sig], ["rep", "sig"])
+        for part in slices(batch, "shingles", AT_HAND):
+            s = signatures(*_unpack(part.column("shingles").to_pylist()))
+            some = s.value % _U(SAMPLES) < _U(ROUNDS)
+            of, found = s.sets[s.row[some]], s.value[some]
+            risk = np.flatnonzero(s.risky)
+            reps = part.column("rep").take(pa.array(np.concatenate([of, risk])))
+            sig = pa.concat_arrays([pa.array(found.view(_I)), pa.nulls(len(risk), pa.int64())])
+            yield pa.RecordBatch.from_arrays([reps, sig], ["rep", "sig"])
 
 
 class _Forest:
@@ -316,19 +320,18 @@ def _by_signature(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() + 1) << 24
         for batch in batches:
-            if not len(batch):
-                continue
-            number += 1
-            out = _Rows()
-            hashes, owner, size = _unpack(batch.column("shingles").to_pylist())
-            s = signatures(hashes, owner, size)
-            told = [np.asarray(batch.column(c)) for c in ("comp", "spots1", "spots2")]
-            alone = np.where(np.asarray(batch.column("alone")), size, 0)
-            about = np.stack([*told, alone, *sketches(hashes, owner, len(size))])[:, s.sets]
-            reps = np.asarray(batch.column("rep"))[s.sets]
-            out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least], [reps]]).tobytes())
-            _deal(out, number, s.value, about, s.row, bits)
-            yield from out.table().to_batches()
+            for part in slices(batch, "shingles", AT_HAND):
+                number += 1
+                out = _Rows()
+                hashes, owner, size = _unpack(part.column("shingles").to_pylist())
+                s = signatures(hashes, owner, size)
+                told = [np.asarray(part.column(c)) for c in ("comp", "spots1", "spots2")]
+                alone = np.where(np.asarray(part.column("alone")), size, 0)
+                about = np.stack([*told, alone, *sketches(hashes, owner, len(size))])[:, s.sets]
+                reps = np.asarray(part.column("rep"))[s.sets]
+                out.add(number % (1 << bits), number, _HEAD, np.concatenate([about, [s.least], [reps]]).tobytes())
+                _deal(out, number, s.value, about, s.row, bits)
+                yield from out.table().to_batches()
 
     return run
 
@@ -444,18 +447,20 @@ def component_pairs(told: DataFrame, bits: int, often: int = OFTEN, crowd: int =
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, owner, size = _unpack(batch.column("shingles").to_pylist())
-        sketch = sketches(hashes, owner, len(size))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("rep", "comp", "alone")), pa.array(size), *map(pa.array, sketch)],
-            ["rep", "comp", "alone", "size", "sketch1", "sketch2"],
-        )
+        for part in slices(batch, "shingles", AT_HAND):
+            hashes, owner, size = _unpack(part.column("shingles").to_pylist())
+            sketch = sketches(hashes, owner, len(size))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("rep", "comp", "alone")), pa.array(size), *map(pa.array, sketch)],
+                ["rep", "comp", "alone", "size", "sketch1", "sketch2"],
+            )
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, owner, _ = _unpack(batch.column("shingles").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(owner)), pa.array(hashes.view(_I))], ["rep", "h"])
+        for part in slices(batch, "shingles", AT_HAND):
+            hashes, owner, _ = _unpack(part.column("shingles").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(owner)), pa.array(hashes.view(_I))], ["rep", "h"])
 
 
 def _in_crowds(sets: DataFrame, tile: int) -> DataFrame:
@@ -607,8 +612,9 @@ def _by_all_shingles(told: DataFrame, risky: DataFrame) -> DataFrame:
     """Component pairs of the few sets that signatures do not settle: whatever shares a shingle with them."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, owner, _ = _unpack(batch.column("shingles").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("comp").take(pa.array(owner)), pa.array(hashes.view(_I))], ["comp", "h"])
+            for part in slices(batch, "shingles", AT_HAND):
+                hashes, owner, _ = _unpack(part.column("shingles").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("comp").take(pa.array(owner)), pa.array(hashes.view(_I))], ["comp", "h"])
 
     each = told.join(risky, "rep").mapInArrow(spread, "comp long, h long").distinct()
     every = told.mapInArrow(spread, "comp long, h long").distinct()

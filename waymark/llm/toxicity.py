@@ -44,6 +44,7 @@ SWAPS = (
 )
 SAMPLE, PAIRING, SPARSE, LEAST, STEPS = 8000, 1.0, 3e-4, 4, 300
 BLOCK = 1 << 18  # words the fit works on at a time
+AT_HAND = 1 << 20  # bytes of texts that a task works on at a time
 STEMS = (5, 6, 7)
 THRESHOLD = 0.3
 
@@ -78,7 +79,7 @@ def word_sets(labelled: DataFrame, swaps: Sequence[tuple[str, str]] = SWAPS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", AT_HAND):
                 found, doc = features(words(part.column("text"), fold=True, letters=True))
                 order = np.lexsort((found, doc))
                 found, doc = found[order], doc[order]
@@ -213,7 +214,7 @@ def score(docs: DataFrame, model: Model, columns: Sequence[str] = ("doc_id",), o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", AT_HAND):
                 z = np.full(len(part), intercept)
                 if len(keys):
                     found, doc = features(words(part.column("_text"), fold=True, letters=True))

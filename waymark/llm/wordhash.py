@@ -40,9 +40,12 @@ class Words(NamedTuple):
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers in which every input bit moves every output bit."""
     x = x + _U((0x9E3779B97F4A7C15 * (2 * salt + 1)) % 2**64)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)  # in place: these arrays are as long as all words at hand
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def _eight(padded: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,6 +100,7 @@ def words(texts: pa.Array, fold: bool = False, letters: bool = False) -> Words:
         first[edges] = inside[edges]
         last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    del inside, first, last
     padded = np.concatenate([_LOWER[data] if fold else data, np.zeros(8, np.uint8)])
     hashes = _hashes(padded[:-8], padded, start, end - start)
     counts = np.diff(np.searchsorted(start, offsets))
@@ -117,7 +121,8 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * _BASE + w.hashes[k : k + n]
+        out *= _BASE
+        out += w.hashes[k : k + n]
     at = np.flatnonzero(w.doc[:n] == w.doc[size - 1 :])
     return mix(out[at], size), at
 
